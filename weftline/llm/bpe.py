@@ -10,7 +10,9 @@ concatenates the raw bytes of the ids.
 from __future__ import annotations
 
 import base64
+import json
 import re
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -104,15 +106,32 @@ def pre_tokenise(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[
 
 class _Cache(dict):
     def __init__(self, encode, dtype):
-        self.encode, self.dtype = encode, dtype
+        self.encode, self.form = encode, {"<u2": "<%dH", "<u4": "<%dI"}[dtype]
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece), self.dtype).tobytes()
+        ids = self.encode(piece)
+        ids = struct.pack(self.form % len(ids), *ids)
         if len(self) < CACHED and len(piece) <= LONGEST:
             self[piece] = ids
         return ids
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Bytes and ids of a vocabulary: lines of base64 and rank, or a JSON file
+    whose strings stand for bytes by the usual byte-level alphabet: printable
+    Latin-1 characters for themselves, the other bytes as U+0100 and on."""
+    if not path.endswith(".json"):
+        with open(path, "rb") as f:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    byte_of = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
+    special = {x["content"] for x in whole.get("added_tokens", ())}
+    return {bytes(byte_of[c] for c in s): i for s, i in whole["model"]["vocab"].items() if s not in special}
+
+
 class Codec:
     """Encodes texts to little-endian ids of ``dtype`` and back."""
 
@@ -120,8 +139,7 @@ class Codec:
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = read_ranks(path)
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cache = _Cache(self.encoding.encode_ordinary, dtype)
         self.dtype = np.dtype(dtype)

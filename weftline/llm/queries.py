@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import bpe, packing, quality, token_files, topk, url_filter
 from .common import table
 
 QUERIES = {}
@@ -54,3 +54,76 @@ q_base as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base
 q_judged as (select *, not base_failed and not ({_rules_sql()}) as kept from q_base)
 """
 ORACLES["op1_quality_rules"] = f"with {QUALITY_CTE} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from q_judged"
+
+
+BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.count_tokens(docs, bpe.vocabulary_path(BPE_RANKS))
+
+
+@query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = bpe.vocabulary_path(BPE_RANKS)
+    encoded = bpe.encode_texts(table(spark, sf_dir, "documents"), path)
+    decoded = bpe.decode_ids(encoded, path)
+    n_tokens = F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
+    return decoded.select("row.doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+ORACLES["op7_exact_top_k"] = """
+with v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+           where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.rid, q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+      from v q join v c on q.rid <> c.rid and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
+select query_id, rank, vec_id, score from (select *, row_number() over (partition by rid order by score desc, vec_id)::int as rank from s) where rank <= 5
+"""
+
+URL_RULES = (
+    url_filter.host_path_rule("block", "com", "/en/"),
+    url_filter.host_path_rule("allow", "example.com", "/en/7"),
+    url_filter.host_path_rule("block", "net", "/de/"),
+    url_filter.host_path_rule("allow", "example.net", "/de/8"),
+    url_filter.host_path_rule("block", "org", "/es/"),
+    url_filter.pattern_rule("pills", "block", r"^[^/]*\bcheap-pills\b", "cheap", "pills"),
+    url_filter.pattern_rule("bets", "block", r"^[^/]*\bfree-bets\b", "free", "bets"),
+    url_filter.pattern_rule("link farm", "block", r"^[^/]*\bspam-farm\b", "spam", "farm"),
+    url_filter.pattern_rule("ad tracker", "block", r"^[^/]*\bads-track\b", "ads", "track"),
+)
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge_urls(pages, URL_RULES)
+    named = F.when(F.col("tier") == 1, F.col("rule"))
+    return judged.select("row.page_id", "host", "path", named.alias("rule"), "verdict")
+
+
+_fits = "(host = '{h}' or host like '%.{h}') and starts_with(path, '{p}')"
+ORACLES["op8_url_filters"] = """
+with u as (select page_id, coalesce(url, '') as url from pages),
+h as (select page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from u),
+r as (select *, case when {e8} then 'example.net/de/8' when {e7} then 'example.com/en/7' when {c} then 'com/en/' when {n} then 'net/de/' when {o} then 'org/es/' end as rule from h)
+select page_id, host, path, rule,
+       case when rule like 'example.%' then 'allow' when rule is not null then 'block'
+            when regexp_matches(host, '\\b(cheap-pills|free-bets|spam-farm|ads-track)\\b') then 'block' else 'allow' end as verdict
+from r
+""".format(**{k: _fits.format(h=h, p=p) for k, h, p in (("e8", "example.net", "/de/8"), ("e7", "example.com", "/en/7"), ("c", "com", "/en/"), ("n", "net", "/de/"), ("o", "org", "/es/"))}).replace("\\\\", "\\")
+
+
+@query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    placed = packing.pack_digests(docs, bpe.vocabulary_path(BPE_JSON))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
