@@ -26,6 +26,8 @@ ROUNDS, RATE = 300, 4.0
 PRIOR = 1.2
 #: Ways of the program that fill less of a sequence are dropped at rounding; best fit serves their pieces better.
 FULL = 0.998
+#: Shares of the program's solution that are tried at rounding; the plan with the fewest sequences stays.
+SHARES = (1.0, 0.75, 0.5, 0.25)
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,12 +138,17 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = RO
     full = [({capacity: 1}, counts.pop(capacity))] if capacity in counts else []
     if not counts:
         return full
-    solved = [(w, m) for w, m in _by_weights(counts, capacity, rounds, rate) if sum(n * a for n, a in w.items()) >= FULL * capacity]
-    left = dict(counts)
-    for way, many in solved:
-        for n, a in way.items():
-            left[n] -= a * many
-    return full + solved + _best_fit({n: c for n, c in left.items() if c}, capacity)
+    program = [(w, m) for w, m in _by_weights(counts, capacity, rounds, rate) if sum(n * a for n, a in w.items()) >= FULL * capacity]
+
+    def rounded(share: float) -> list[tuple[dict[int, int], int]]:
+        taken = [(w, int(m * share)) for w, m in program if m * share >= 1]
+        left = dict(counts)
+        for way, many in taken:
+            for n, a in way.items():
+                left[n] -= a * many
+        return taken + _best_fit({n: c for n, c in left.items() if c}, capacity)
+
+    return full + min(map(rounded, SHARES), key=lambda plan: sum(m for _, m in plan))
 
 
 def _slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:

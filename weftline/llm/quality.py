@@ -46,9 +46,9 @@ class Rule:
 #: metric: its value from the columns of ``features``. All are doubles.
 METRICS = {
     "words": "cast(n_words as double)",
-    "mean_word_chars": "word_chars / cast(n_words as double)",
-    "symbols_per_word": "n_symbols / cast(n_words as double)",
-    "stop_word_share": "n_stop_words / cast(n_words as double)",
+    "mean_word_chars": "word_chars / cast(greatest(n_words, 1) as double)",
+    "symbols_per_word": "n_symbols / cast(greatest(n_words, 1) as double)",
+    "stop_word_share": "n_stop_words / cast(greatest(n_words, 1) as double)",
     "dup_line_share": "n_dup_lines / cast(greatest(n_lines, 1) as double)",
 }
 

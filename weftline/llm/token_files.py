@@ -107,7 +107,7 @@ def scan_separators(blocks: DataFrame, end: int = END) -> DataFrame:
     # The places in the file of the block's separators, and of the end of a file that has no separator there.
     places = F.transform("ends", lambda e: e + F.col("base"))
     stop = F.col("base") + F.col("n")
-    open_end = F.when(F.col("final") & (F.coalesce(F.element_at("places", -1), F.col("carry")) < stop - 1), F.array(stop)).otherwise(F.array().cast("array<bigint>"))
+    open_end = F.when(F.col("final") & (F.coalesce(F.try_element_at("places", F.lit(-1)), F.col("carry")) < stop - 1), F.array(stop)).otherwise(F.array().cast("array<bigint>"))
     joined = cut.join(stitched, ["file", "block"]).withColumn("places", places).withColumn("places", F.concat("places", open_end))
     before = F.concat(F.array("carry"), F.col("places"))
     docs = joined.withColumn("before", before).select("file", "block", "docs_before", "before", F.posexplode("places").alias("k", "place"))
