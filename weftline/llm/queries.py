@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, token_files, topk, url_filter
+from . import bpe, ngram_join, packing, quality, token_files, topk, url_filter
 from .common import table
 
 QUERIES = {}
@@ -127,3 +127,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     placed = packing.pack_digests(docs, bpe.vocabulary_path(BPE_JSON))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_ngram_join"] = """
+with recursive d as (select row_number() over () as rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select distinct rid, array_to_string(w[i:i + 4], ' ') as s from d, unnest(range(1, greatest(len(w) - 3, 2))) t(i) where len(w) > 0),
+n as (select rid, count(*) as n from g group by rid),
+p as (select a.rid as x, b.rid as y, count(*) as c from g a join g b using (s) where a.rid <> b.rid group by all),
+e as (select x, y from p join n a on a.rid = x join n b on b.rid = y where c >= 0.8 * (a.n + b.n - c)),
+r as (select rid as x, rid as y from d union select r.x, e.y from r join e on e.x = r.y),
+c as (select r.x as rid, min(d.doc_id) as class_id from r join d on d.rid = r.y group by r.x),
+l as (select x as rid, count(*) as n from e group by x)
+select doc_id, class_id, coalesce(l.n, 0)::bigint as n_links from d join c using (rid) left join l using (rid)
+"""
