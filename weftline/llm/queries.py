@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, quality, token_files, topk, url_filter
+from . import bpe, langid, ngram_join, packing, quality, token_files, topk, url_filter
 from .common import table
 
 QUERIES = {}
@@ -145,3 +145,11 @@ c as (select r.x as rid, min(d.doc_id) as class_id from r join d on d.rid = r.y
 l as (select x as rid, count(*) as n from e group by x)
 select doc_id, class_id, coalesce(l.n, 0)::bigint as n_links from d join c using (rid) left join l using (rid)
 """
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    found = langid.identify(docs, langid.train(docs, ~out), keep=("doc_id",))
+    return found.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
