@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, quality, token_files, topk, url_filter
+from . import bpe, langid, ngram_join, packing, quality, secret_scan, token_files, topk, url_filter
 from .common import table
 
 QUERIES = {}
@@ -153,3 +153,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.held_out(F.col("doc_id"))
     found = langid.identify(docs, langid.train(docs, ~out), keep=("doc_id",))
     return found.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan_secrets(docs, repository=F.concat_ws("/", "source", "lang"))
+    n_live = F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secret_scan.render(F.col("spans")).alias("spans"), n_live)
