@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import quality
-from weftline.llm.common import stage, table
+from weftline.llm import bpe, langid, ngram_join, packing, quality, secret_scan
+from weftline.llm.common import stage, table, unpacked
+
+#: Documents whose language is less sure than this go.
+LEAST_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +17,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_quality(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language or of an unsure one go; a missing lang is filled in."""
+    model = langid.train(docs, F.lit(True))
+    found = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    lang = F.coalesce("row.lang", "lang_pred").alias("lang")
+    return found.select(*[lang if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays."""
+    return ngram_join.keep_one_of_each(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking credentials are replaced in the texts; all documents stay."""
+    return secret_scan.redact(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in the sequences."""
+    return packing.pack_digests(docs, bpe.vocabulary_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: Language ID, the similarity join and packing can't be stated in SQL.
+#: Language ID and packing can't be stated in SQL; the tests compare each stage with brute force.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, quality, secret_scan, token_files, topk, url_filter
+from . import bpe, langid, ngram_join, packing, pii, quality, secret_scan, token_files, topk, url_filter
 from .common import table
 
 QUERIES = {}
@@ -161,3 +161,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(docs, repository=F.concat_ws("/", "source", "lang"))
     n_live = F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live")
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secret_scan.render(F.col("spans")).alias("spans"), n_live)
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.train(docs))
+    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.render("base"), 256).alias("base_sha256"), pii.render("spans").alias("spans"))
