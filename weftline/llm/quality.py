@@ -138,7 +138,9 @@ def score_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame
     df = _features(packed(docs, "row"), text_of("row", text))
     kept, failed = compile_rules(rules)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return df.select("row", *FEATURES, base.alias("base_failed"), (~base & kept).alias("kept"), failed.alias("failed_rules"))
+    judged = df.select("row", *FEATURES, base.alias("base_failed"), (~base & kept).alias("kept"), failed.alias("failed_rules"))
+    # A generator keeps the optimiser from moving a filter on these columns below their projections, where it would compute the features anew for each use.
+    return judged.select("row", F.inline(F.array(F.struct(*[c for c in judged.columns if c != "row"]))))
 
 
 def filter_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
