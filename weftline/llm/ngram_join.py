@@ -33,11 +33,13 @@ DEPTH = 3
 BUCKET, BLOCK = 256, 512
 #: Least hashes kept of a set, and the share of them that similar sets have in common, at least, but for a chance of under 1 in 1000.
 SKETCH, SHARED = 64, 0.6
+#: Tokens that the picks beyond the first are drawn from.
+SAMPLE = 128
 #: Keys of candidate sets are broadcast up to this number (under 100 MB), joined by a shuffle beyond it.
 BROADCAST_KEYS = 500_000
 
 _MASK = (1 << 64) - 1
-_SEEDS = [int.from_bytes(hashlib.blake2b(b"run%d" % i, digest_size=8).digest(), "little") for i in range(256)]
+_FIRST, _LATER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def runs_for(recall: float, depth: int = DEPTH) -> int:
@@ -97,29 +99,34 @@ def sketch_of(tokens: np.ndarray, size: int = SKETCH) -> np.ndarray:
     return np.sort(np.partition(h, size - 1)[:size] if len(h) > size else h)
 
 
-def _children(tokens: np.ndarray, parents: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+def _children(tokens: np.ndarray, parents: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """(parent, child) paths: the tokens that each parent path picks."""
-    at, what = [], []
-    per = max(1, 2_000_000 // max(1, len(tokens)))  # bounded memory for very long texts
-    for k in range(0, len(parents), per):
-        h = _mix(tokens[None, :] ^ parents[k : k + per, None])
-        i, j = np.nonzero(h.astype(np.float64) < limit)
-        at.append(parents[k + i])
-        what.append(_mix(h[i, j] + parents[k + i]) ^ tokens[j])
-    return np.concatenate(at), np.concatenate(what)
+    h = _mix(tokens[None, :] ^ parents[:, None])
+    i, j = np.nonzero(h <= limit)
+    return parents[i], _mix(h[i, j] + parents[i]) ^ tokens[j]
+
+
+def _limit(picks: float, size: int) -> np.uint64:
+    return np.uint64(min(_MASK, int(2**64 * picks / size)))
 
 
 def paths_of(tokens: np.ndarray, runs: int, similar: float = SIMILAR, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level its (parent, path) pairs; parents of the first are the runs' seeds.
+    """For each level its (parent, path) pairs; the first has no parents.
 
-    A token is picked with chance 1 / (similar * size): a set at the threshold
-    shares at least ``similar`` of the larger set's tokens, so one pick on average.
+    A run picks a token with chance 1 / (similar * size): a set at the
+    threshold shares at least ``similar`` of the larger set's tokens, so one
+    pick on average. The first picks of all runs are one draw by one hash. The
+    later ones are drawn from a sample of the tokens with the least hashes,
+    which similar sets share as they do the whole.
     """
-    limit = min(2.0**64, 2.0**64 / (similar * len(tokens)))
-    levels, parents = [], np.array(_SEEDS[:runs], np.uint64)
-    for _ in range(depth):
-        levels.append(_children(tokens, parents, limit))
-        parents = np.unique(levels[-1][1])
+    h = _mix(tokens ^ _FIRST)
+    level = np.unique(_mix(tokens[h <= _limit(runs / similar, len(tokens))] + _FIRST))
+    levels = [(level[:0], level)]
+    if len(tokens) > SAMPLE:
+        tokens = tokens[np.argpartition(_mix(tokens ^ _LATER), SAMPLE - 1)[:SAMPLE]]
+    for _ in range(depth - 1):
+        levels.append(_children(tokens, level, _limit(1 / similar, len(tokens))))
+        level = np.unique(levels[-1][1])
     return levels
 
 
