@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,25 +57,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """Words to their 64-bit hashes, kept up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word.encode())
+        if len(self) < 300_000 and len(word) <= 64:
+            self[word] = h
+        return h
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: White space by Unicode that doesn't part words here.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _split(text: str) -> list[str]:
+    """Maximal runs of other characters than the space and U+0009 to U+000D."""
+    return _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
+
+
 class Shingler:
     """Texts to sorted 64-bit hashes of their distinct n-grams of words."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.seen = words, {}
-
-    def _word(self, w: str) -> int:
-        h = self.seen.get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w.encode())
-            if len(self.seen) < 300_000 and len(w) <= 64:
-                self.seen[w] = h
-        return h
+        self.words, self.hashes = words, _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = _split(text or "")
         if not words:
             return np.empty(0, np.uint64)
-        h = np.fromiter(map(self._word, words), np.uint64, len(words))
+        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
         k = min(self.words, len(words))
         out = np.zeros(len(words) - k + 1, np.uint64)
         for i in range(k):
@@ -82,14 +95,6 @@ class Shingler:
         return np.unique(out)
 
 
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
-def _split(text: str) -> list[str]:
-    """Maximal runs of other characters than the space and U+0009 to U+000D."""
-    return [w for w in text.translate(_SPACES).split(" ") if w]
-
-
 def key_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -131,10 +136,10 @@ def paths_of(tokens: np.ndarray, runs: int, similar: float = SIMILAR, depth: int
 
 
 def _scan(docs: DataFrame, text: str, doc_id: str, runs: int, words: int, similar: float) -> DataFrame:
-    """A row for each document: doc_id, key (null without words), sketch, p1, p2, p3."""
-    names = ["doc_id", "key", "sketch", "p1", "a2", "p2", "a3", "p3"]
+    """A row for each document: doc_id, hash of its text, key (null without words), sketch and paths."""
+    names = ["doc_id", "hash", "key", "sketch", "p1", "a2", "p2", "a3", "p3"]
     longs = pa.list_(pa.int64())
-    kinds = [pa.int64(), pa.binary(), pa.binary(), longs, longs, longs, longs, longs]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), longs, longs, longs, longs, longs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -142,17 +147,17 @@ def _scan(docs: DataFrame, text: str, doc_id: str, runs: int, words: int, simila
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part, rows = b.slice(at, 2000), []
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for i, t, x in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                     tokens = shingles(t)
                     if not len(tokens):
-                        rows.append((i, None, None, [], [], [], [], []))
+                        rows.append((i, x, None, None, [], [], [], [], []))
                         continue
                     (_, p1), (a2, p2), (a3, p3) = paths_of(tokens, runs, similar)
-                    rows.append((i, key_of(tokens), sketch_of(tokens).tobytes(), signed(np.unique(p1)), signed(a2), signed(p2), signed(a3), signed(p3)))
+                    rows.append((i, x, key_of(tokens), sketch_of(tokens).tobytes(), signed(np.unique(p1)), signed(a2), signed(p2), signed(a3), signed(p3)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
-    schema = "doc_id bigint, key binary, sketch binary, p1 array<bigint>, a2 array<bigint>, p2 array<bigint>, a3 array<bigint>, p3 array<bigint>"
-    return docs.select(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    schema = "doc_id bigint, hash bigint, key binary, sketch binary, p1 array<bigint>, a2 array<bigint>, p2 array<bigint>, a3 array<bigint>, p3 array<bigint>"
+    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("x")).mapInArrow(run, schema)
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
@@ -247,7 +252,9 @@ def _candidates(rows: list[tuple]) -> list[tuple]:
 
 
 def _spanning(left: list[tuple], right: list[tuple], linked: np.ndarray) -> list[tuple]:
-    """(a, b) keys: one link less than nodes for each connected part of a bipartite or own block."""
+    """(key, least key) of each connected part of a pair of blocks: as groups
+    that meet in many buckets have the same least key there, their links repeat
+    and become one."""
     parent: dict[bytes, bytes] = {}
 
     def root(x: bytes) -> bytes:
@@ -255,15 +262,13 @@ def _spanning(left: list[tuple], right: list[tuple], linked: np.ndarray) -> list
             parent[x] = x = parent[parent[x]]
         return x
 
-    out = []
     for i in np.flatnonzero(linked.any(axis=1)):
         x = left[i][3]
         for j in np.flatnonzero(linked[i]):
-            y = right[j][3]
-            if x != y and (p := root(x)) != (q := root(y)):
-                parent[q] = p
-                out.append((x, y))
-    return out
+            p, q = root(x), root(right[j][3])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    return [(x, r) for x in list(parent) if (r := root(x)) != x]
 
 
 def _exact(similar: float):
@@ -302,7 +307,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """
     whole = stage(_scan(docs, text, doc_id, runs_for(recall), words, similar), "scanned")
     columns = ("sketch", "p1", "a2", "p2", "a3", "p3")
-    sets = whole.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in columns])
+    sets = whole.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.min("hash").alias("hash"), *[F.first(c).alias(c) for c in columns])
     sets = stage(sets, "sets")
 
     buckets = _buckets(sets)
@@ -311,10 +316,10 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     groups = connected_components(stage(links, "links"))
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = groups.withColumnRenamed("node", "key").join(sizes, "component").join(sets.select("key", "weight"), "key")
+    members = groups.withColumnRenamed("node", "key").join(sizes, "component").join(sets.select("key", "weight", "hash"), "key")
     members = stage(members, "members")
-    tokens = _tokens_of(docs, text, words, members.select("key"))
-    rows = members.join(tokens, "key")
+    tokens = _tokens_of(docs, text, words, members.select("hash"))
+    rows = members.drop("hash").join(tokens, "key")
     compared = _by_group(_blocked(rows, "component", BLOCK), ["component", "i", "j"], ["own", "key", "tokens", "weight"], _exact(similar), "key binary, n bigint, other binary", [pa.binary(), pa.int64(), pa.binary()], ["key", "n", "other"])
     compared = stage(compared, "compared")
 
@@ -328,8 +333,12 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     return whole.where("key is not null").select("doc_id", "key").join(result, "key").select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
-def _tokens_of(docs: DataFrame, text: str, words: int, keys: DataFrame) -> DataFrame:
-    """(key, tokens) of the sets with these keys, made anew from the texts."""
+def _tokens_of(docs: DataFrame, text: str, words: int, hashes: DataFrame) -> DataFrame:
+    """(key, tokens) of the texts with these hashes, made anew from the texts.
+
+    One text of each set is enough; texts whose hash is that of another merely
+    add sets that no one asks for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -338,10 +347,10 @@ def _tokens_of(docs: DataFrame, text: str, words: int, keys: DataFrame) -> DataF
                 found = [shingles(t) for t in b.slice(at, 1000).column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "tokens"])
 
-    made = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "key binary, tokens binary")
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return made.join(keys, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    if hashes.count() <= BROADCAST_KEYS:
+        hashes = F.broadcast(hashes)
+    texts = docs.select(F.col(f"`{text}`").alias("text")).withColumn("hash", F.xxhash64("text")).join(hashes, "hash", "left_semi")
+    return texts.select("text").mapInArrow(run, "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
