@@ -142,7 +142,7 @@ def gentle(text: Column) -> Column:
 
 def aggressive(text: Column) -> Column:
     """Trimmed lines without the blank ones."""
-    return F.array_join(F.filter(F.transform(F.split(gentle(text), "\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(gentle(text), "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def common_lines(a: Column, b: Column) -> Column:

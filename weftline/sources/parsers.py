@@ -257,7 +257,7 @@ def annotations(files: DataFrame, tag: str) -> DataFrame:
     rows = _lines(files).where(F.col("line_text").rlike(p))
     kind, message = F.regexp_extract("line_text", p, 1), F.trim(F.regexp_extract("line_text", p, 2))
     severity = F.when(kind == "warning", "warning").when(kind == "policy", "error").otherwise("info")
-    tags = F.when(kind == "tags", F.transform(F.split(message, ","), F.trim))
+    tags = F.when(kind == "tags", F.transform(F.split(message, ","), lambda x: F.trim(x)))
     return rows.select("path", "line", kind.alias("type"), severity.alias("severity"), message.alias("message"), tags.alias("tags"))
 
 
@@ -341,7 +341,7 @@ def summary(path: Column, content: Column, most: int = 200, least: int = 15) ->
         text = F.transform(F.split(body, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*\*\s?", "")))
         return squeeze(F.filter(text, lambda x: (x != "") & ~x.startswith("@") & ~x.startswith("!")))
 
-    rows = F.transform(F.split(content, "\n"), F.trim)
+    rows = F.transform(F.split(content, "\n"), lambda x: F.trim(x))
     rows = F.split(F.regexp_replace(F.array_join(rows, "\n"), r"^\n+", ""), "\n")
     slashes = F.forall(rows, lambda x: x.startswith("//"))
     said = F.filter(F.transform(rows, lambda x: F.trim(F.regexp_replace(x, r"^//\s?", ""))), lambda x: (x != "") & ~x.rlike("^[!<=]"))
