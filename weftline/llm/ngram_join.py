@@ -353,12 +353,11 @@ def _tokens_of(docs: DataFrame, text: str, words: int, hashes: DataFrame) -> Dat
     return texts.select("text").mapInArrow(run, "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
-def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs``, with their columns, less all but one of each group
-    of similar documents: that with the least doc_id stays. Of rows with equal
-    doc_id one stays. Rows with null doc_id and wordless texts stay."""
-    judged = similar_documents(docs, text, doc_id, **how)
-    leave = judged.where("class_id <> doc_id").select(F.col("doc_id").alias("__leaves")).distinct()
-    rows = packed(docs, "row")
-    rows = rows.join(leave, F.col(f"row.`{doc_id}`") == F.col("__leaves"), "left_anti")
-    return unpacked(rows, "row")
+def keep_one_of_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, with their columns, less all but the first of each
+    group of similar documents, in the order of the table. Ids play no part:
+    they may be null or repeat. Wordless texts stay."""
+    rows = stage(packed(docs, "row").withColumn("rid", F.monotonically_increasing_id()), "rows")
+    judged = similar_documents(rows.select("rid", F.col(f"row.`{text}`").alias("text")), "text", "rid", **how)
+    leave = judged.where("class_id <> doc_id").select(F.col("doc_id").alias("rid"))
+    return unpacked(rows.join(leave, "rid", "left_anti").select("row"), "row")

@@ -215,10 +215,13 @@ def train(docs: DataFrame, text: str = "text") -> Field:
             out = []
             for t in b.column(0).to_pylist():
                 tokens = tokens_of(t, base_spans(t))[:TOKENS]
+                taken = {x.norm for x in tokens if x.label and len(x.norm) >= LEAST}
+                for x in tokens:  # no pattern takes it, though it takes a similar one: its label is unknown
+                    x.label = -1 if not x.label and x.norm in taken else x.label
                 chain, skip = map(dict, _edges(tokens))
                 order = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=7).digest(), "little")
                 after = lambda links, k: tokens[links[k]].label if k in links else -1
-                out += [(order, _features(tokens, k), x.label, after(chain, k), after(skip, k)) for k, x in enumerate(tokens)]
+                out += [(order, _features(tokens, k), x.label, after(chain, k), after(skip, k)) for k, x in enumerate(tokens) if x.label >= 0]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names)
 
     got = rows.mapInArrow(run, "order bigint, at array<int>, label int, chain int, skip int").toArrow()
@@ -235,9 +238,9 @@ def train(docs: DataFrame, text: str = "text") -> Field:
         np.add.at(joint, (label[has], other[has]), 1)
         joint += joint.T
         if into == "skip":  # how much likelier similar tokens agree than by chance, alike for all labels
-            agree = np.trace(joint) / joint.sum()
+            agree = ((label[has] == other[has]).sum() + 7.9) / (has.sum() + 8)  # as if 8 pairs had been seen that all but agree
             by_chance = float(((joint.sum(axis=1) / joint.sum()) ** 2).sum())
-            model.skip = np.eye(LABELS) * max(3.0, min(6.0, math.log(agree / max(1e-9, 1 - agree)) - math.log(by_chance / max(1e-9, 1 - by_chance))))
+            model.skip = np.eye(LABELS) * max(3.0, min(6.0, math.log(agree / (1 - agree)) - math.log(by_chance / max(1e-9, 1 - by_chance))))
         else:
             share = joint / joint.sum()
             model.chain = np.clip(np.log(share / np.outer(share.sum(axis=1), share.sum(axis=0))), -2, 2)
