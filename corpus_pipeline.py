@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, langid, ngram_join, packing, quality, secret_scan
-from weftline.llm.common import stage, table, unpacked
+from weftline.llm.common import bounded_batches, stage, table
 
 #: Documents whose language is less sure than this go.
 LEAST_SCORE = 0.5
@@ -19,6 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language or of an unsure one go; a missing lang is filled in."""
+    bounded_batches(spark)
     model = langid.train(docs, F.lit(True))
     found = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     lang = F.coalesce("row.lang", "lang_pred").alias("lang")
@@ -27,16 +28,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays."""
+    bounded_batches(spark)
     return ngram_join.keep_one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are replaced in the texts; all documents stay."""
+    bounded_batches(spark)
     return secret_scan.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their places in the sequences."""
+    bounded_batches(spark)
     return packing.pack_digests(docs, bpe.vocabulary_path("byte_bpe_50k.json"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 CHUNK, OVERLAP = 16384, 256
 #: Pieces kept with their ids in a Python worker, and the longest of them.
-CACHED, LONGEST = 200_000, 64
+CACHED, LONGEST = 100_000, 64
 
 
 def vocabulary_path(name: str) -> str:
@@ -166,10 +166,12 @@ def _added(df: DataFrame, column: str, added: list[tuple[str, T.DataType]], f) -
     kinds = {T.BinaryType(): pa.binary(), T.LongType(): pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = list(f(b.column(b.schema.get_field_index(column)).to_pylist()))
-            new = [pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(added)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *[n for n, _ in added]])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                rows = list(f(b.column(b.schema.get_field_index(column)).to_pylist()))
+                new = [pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(added)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *[n for n, _ in added]])
 
     return df.mapInArrow(run, schema)
 

@@ -54,7 +54,19 @@ def _quietly_remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows in a batch that goes to a Python worker: texts are long, and workers keep the memory of their largest batch.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size for Python workers to BATCH_ROWS, if it is above."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -62,7 +62,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word.encode())
-        if len(self) < 300_000 and len(word) <= 64:
+        if len(self) < 100_000 and len(word) <= 64:
             self[word] = h
         return h
 
@@ -145,8 +145,8 @@ def _scan(docs: DataFrame, text: str, doc_id: str, runs: int, words: int, simila
         shingles = Shingler(words)
         signed = lambda a: a.view(np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part, rows = b.slice(at, 2000), []
+            for at in range(0, b.num_rows, 500):
+                part, rows = b.slice(at, 500), []
                 for i, t, x in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                     tokens = shingles(t)
                     if not len(tokens):
@@ -343,8 +343,8 @@ def _tokens_of(docs: DataFrame, text: str, words: int, hashes: DataFrame) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                found = [shingles(t) for t in b.slice(at, 1000).column(0).to_pylist()]
+            for at in range(0, b.num_rows, 500):
+                found = [shingles(t) for t in b.slice(at, 500).column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "tokens"])
 
     if hashes.count() <= BROADCAST_KEYS:
