@@ -727,3 +727,81 @@ def s3_ignore(m: Model) -> DataFrame:
 @query(sql("files", "select row_number() over (order by lower(path), path)::int as rank, path from files qualify rank between 21 and 40"))
 def o7_list_page(m: Model) -> DataFrame:
     return rank.page(m.files().select("path"), [F.lower("path"), "path"], 2, 20).select("rank", "path")
+
+
+@query(sql("files", "select path from files where doc_id % 3 = 0 or doc_id % 5 = 1"))
+def s9_stale_files(m: Model) -> DataFrame:
+    from ..sources import ingest
+
+    f = m.files()
+    cached = f.select("path", F.lit(10).alias("mtime"))
+    listing = f.where("doc_id % 3 <> 0").select("path", F.when(F.col("doc_id") % 5 == 1, 11).otherwise(10).alias("mtime"))
+    return ingest.stale(cached, listing).select("path")
+
+
+@query(sql("symbols", "select s.path, s.ord, s.name from symbols s join (select path, min(ord) as o, min_by(name, ord) as name, min_by(start_line, ord) as a, min_by(end_line, ord) as b from symbols where path = (select min(path) from symbols) and name = (select min(name) from symbols where path = (select min(path) from symbols)) group by path) p on s.path = p.path where s.start_line > p.a and s.end_line <= p.b + 20 and s.name <> p.name"))
+def f11_nested_symbols(m: Model) -> DataFrame:
+    s = m.symbols()
+    path = s.agg(F.min("path")).first()[0]
+    name = s.where(F.col("path") == path).agg(F.min("name")).first()[0]
+    first = s.where((F.col("path") == path) & (F.col("name") == name)).agg(F.min("ord")).first()[0]
+    wide = s.withColumn("end_line", F.when(F.col("ord") == first, F.col("end_line") + 20).otherwise(F.col("end_line")))
+    return lines.nested_symbols(wide, path, name).select("path", "ord", "name")
+
+
+@query(sql("files lines", "select path, line_no as line, line as value from lines where contains(lower(line), 'apache') and contains(lower(line), 'license') order by path, line_no limit 50"))
+def f10_search_annotations(m: Model) -> DataFrame:
+    notes = search.match_lines(m.files(), "license").select("path", F.col("line_no").cast("bigint").alias("line"), F.lit("policy").alias("category"), F.col("line").alias("value"), F.col("line").alias("raw"))
+    return stores.search_annotations(notes, "APACHE", "policy").select("path", "line", "value")
+
+
+@query(sql("files", "select path, md5(array_to_string(list_filter(list_transform(str_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) as digest from files"))
+def n4_normalised(m: Model) -> DataFrame:
+    return m.files().select("path", F.md5(T.aggressive(F.col("content"))).alias("digest"))
+
+
+@query("select p_partkey, left(p_name, k) || (case when substr(p_name, k + 1) <> '' then '{-' || substr(p_name, k + 1) || '-}' else '' end) || '{+' || '!!' || '+}' as diff from (select p_partkey, p_name, length(p_name) as k from part)")
+def n3_inline_diff(m: Model) -> DataFrame:
+    return m.table("part").select("p_partkey", T.inline_diff(F.col("p_name"), F.concat("p_name", F.lit("!!"))).alias("diff"))
+
+
+@query(sql("files", "select path, len(str_split(content, chr(10))) as own, len(list_filter(list_zip(str_split(content, chr(10)), str_split(replace(content, 'the', 'the '), chr(10))), lambda p: p[1] = p[2])) as common from files"))
+def a22_common_lines(m: Model) -> DataFrame:
+    c = F.col("content")
+    return m.files().select("path", F.size(F.split(c, "\n")).cast("bigint").alias("own"), T.common_lines(c, F.replace(c, F.lit("the"), F.lit("the "))).cast("bigint").alias("common"))
+
+
+@query(sql("edges nodes", "select path as id, path as label from nodes"))
+def k3_snapshot_nodes(m: Model) -> DataFrame:
+    from ..sources import catalog
+
+    return catalog.nodes_and_edges(m.nodes(), m.edges())[0]
+
+
+@query(sql("files label_store assignments", "select id, name from label_store where id in (select label_id from assignments where target = (select min(target) from assignments))"))
+def f16_labels_of_target(m: Model) -> DataFrame:
+    target = m.assignments().agg(F.min("target")).first()[0]
+    return stores.labels_of(m.assignments(), m.label_store(), target).select("id", "name")
+
+
+@query(sql("edges", "select dst, degree, round(least(degree::double / (select greatest(max(n), 1) from (select count(*) as n from edges group by dst)), 1.0), 6) as confidence from (select dst, count(*) as degree from edges group by dst)"))
+def w7_confidence(m: Model) -> DataFrame:
+    degrees = m.edges().groupBy("dst").agg(F.count("*").alias("degree"))
+    return rounded(rank.confidence(degrees, "degree"), "confidence")
+
+
+@query(sql("files", "select path, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(left(summary, 60)), '[^a-z0-9]+'), lambda x: length(x) > 2 and x not in (" + ", ".join(map(repr, T.STOP_WORDS_LONG)) + ")))), ' ') as words from files"))
+def n9_keywords(m: Model) -> DataFrame:
+    return m.files().select("path", F.array_join(F.array_sort(T.keywords(F.substring("summary", 1, 60))), " ").alias("words"))
+
+
+@query(sql("files", "select path, length(content) + 3 as n, md5(content || (case when content = '' or content like '%' || chr(10) then '' else chr(10) end) || 'end') as digest from files".replace("length(content) + 3", "length(content || (case when content = '' or content like '%' || chr(10) then '' else chr(10) end)) + 3")))
+def io_append(m: Model) -> DataFrame:
+    new = lines.append(F.col("content"), "end")
+    return m.files().select("path", F.length(new).cast("bigint").alias("n"), F.md5(new).alias("digest"))
+
+
+@query(sql("files", "select path, md5(array_to_string(list_concat(list_concat(l[1:1], ['NEW', 'LINES']), l[4:len(l)]), chr(10))) as digest from (select path, str_split(content, chr(10)) as l from files) where len(l) >= 3"))
+def io_replace_lines(m: Model) -> DataFrame:
+    long = m.files().where(F.size(F.split("content", "\n")) >= 3)
+    return long.select("path", F.md5(lines.replace_lines(F.col("content"), F.lit(2), F.lit(3), F.lit("NEW\nLINES"))).alias("digest"))
