@@ -44,7 +44,15 @@ def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     path = f"{shared_root(spark)}/weftline-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", codec).parquet(path)
     atexit.register(_quietly_remove, spark, path.rsplit("/", 1)[0])
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stage_path = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stage`` that nothing will read again."""
+    for df in tables:
+        _remove(df.sparkSession, df.stage_path)
 
 
 def _quietly_remove(spark: SparkSession, path: str) -> None:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stage, unpacked
+from .common import discard, packed, stage, unpacked
 from .graph import connected_components
 
 WORDS, SIMILAR, RECALL = 5, 0.8, 0.999
@@ -160,21 +160,23 @@ def _scan(docs: DataFrame, text: str, doc_id: str, runs: int, words: int, simila
     return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("x")).mapInArrow(run, schema)
 
 
-def _buckets(sets: DataFrame) -> DataFrame:
-    """(bucket, key) of the buckets to compare: of two sets at least, each
-    split until it is small or its paths end."""
-    found, level = None, sets.select(F.explode("p1").alias("bucket"), "key")
+def _buckets(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(bucket, key, n) of the buckets to compare, of two sets at least, each
+    split until it is small or its paths end; and the tables that this reads."""
+    found, tables, level = None, [], sets.select(F.explode("p1").alias("bucket"), "key")
     for depth in range(1, DEPTH + 1):
         level = stage(level, f"level{depth}")
         sizes = level.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         sized = stage(level.join(sizes, "bucket"), f"sized{depth}")
+        discard(level)
+        tables.append(sized)
         here = sized.where(F.col("n") <= BUCKET) if depth < DEPTH else sized
         found = here if found is None else found.unionByName(here)
         if depth < DEPTH:
             large = sized.where(F.col("n") > BUCKET).select("bucket", "key")
             paths = sets.select("key", F.explode(F.arrays_zip(F.col(f"a{depth + 1}").alias("a"), F.col(f"p{depth + 1}").alias("p"))).alias("x")).select("key", F.col("x.a").alias("parent"), F.col("x.p").alias("path"))
             level = paths.join(large.withColumnRenamed("bucket", "parent"), ["parent", "key"]).select(F.col("path").alias("bucket"), "key")
-    return found.select("bucket", "key", "n")
+    return found.select("bucket", "key", "n"), tables
 
 
 def _blocked(rows: DataFrame, group: str, block: int) -> DataFrame:
@@ -308,12 +310,15 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     whole = stage(_scan(docs, text, doc_id, runs_for(recall), words, similar), "scanned")
     columns = ("sketch", "p1", "a2", "p2", "a3", "p3")
     sets = whole.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.min("hash").alias("hash"), *[F.first(c).alias(c) for c in columns])
-    sets = stage(sets, "sets")
+    sets, ids = stage(sets, "sets"), stage(whole.select("doc_id", "key"), "ids")
+    discard(whole)
 
-    buckets = _buckets(sets)
+    buckets, tables = _buckets(sets)
     sketched = buckets.join(sets.select("key", "sketch"), "key")
     links = _by_group(_blocked(sketched, "bucket", BLOCK), ["bucket", "i", "j"], ["own", "key", "sketch"], _candidates, "a binary, b binary", [pa.binary()] * 2, ["a", "b"])
-    groups = connected_components(stage(links, "links"))
+    links = stage(links, "links")
+    discard(*tables)
+    groups = connected_components(links)
 
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = groups.withColumnRenamed("node", "key").join(sizes, "component").join(sets.select("key", "weight", "hash"), "key")
@@ -329,8 +334,8 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     named = stage(named.withColumn("component", F.coalesce("component", "key")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("class_id"))
     result = named.join(least, "component").select("key", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    alone = whole.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return whole.where("key is not null").select("doc_id", "key").join(result, "key").select("doc_id", "class_id", "n_links").unionByName(alone)
+    alone = ids.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return ids.where("key is not null").select("doc_id", "key").join(result, "key").select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
 def _tokens_of(docs: DataFrame, text: str, words: int, hashes: DataFrame) -> DataFrame:
