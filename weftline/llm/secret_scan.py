@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,10 +49,11 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def key_spans(text: str, base: list[tuple]) -> list[tuple[int, int, int, str]]:
     """Runs that look random and overlap no span of ``base``."""
-    found = []
+    found, starts = [], [b[0] for b in base]
+    reach = list(accumulate((b[2] for b in base), max))  # the furthest end so far
     for m in KEY.finditer(text):
-        v = m[0]
-        if re.search("[0-9]", v) and re.search("[A-Z]", v) and re.search("[a-z]", v) and not any(b[0] < m.end() and m.start() < b[2] for b in base):
+        v, before = m[0], bisect_left(starts, m.end())
+        if re.search("[0-9]", v) and re.search("[A-Z]", v) and re.search("[a-z]", v) and not (before and reach[before - 1] > m.start()):
             found.append((m.start(), 3, m.end(), v))
     return found
 
