@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import audit, experience, fuzzy, graph, lines, rank, search, sessions, stores
+from weftline.plans import registry
 
 
 def one(spark, column, **values):
@@ -160,6 +161,30 @@ def test_fuzzy(spark):
     assert tuple(fuzzy.best_line(numbered, "   gamma ", 3).first()) == ("f", 3, 0.95)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_best_block_over_all_files(spark, tmp_path):
+    texts = {5: "Of be\nthe thing\nand the", 7: "Öf be\nthe thing\nänd the\nof", 200: "x\nOf be\nthe thing\nand tho", 9000: "é\nß\nof be\nthe\nthing\nand the", 9001: "two\nlines"}
+    rows = [(i, t, "en", "src1", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for i, t in texts.items():
+        lines_ = t.split("\n")
+        blocks = [(k + 1, "\n".join(lines_[k : k + 3])) for k in range(len(lines_) - 2)]
+        scores = [(1 - distance(b, registry._N6) / max(len(b), len(registry._N6)), -k) for k, b in blocks]
+        want |= {(i, -max(scores)[1], round(max(scores)[0], 6))} if scores else set()
+    files = registry.Model(spark, str(tmp_path)).files().select("path", "doc_id")
+    got = registry.QUERIES["n6_best_block_all"](spark, str(tmp_path)).join(files, "path")
+    assert {(r["doc_id"], r["start"], r["score"]) for r in got.collect()} == want and len(want) == 4
+
+
 def test_sessions(spark):
     log = spark.createDataFrame(
         [("s", 0, "file:create", "a", None), ("s", 60, "file:write", "a", None), ("s", 90, "file:write", "b", None), ("s", 99, "file:rename", "b", "c"), ("s", 120, "annotation:add:meta", "a", None), ("s", 130, "group:notate", "g", None)],
