@@ -154,6 +154,17 @@ def test_skip_chain_adds_what_repeats(spark):
     assert [got[i]["spans"] for i in (2, 3, 4)] == ["", "", ""]
 
 
+def test_repeats_far_from_the_base_span_are_found():
+    text = "Call +1 (988) 555-2485 first." + " Then some words that hold no number at all; 555-2485 again." * 50
+    base = pii.base_spans(text)
+    want = [(3, m.start(), m.end()) for m in re.finditer("555-2485", text)][1:]
+    assert len(want) == 50
+    for weight in (4.0, 6.0):
+        assert pii.added_spans(text, base, pii.Field(skip=np.eye(pii.LABELS) * weight)) == want
+    text = " ".join(f"{w} 555-2485 and so many words between them, more than forty characters." for w in ["x"] * 30 + ["+1 (988)"] + ["x"] * 30)
+    assert len(pii.added_spans(text, pii.base_spans(text), pii.Field())) == 60
+
+
 def test_message_passing_is_exact_on_a_tree():
     tokens = [pii.Token(30 * k, 30 * k + 5, "9", f"n{k // 2}abc", "") for k in range(4)]
     rng = np.random.default_rng(0)

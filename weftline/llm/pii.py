@@ -144,7 +144,7 @@ class Field:
 
 
 def _edges(tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Neighbours less than 40 characters apart, and each token with the last similar one: links grow with the tokens, not with their pairs."""
+    """Neighbours less than 40 characters apart, and each token with the last similar one, as the weights are learned: links grow with the tokens, not with their pairs."""
     chain = [(k, k + 1) for k in range(len(tokens) - 1) if tokens[k + 1].start - tokens[k].end < 40]
     last: dict[str, int] = {}
     skip = []
@@ -156,9 +156,31 @@ def _edges(tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int,
     return chain, skip
 
 
+def _ties(tokens: list[Token]) -> list[tuple[int, int]]:
+    """Skip edges of the field: each token with the nearest similar ones in base spans before and after it, so that evidence is one edge away
+    from every repeat; where a group has none in a base span, with the last similar one. At most two edges a token."""
+    groups: dict[str, list[int]] = {}
+    for k, t in enumerate(tokens):
+        if len(t.norm) >= LEAST:
+            groups.setdefault(t.norm, []).append(k)
+    out = []
+    for members in groups.values():
+        known = [k for k in members if tokens[k].label]
+        if not known:
+            out += list(zip(members, members[1:]))
+            continue
+        i = 0
+        for k in members:
+            while i < len(known) and known[i] < k:
+                i += 1
+            if not tokens[k].label:
+                out += [(j, k) for j in known[max(0, i - 1) : i + 1]]
+    return out
+
+
 def marginals(tokens: list[Token], model: Field) -> np.ndarray:
     """Label probabilities by loopy message passing; tokens in base spans are evidence."""
-    chain, skip = _edges(tokens)
+    chain, skip = _edges(tokens)[0], _ties(tokens)
     score = np.array([model.unary[_features(tokens, k)].sum(axis=0) for k in range(len(tokens))])
     known = np.array([t.label for t in tokens])
     score[known > 0] = -50.0
@@ -188,7 +210,7 @@ def marginals(tokens: list[Token], model: Field) -> np.ndarray:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Field) -> list[tuple[int, int, int]]:
-    """Spans of tokens outside the base spans that the field labels, and that a chain of similar tokens ties to a base span of that kind."""
+    """Spans of tokens outside the base spans that the field labels, and that is similar to a base span of that kind."""
     if not base:
         return []
     tokens = tokens_of(text, base)
