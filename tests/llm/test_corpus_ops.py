@@ -165,6 +165,41 @@ def test_repeats_far_from_the_base_span_are_found():
     assert len(pii.added_spans(text, pii.base_spans(text), pii.Field())) == 60
 
 
+def test_similar_numbers_and_addresses_are_whole_nodes():
+    says = "Call +1 (017) 555-7713 or mail bob.x@mail.example.com or pay 4736962573099581 from 10.20.0.1 now. Then %s, and so on."
+    for form, kind in {"(017) 555-7713": 3, "0175557713": 3, "017-555-7713": 3, "001 017 555 7713": 3, "555-7713": 3, "1.017.555.7713": 3, "017/5557713": 3, "4736 9625 7309 9581": 2, "4736-9625 7309_9581": 2, "4736.9625.7309.9581": 2, "bob.x @ mail.example.com": 0, "bob-x @ mail . example . com": 0, "10-20-0-1": 1}.items():
+        text = says % form
+        base = pii.base_spans(text)
+        if any(text[a:b] == form for _, a, b in base):  # a pattern takes it
+            continue
+        at = text.rindex(form)
+        assert pii.added_spans(text, base, pii.Field()) == [(kind, at, at + len(form))], form
+    for form in ("9625", "7309 9581", "555-7714", "+", "0175557713x", "x0175557713", "017 and 555-771", "tom.x @ mail.example.com", "77130", "20.0.1"):
+        text = says % form
+        assert pii.added_spans(text, pii.base_spans(text), pii.Field()) == [], form
+    text = says % "room 77 0175557713 and 4736 9625 7309 9581 4736 9625 7309 9581"
+    assert [text[a:b] for _, a, b in sorted(pii.added_spans(text, pii.base_spans(text), pii.Field()), key=lambda x: x[1])] == ["0175557713"] + ["4736 9625 7309 9581"] * 2
+
+
+def test_learned_weights_find_other_forms_in_a_list(spark):
+    rows = [(i, f"write to u{i}@m.example.org or call +1 (200) 555-{1000 + i} today; room {i}, " + "and more words after it. " * 3) for i in range(60)]
+    model = pii.train(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    text = "Call +1 (988) 555-2485 or +1 (988) 555-9999. Then (988) 555-2485, 988-555-9999 again, and 9885552485."
+    got = [text[a:b] for _, a, b in sorted(pii.added_spans(text, pii.base_spans(text), model), key=lambda x: x[1])]
+    assert got == ["(988) 555-2485", "988-555-9999", "9885552485"]
+
+
+def test_nodes_are_apart_and_hold_the_base_spans():
+    rng = random.Random(3)
+    for _ in range(3000):
+        t = " ".join(rng.choice(["+1 (017) 555-7713", "017 555 7713", "0175557713", "5557713", "1.2.3.4", "1234", "4736962573099581", "4736 9625 7309 9581", "a@b.co", "a @ b.co", "a@", "x", "7713.", "(017)"]) for _ in range(rng.randrange(12)))
+        base = pii.base_spans(t)
+        tokens = pii.tokens_of(t, base)
+        assert all(x.end <= y.start for x, y in zip(tokens, tokens[1:])), t
+        assert all(any(x.label and x.start < b and a < x.end for x in tokens) for _, a, b in base), t
+        assert all(a >= y or b <= x for _, a, b in pii.added_spans(t, base, pii.Field()) for _, x, y in base), t
+
+
 def test_message_passing_is_exact_on_a_tree():
     tokens = [pii.Token(30 * k, 30 * k + 5, "9", f"n{k // 2}abc", "") for k in range(4)]
     rng = np.random.default_rng(0)

@@ -1,12 +1,14 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-The patterns of the fixed kinds give the base spans. Tokens that hold a digit
-or ``@`` are the nodes of the field; neighbours in the text and, over any
-distance, repeated or similar tokens share potentials. Loopy message passing
-makes their labels consistent in each document, so that a token that no pattern
-takes (a number without its prefix, an address with other punctuation) gets the
-kind of its equal elsewhere in the document. Base spans always stay, as
-evidence and in the result.
+The patterns of the fixed kinds give the base spans. They, whole numbers and
+addresses that are similar to one, and other tokens that hold a digit or ``@``
+are the nodes of the field; neighbours in the text and, over any distance,
+repeated or similar nodes share potentials. Loopy message passing makes their
+labels consistent in each document, so that a number or address that no pattern
+takes gets the kind of its like elsewhere in the document, in one span. Similar
+are equal letters and digits, whatever stands between them (up to three blanks
+between groups of digits), and for a phone its last digits, without or with
+zeros before them. Base spans always stay, as evidence and in the result.
 
 The weights are learned from the base spans of a bounded sample of documents.
 """
@@ -14,6 +16,7 @@ The weights are learned from the base spans of a bounded sample of documents.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -34,8 +37,10 @@ FEATURES = 4096
 ROUNDS, DAMPING = 12, 0.5
 #: A token gets a span if its label has this probability.
 SURE = 0.9
-#: Least characters of a token's letters and digits to be similar to another.
-LEAST = 4
+#: Least characters of letters and digits to be similar to another, and least last digits of a phone where they don't begin with a group of it.
+LEAST, SUFFIX = 4, 7
+#: Blank-parted pieces from the @ of an address.
+AFTER = 8
 
 # The characters of an address before the @, and the patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,6 +51,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 
 _DIGITS = re.compile(r"[0-9]")
+_GROUP = re.compile(r"[0-9]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -107,25 +113,115 @@ def _shape(token: str) -> str:
     return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", out)[:40]
 
 
-def tokens_of(text: str, base: list[tuple[int, int, int]]) -> list[Token]:
-    """The nodes of the field in order, labelled by the base span over them."""
-    spans = sorted((a, b, k + 1) for k, a, b in base)
-    out, i = [], 0
-    reach: list[tuple[int, int, int]] = []
-    for m in _NODE.finditer(text):
-        s, e = m.span()
-        raw = m[0].strip(".,;:!?()[]{}<>\"'")
-        if not raw:
+def _norm(text: str) -> str:
+    return re.sub(r"[\W_]", "", text).lower()
+
+
+def _keys(text: str, base: list[tuple[int, int, int]]) -> tuple[dict[str, str], dict[str, str]]:
+    """What is similar to the base spans: digits of numbers, and letters and digits of addresses, each with the norm of its span. Of a phone the last
+    SUFFIX digits or more are similar too, and its last blank-parted pieces of LEAST digits or more. The first span of a key has it."""
+    numbers: dict[str, str] = {}
+    mails: dict[str, str] = {}
+    suffixes: list[tuple[str, str]] = []
+    for kind, a, b in base:
+        norm = _norm(text[a:b])
+        if len(norm) < LEAST:
+            continue
+        if kind == 0:
+            mails.setdefault(norm, norm)
             continue
-        while i < len(spans) and spans[i][0] < e:
-            reach.append(spans[i])
+        numbers.setdefault(norm, norm)
+        if kind == 3:
+            ends = [_norm(part) for part in text[a:b].split()]
+            sizes = {n for k in range(1, len(ends)) if (n := len("".join(ends[k:]))) >= LEAST} | set(range(SUFFIX, len(norm)))
+            suffixes += [(norm[-n:], norm) for n in sorted(sizes)]
+    for key, norm in suffixes:  # equal digits come before a suffix
+        numbers.setdefault(key, norm)
+    return numbers, mails
+
+
+def _similar(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, norm of the base span) of whole numbers and addresses that are similar to a base span, outside of them, the longest from the left."""
+    numbers, mails = _keys(text, base)
+    taken = sorted((a, b) for _, a, b in base)
+    out: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []
+    if numbers:
+        longest = max(map(len, numbers))
+        groups = [m.span() for m in _GROUP.finditer(text)]
+        # Whether the group belongs to the same run as the one before it: few blanks and no letter between them.
+        joins = [False] * len(groups)
+        for k in range(1, len(groups)):
+            gap = text[groups[k - 1][1] : groups[k][0]]
+            joins[k] = not any(c.isalnum() for c in gap) and sum(c.isspace() for c in gap) <= 3
+        k = 0
+        while k < len(groups):
+            start, best, digits, j = groups[k][0], None, "", k
+            if start == 0 or not text[start - 1].isalnum():
+                while j < len(groups) and (j == k or joins[j]) and len(digits) <= longest + 3:
+                    digits += text[groups[j][0] : groups[j][1]]
+                    end = groups[j][1]
+                    if end == len(text) or not text[end].isalnum():
+                        bare = digits.lstrip("0")  # of a trunk or exit code
+                        norm = numbers.get(digits) or (numbers.get(bare) if len(bare) >= SUFFIX else None)
+                        best = (j, end, norm) if norm else best
+                    j += 1
+            if best:
+                j, end, norm = best
+                inside = text[start:end]
+                if start and text[start - 1] == "(" and inside.count(")") > inside.count("("):
+                    start -= 1
+                if start and text[start - 1] == "+":
+                    start -= 1
+                found.append((start, end, norm))
+                k = j
+            k += 1
+    if mails:
+        # An address may stand with blanks around its marks: a word up to the @, and up to AFTER words from it.
+        for m in re.finditer(r"@", text):
+            left = text[max(0, m.start() - 100) : m.start()].rstrip()
+            first = re.search(r"[^\s,;:<>()\[\]\"']*\Z", left)
+            start, best = max(0, m.start() - 100) + first.start(), None
+            for w in list(re.finditer(r"[^\s<>()\[\]\"']+", text[m.start() : m.start() + 200]))[:AFTER]:
+                end = m.start() + w.start() + len(w[0].rstrip(".,;:!?"))
+                norm = mails.get(_norm(text[start:end]))
+                best = (start, end, norm) if norm else best
+            if best:
+                found.append(best)
+    i, last = 0, 0
+    for a, b, norm in sorted(found, key=lambda x: (x[0], -x[1])):
+        while i < len(taken) and taken[i][1] <= a:
             i += 1
-        reach = [x for x in reach if x[1] > s]
-        a = s + m[0].find(raw)
-        head = text[max(0, s - 24) : s].split()
-        token = Token(a, a + len(raw), _shape(raw), re.sub(r"[\W_]", "", raw).lower(), head[-1].lower().strip(":") if head else "")
-        token.label = next((k for x, y, k in reach if x < token.end and token.start < y), 0)
-        out.append(token)
+        if a >= last and not any(a < y for _, y in itertools.takewhile(lambda x: x[0] < b, itertools.islice(taken, i, None))):  # noqa: B023
+            out.append((a, b, norm))
+            last = b
+    return out
+
+
+def tokens_of(text: str, base: list[tuple[int, int, int]]) -> list[Token]:
+    """The nodes of the field in order: base spans, whole numbers and addresses similar to one, and the other tokens that hold a digit or @."""
+    whole: list[tuple[int, int, str, int]] = []
+    for a, b, k in sorted((a, b, k) for k, a, b in base):
+        rest = max(a, whole[-1][1]) if whole else a  # spans of two kinds may overlap
+        if rest < b:
+            whole.append((rest, b, _norm(text[a:b]), k + 1))
+    whole = sorted(whole + [(a, b, norm, 0) for a, b, norm in _similar(text, base)])
+    out: list[Token] = []
+
+    def add(a: int, b: int, norm: str, label: int) -> None:
+        head = text[max(0, a - 24) : a].split()
+        out.append(Token(a, b, _shape(text[a:b]), norm, head[-1].lower().strip(":") if head else "", label))
+
+    at = 0
+    for s, e, norm, label in [*whole, (len(text), len(text), "", 0)]:
+        for m in _NODE.finditer(text, at, s):
+            raw = m[0].strip(".,;:!?()[]{}<>\"'")
+            if raw:
+                a = m.start() + m[0].find(raw)
+                add(a, a + len(raw), _norm(raw), 0)
+        if s < e:
+            add(s, e, norm, label)
+        at = e
     return out
 
 
@@ -144,8 +240,8 @@ class Field:
 
 
 def _edges(tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Neighbours less than 40 characters apart, and each token with the last similar one, as the weights are learned: links grow with the tokens, not with their pairs."""
-    chain = [(k, k + 1) for k in range(len(tokens) - 1) if tokens[k + 1].start - tokens[k].end < 40]
+    """Neighbours less than 40 characters apart, if they aren't similar, and each token with the last similar one, as the weights are learned: links grow with the tokens, not with their pairs."""
+    chain = [(k, k + 1) for k, (x, y) in enumerate(zip(tokens, tokens[1:])) if y.start - x.end < 40 and not (x.norm == y.norm and len(x.norm) >= LEAST)]
     last: dict[str, int] = {}
     skip = []
     for k, t in enumerate(tokens):
@@ -266,6 +362,8 @@ def train(docs: DataFrame, text: str = "text") -> Field:
         else:
             share = joint / joint.sum()
             model.chain = np.clip(np.log(share / np.outer(share.sum(axis=1), share.sum(axis=0))), -2, 2)
+            kinds_ = np.arange(1, LABELS)  # unknown nodes aren't counted, so few neighbours of one kind say nothing against them
+            model.chain[kinds_, kinds_] = np.maximum(model.chain[kinds_, kinds_], 0)
     w, rng = model.unary, np.random.default_rng(0)
     for epoch in range(5):
         rate = 0.2 / (1 + epoch)
