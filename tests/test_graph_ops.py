@@ -185,6 +185,13 @@ def test_best_block_over_all_files(spark, tmp_path):
     assert {(r["doc_id"], r["start"], r["score"]) for r in got.collect()} == want and len(want) == 4
 
 
+def test_keywords_of_the_whole_content(spark, tmp_path):
+    text = "alpha " * 12 + "lateword\nsecond line éa keyword9"
+    spark.createDataFrame([(1, text, "en", "src1", 1), (2, None, "en", "src1", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["path"][-5]: r["words"] for r in registry.QUERIES["n9_keywords_all"](spark, str(tmp_path)).collect()}
+    assert got == {"1": "alpha keyword9 lateword line second", "2": ""}
+
+
 def test_sessions(spark):
     log = spark.createDataFrame(
         [("s", 0, "file:create", "a", None), ("s", 60, "file:write", "a", None), ("s", 90, "file:write", "b", None), ("s", 99, "file:rename", "b", "c"), ("s", 120, "annotation:add:meta", "a", None), ("s", 130, "group:notate", "g", None)],

@@ -801,6 +801,12 @@ def n9_keywords(m: Model) -> DataFrame:
     return m.files().select("path", F.array_join(F.array_sort(T.keywords(F.substring("summary", 1, 60))), " ").alias("words"))
 
 
+@query(sql("files", "select path, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: length(x) > 2 and x not in (" + ", ".join(map(repr, T.STOP_WORDS_LONG)) + ")))), ' ') as words from files"))
+def n9_keywords_all(m: Model) -> DataFrame:
+    """Of the whole content: ``n9_keywords`` has the start of the summary that its SQL covers."""
+    return m.files().select("path", F.array_join(F.array_sort(T.keywords(F.col("content"))), " ").alias("words"))
+
+
 @query(sql("files", "select path, length(content) + 3 as n, md5(content || (case when content = '' or content like '%' || chr(10) then '' else chr(10) end) || 'end') as digest from files".replace("length(content) + 3", "length(content || (case when content = '' or content like '%' || chr(10) then '' else chr(10) end)) + 3")))
 def io_append(m: Model) -> DataFrame:
     new = lines.append(F.col("content"), "end")
