@@ -189,6 +189,18 @@ def test_learned_weights_find_other_forms_in_a_list(spark):
     assert got == ["(988) 555-2485", "988-555-9999", "9885552485"]
 
 
+def test_training_reads_all_of_a_text_and_copies_once(spark):
+    nodes = pii._chosen("some text", list(range(5000)))
+    assert len(nodes) == pii.TOKENS and nodes == sorted(set(nodes)) and max(nodes) > 4000
+    tail = "see 77 here " * 400 + "call +1 (200) 555-1000 now or mail u1@m.example.org " * 400
+    learned = pii.train(spark.createDataFrame([(1, tail)], "doc_id bigint, text string"))
+    of = lambda model, t: model.unary[pii._features(pii.tokens_of(t, pii.base_spans(t)), 0)].sum(axis=0)
+    assert of(learned, "call +1 (200) 555-1000 now").argmax() == 4  # all of its phones come after the first 200 nodes
+    texts = [f"write to u{i}@m.example.org or call +1 (200) 555-{1000 + i} today; room {i}" for i in range(40)]
+    one, many = (pii.train(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id bigint, text string")) for rows in (texts, texts + texts[:1] * 500))
+    assert np.array_equal(one.unary, many.unary) and np.array_equal(one.chain, many.chain)
+
+
 def test_nodes_are_apart_and_hold_the_base_spans():
     rng = random.Random(3)
     for _ in range(3000):

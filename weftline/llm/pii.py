@@ -321,25 +321,34 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: Field) -> li
     return [(int(p[k].argmax()) - 1, tokens[k].start, tokens[k].end) for k in open_ if p[k].max() >= SURE and int(p[k].argmax()) in kinds[tokens[k].norm]]
 
 
+def _chosen(text: str, nodes: list[int]) -> list[int]:
+    """At most TOKENS of the nodes in order, by a hash from anywhere in the text."""
+    if len(nodes) <= TOKENS:
+        return nodes
+    seed = hashlib.blake2b(text.encode(), digest_size=8).digest()
+    return sorted(sorted(nodes, key=lambda k: hashlib.blake2b(seed + k.to_bytes(8, "little"), digest_size=8).digest())[:TOKENS])
+
+
 def train(docs: DataFrame, text: str = "text") -> Field:
-    """Weights from the base spans of about SAMPLE documents that have a digit or @, chosen by a hash of their text."""
+    """Weights from the base spans of about SAMPLE distinct texts that have a digit or @, chosen by a hash, and of TOKENS nodes of each, from all over it."""
     rows = docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    n = rows.count()
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / max(1, n)))
+    n = rows.select(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
+    # Copies count once: else a large group of them comes whole or not at all.
+    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / max(1, n))).distinct()
     names, kinds = ["order", "at", "label", "chain", "skip"], [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
-                tokens = tokens_of(t, base_spans(t))[:TOKENS]
+                tokens = tokens_of(t, base_spans(t))
                 taken = {x.norm for x in tokens if x.label and len(x.norm) >= LEAST}
                 for x in tokens:  # no pattern takes it, though it takes a similar one: its label is unknown
                     x.label = -1 if not x.label and x.norm in taken else x.label
                 chain, skip = map(dict, _edges(tokens))
                 order = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=7).digest(), "little")
                 after = lambda links, k: tokens[links[k]].label if k in links else -1
-                out += [(order, _features(tokens, k), x.label, after(chain, k), after(skip, k)) for k, x in enumerate(tokens) if x.label >= 0]
+                out += [(order, _features(tokens, k), tokens[k].label, after(chain, k), after(skip, k)) for k in _chosen(t, [k for k, x in enumerate(tokens) if x.label >= 0])]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names)
 
     got = rows.mapInArrow(run, "order bigint, at array<int>, label int, chain int, skip int").toArrow()
