@@ -185,6 +185,13 @@ def test_best_block_over_all_files(spark, tmp_path):
     assert {(r["doc_id"], r["start"], r["score"]) for r in got.collect()} == want and len(want) == 4
 
 
+def test_blocks_reach_the_last_line(spark, tmp_path):
+    text = "\n".join("a license" if n in (1, 11, 402, 403, 1000) else "x" for n in range(1, 1001))
+    spark.createDataFrame([(1, text, "en", "src1", 1), (2, None, "en", "src1", 1), (3, "License", "en", "src1", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["path"][-5], r["line_no"]): r["symbol"] for r in registry.QUERIES["j7_symbol_context"](spark, str(tmp_path)).collect()}
+    assert got == {("1", 1): "block0", ("1", 11): "block0", ("1", 402): "block39", ("1", 403): "block40", ("1", 1000): "block99", ("3", 1): "block0"}
+
+
 def test_keywords_of_the_whole_content(spark, tmp_path):
     text = "alpha " * 12 + "lateword\nsecond line éa keyword9"
     spark.createDataFrame([(1, text, "en", "src1", 1), (2, None, "en", "src1", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))

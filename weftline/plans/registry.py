@@ -152,7 +152,8 @@ _BLOCKS = "blocks as (select path, b as ord, 'block' || b as name, 10 * b + 1 as
 
 def _blocks(m: Model) -> DataFrame:
     b = F.col("ord")
-    rows = m.files().select("path", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("ord"))
+    last = F.floor((F.size(F.split("content", "\n")) - 1) / 10).cast("int")  # as many as the lines need; the SQL has 40 a file
+    rows = m.files().select("path", F.explode(F.sequence(F.lit(0), last)).alias("ord"))
     return rows.select("path", "ord", F.concat(F.lit("block"), b.cast("string")).alias("name"), F.lit("block").alias("kind"), (10 * b + 1).alias("start_line"), (10 * b + 12).alias("end_line"))
 
 
