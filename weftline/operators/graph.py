@@ -5,30 +5,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import stage
 
 # The extensions in the order in which they are tried.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".vue", ".mjs", ".cjs")
-_root: list[str] = []
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` kept in the shared folder and reread, to end its lineage."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not root:
-        if not _root:
-            _root.append("file://" + tempfile.mkdtemp(prefix="weftline-"))
-        root = _root[0]
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` kept in the shared folder until the driver ends, and reread, to end its lineage."""
+    return stage(df, "graph")
 
 
 def normal_path(path: Column) -> Column:
