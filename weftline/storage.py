@@ -15,6 +15,8 @@ _own_root: list[str] = []
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Keys of more than one in so many rows are hot: there are at most so many of them.
 HOT = 10_000
+#: Rows of a lookup that is broadcast whole.
+FEW = 50_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,6 +43,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, as a full URI, which goes when the driver process ends."""
+    parent = f"{shared_root(spark)}/weftline-{uuid.uuid4().hex}"
+    atexit.register(_quietly_remove, spark, parent)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{parent}/{name}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 @contextmanager
 def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside go when it ends: its result is in a table."""
@@ -86,11 +96,14 @@ def spread_join(rows: DataFrame, lookup: DataFrame, on: str, often: str, total:
     """``rows`` joined with ``lookup``, which is unique in ``on`` and whose column
     ``often`` (dropped) is at least the number of rows that have the key.
 
-    ``total`` is at least the sum of ``often``. Keys of more than a share of
-    1 / HOT of it, of which there are fewer than HOT, are broadcast, so that
-    their rows stay where they are; only the rows of other keys are shuffled.
-    Both sides are read twice: let them be tables.
+    ``total`` is at least the sum of ``often``. A lookup of up to FEW rows is
+    broadcast. Of a larger one the keys of more than a share of 1 / HOT of all
+    rows, of which there are fewer than HOT, are broadcast, so that their rows
+    stay where they are; only the rows of other keys are shuffled. Both sides
+    may be read several times: let them be tables.
     """
+    if lookup.count() <= FEW:
+        return rows.join(F.broadcast(lookup.drop(often)), on, how)
     cut = max(total // HOT, 1000)
     hot = F.broadcast(lookup.where(F.col(often) > cut).drop(often))
     rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(lookup.where(F.col(often) <= cut).drop(often), on, how)
