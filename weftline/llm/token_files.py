@@ -1,94 +1,110 @@
 """Token counts by a separator scan over flat token files without an index.
 
 A token file is a run of little-endian unsigned 16-bit ids in which each
-document ends with the end-of-document id. The files are cut into blocks; one
-vectorised search for each block finds the separators, and a prefix scan over
-the blocks' summaries stitches documents that cross boundaries.
+document ends with the end-of-document id. The files are read by ranges of
+bytes, whatever their size, and cut into blocks; one vectorised search for each
+block finds the separators, and a prefix scan over the blocks' summaries
+stitches documents that cross boundaries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
 from .bpe import codec
 from .common import stage
 
 END = 50256
 BLOCK = 65536
+#: Blocks that are read at once.
+READ = 64
 #: Blocks whose summaries are scanned as one; then their sums are scanned.
 RUN = 1024
 
 
-def read_token_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(file, block, tokens) of the files below ``path``, which any store of
-    Spark's may hold. A task holds one file at a time, of under 2 GB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / (2 * block)))).alias("block")
-    cut = files.where("length > 0").select(F.col("path").alias("file"), at, "content")
-    return cut.select("file", "block", F.expr(f"substring(content, cast(block * {2 * block} as int) + 1, {2 * block})").alias("tokens"))
+@lru_cache(64)
+def _open(uri: str):
+    """(store, path) of a URI, for Python workers."""
+    from pyarrow import fs
 
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
 
-def write_token_blocks(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, end: int = END) -> DataFrame:
-    """Encodes each partition of ``docs`` into one flat file of blocks:
-    (file, block, tokens, doc_ids), the last being the ids, in order, of the
-    documents whose end lies in the block. Null texts count as empty: a lone
-    separator."""
+
+def list_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length) of the files below ``path``; their contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length")
+
+
+def write_token_files(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
+    """Encodes each partition of ``docs`` into one flat file in ``folder``, and
+    returns (name, doc_no, doc_id) of the documents in the files that count:
+    keep it in a table, and only those that it names are complete. Null texts
+    count as empty: a lone separator."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        file, no, size, stop = f"part-{TaskContext.get().partitionId():06d}", 0, 2 * block, np.array([end], "<u2").tobytes()
-        names, kinds = ["file", "block", "tokens", "doc_ids"], [pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        task, stop, no = TaskContext.get(), np.array([end], "<u2").tobytes(), 0
+        store, root = _open(folder)
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId():x}"  # another attempt writes another file
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/{name}") as out:
+            for b in batches:
+                c = codec(path, "<u2")
+                for t in b.column(1).to_pylist():
+                    out.write((c.encode(t) if t else b"") + stop)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows), pa.array(range(no, no + b.num_rows), pa.int64()), b.column(0)], ["name", "doc_no", "doc_id"])
+                no += b.num_rows
 
-        def made(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("d"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "name string, doc_no bigint, doc_id bigint")
 
-        flat, ended = bytearray(), []
-        for b in batches:
-            c, rows = codec(path, "<u2"), []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                flat += (c.encode(t) if t else b"") + stop
-                while len(flat) > size:  # the block that this document's last token fills stays until more comes
-                    rows.append((file, no, bytes(flat[:size]), ended))
-                    del flat[:size]
-                    no, ended = no + 1, []
-                ended.append(i)
-            if rows:
-                yield made(rows)
-        if flat:
-            yield made([(file, no, bytes(flat), ended)])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("d"), F.col(f"`{text}`").alias("t")).mapInArrow(run, "file string, block bigint, tokens binary, doc_ids array<bigint>")
+_ENDS = "file string, block bigint, n bigint, ends array<int>"
+
 
+def _ends(file: list, block: list, parts: list[np.ndarray], end: int) -> pa.RecordBatch:
+    ends = pa.array([np.flatnonzero(p == end).astype(np.int32) for p in parts], pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(file, pa.string()), pa.array(block, pa.int64()), pa.array([len(p) for p in parts], pa.int64()), ends], ["file", "block", "n", "ends"])
 
-def _ends(blocks: DataFrame, end: int) -> DataFrame:
-    """(file, block, n, ends): tokens of the block and the places of its separators."""
+
+def file_ends(files: DataFrame, end: int = END, block: int = BLOCK) -> DataFrame:
+    """(file, block, n, ends) of files (file, length) of any size: tokens of each
+    block and the places of its separators. Ranges of a file are dealt to tasks
+    and read there from its store; an odd last byte is no token."""
+    ranges = files.where("length > 1").select("file", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 2) / (2 * block * READ)))).alias("range"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.frombuffer(t, "<u2") for t in (x or b"" for x in b.column(2).to_pylist())]
-            ends = pa.array([np.flatnonzero(f == end).astype(np.int32) for f in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(f) for f in found], pa.int64()), ends], ["file", "block", "n", "ends"])
+            for file, length, r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                store, path = _open(file)
+                at = r * READ * block
+                with store.open_input_file(path) as f:
+                    data = np.frombuffer(f.read_at(2 * min(READ * block, length // 2 - at), 2 * at), "<u2")
+                parts = [data[i : i + block] for i in range(0, len(data), block)]
+                yield _ends([file] * len(parts), [r * READ + i for i in range(len(parts))], parts, end)
 
-    return blocks.select("file", "block", "tokens").mapInArrow(run, "file string, block bigint, n bigint, ends array<int>")
+    return ranges.repartition("file", "range").mapInArrow(run, _ENDS)
 
 
-def scan_separators(blocks: DataFrame, end: int = END) -> DataFrame:
+def scan_separators(ends: DataFrame) -> DataFrame:
     """(file, doc_no, start, n_tokens, block) of each document, numbered from 0
     within its file; ``start`` counts the tokens before it in the file,
     ``n_tokens`` leaves out its separator, ``block`` is that of its end.
 
     A document without separator at the end of a file counts too, with the
     last block. Empty files have no document, two separators in a row enclose
-    an empty one. ``blocks``: (file, block, tokens), unique in the first two;
-    other columns are ignored.
+    an empty one; an empty table has none. ``ends``: as of file_ends.
     """
-    cut = stage(_ends(blocks, end), "ends")
+    cut = stage(ends, "ends")
     summary = cut.select("file", "block", "n", F.size("ends").cast("bigint").alias("docs"), F.array_max("ends").cast("bigint").alias("last"), F.floor(F.col("block") / RUN).alias("run"))
     inner = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,10 +132,19 @@ def scan_separators(blocks: DataFrame, end: int = END) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, file, doc_no, start and n_tokens of each row of ``docs``, scanned
-    from the flat files that they are written to. Rows with equal or null
-    ids stay apart."""
-    blocks = stage(write_token_blocks(docs, path, doc_id, text), "blocks", "zstd")
-    found = scan_separators(blocks)
-    ids = blocks.select("file", "block", F.posexplode("doc_ids").alias("place_in_block", "doc_id"))
-    return found.join(ids, ["file", "block", "place_in_block"]).select("doc_id", "file", "doc_no", "start", "n_tokens")
+    """doc_id, file, doc_no, start and n_tokens of each row of ``docs``: the
+    texts are written to flat files, and those are scanned.
+
+    Rows with equal or null ids stay apart. A null text counts as empty, with
+    no token; texts of any length are encoded whole; an empty table gives one;
+    other columns are ignored.
+    """
+    folder = shared_folder(docs.sparkSession, "tokens")
+    written = stage(write_token_files(docs, path, folder, doc_id, text), "written")
+    named = written.select("name").distinct()
+    if named.isEmpty():
+        return written.select("doc_id", F.col("name").alias("file"), "doc_no", F.col("doc_no").alias("start"), F.col("doc_no").alias("n_tokens"))
+    files = list_token_files(docs.sparkSession, folder)
+    name = F.element_at(F.split("file", "/"), -1)
+    found = scan_separators(file_ends(files.withColumn("name", name).join(named, "name", "left_semi")))
+    return found.withColumn("name", name).join(written, ["name", "doc_no"]).select("doc_id", F.col("name").alias("file"), "doc_no", "start", "n_tokens")
