@@ -4,7 +4,8 @@ Texts are TF-IDF vectors of character n-grams. The weights are trained with
 follow-the-regularised-leader under elastic-net penalties; a temperature fitted
 on rows kept from the training calibrates the probabilities. Document
 frequencies are counted over all labelled rows; the weights are fitted on a
-bounded sample of PER_LANGUAGE rows a language, chosen by a hash of the id.
+bounded sample of PER_LANGUAGE distinct texts a language, chosen by a hash of
+the text, which also parts the rows for the temperature and orders the steps.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import packed
 
 DIMS = 1 << 15
 ORDERS = 3
-#: Rows a language for the fit, and rows in all.
-PER_LANGUAGE, IN_ALL = 300, 12_000
+#: Distinct texts a language for the fit, and texts in all; the languages that can be learned, the most frequent ones.
+PER_LANGUAGE, IN_ALL, LANGUAGES = 300, 12_000, 1000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 UNKNOWN = "und"
@@ -138,10 +139,16 @@ def _excerpts(text: str, salt: int) -> list[str]:
     return out
 
 
-def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
-    """Learns from rows of ``docs`` where ``may_learn`` holds, and text and lang are not null."""
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{doc_id}`")).alias("hash"), F.coalesce(may_learn, F.lit(False)).alias("may")).where("may and text is not null and lang is not null")
-    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang") -> Model:
+    """Learns from rows of ``docs`` where ``may_learn`` holds, and text and lang are not null.
+
+    Only text and lang are learned from; repeated rows count as often as they
+    come in the document frequencies and once in the fit. Without such rows
+    the model knows no language. Other columns are ignored.
+    """
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.coalesce(may_learn, F.lit(False)).alias("may")).where("may and text is not null and lang is not null")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    count = {r["lang"]: max(1, r["texts"]) for r in found}
     languages = sorted(count)
     if not languages:
         return Model([], np.ones(DIMS), np.zeros((DIMS, 0)), np.zeros(0))
@@ -156,14 +163,15 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], ["k", "n"])
 
+    total = sum(r["n"] for r in found)
     found = rows.select("text").mapInArrow(frequencies, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(DIMS)
     frequency[found["k"].to_numpy()] = found["n"].to_numpy()
-    idf = np.log((1 + sum(count.values())) / (1 + frequency)) + 1
+    idf = np.log((1 + total) / (1 + frequency)) + 1
 
     each = max(1, min(PER_LANGUAGE, IN_ALL // len(languages)))
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, each / count[k])))])
-    chosen = rows.where(F.pmod("hash", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)).select("text", "lang", "hash")
+    chosen = rows.where(F.pmod("hash", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)).select("text", "lang", "hash").distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,7 +204,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """The columns ``keep`` (all) in a struct ``row``, with lang_pred and score.
 
     A null text or one without a letter is ``und`` with score 0. Rows are
-    judged each for itself by their text alone.
+    judged each for itself by their whole text alone, of languages that tie the
+    first by name; an empty table gives one.
     """
     rows = packed(docs if keep is None else docs.select(*[F.col(f"`{k}`") for k in keep]), "row")
     if keep is not None and text not in keep:
