@@ -10,7 +10,11 @@ are equal letters and digits, whatever stands between them (up to three blanks
 between groups of digits), and for a phone its last digits, without or with
 zeros before them. Base spans always stay, as evidence and in the result.
 
-The weights are learned from the base spans of a bounded sample of documents.
+The weights of nodes, neighbours and similar nodes are fitted together, by
+pseudo-likelihood, on a bounded sample of documents. As the patterns take each
+of their spans, the sample says nothing on other forms of a span; so copies of
+some spans in other forms, labelled with their kind, and numbers of the same
+forms that are like no span, labelled none, are put into the sample's texts.
 """
 
 from __future__ import annotations
@@ -18,9 +22,11 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +37,10 @@ from .common import packed
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0: none
-#: Documents of the sample, and tokens of one of them, that the weights are fitted on.
-SAMPLE, TOKENS = 2000, 200
+#: Documents of the sample, and nodes of one of them, that the weights are fitted on; spans of one that are put in again in other forms.
+SAMPLE, TOKENS, AGAIN = 2000, 200, 3
 FEATURES = 4096
+STEPS, BATCH, RATE, PENALTY = 6000, 128, 0.3, 1e-4
 ROUNDS, DAMPING = 12, 0.5
 #: A token gets a span if its label has this probability.
 SURE = 0.9
@@ -225,31 +232,31 @@ def tokens_of(text: str, base: list[tuple[int, int, int]]) -> list[Token]:
     return out
 
 
+@lru_cache(100_000)
+def _place(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % FEATURES
+
+
 def _features(tokens: list[Token], k: int) -> list[int]:
     t = tokens[k]
     near = lambda j: tokens[j].shape if 0 <= j < len(tokens) and abs(tokens[j].start - t.start) < 40 else ""
-    names = ("s" + t.shape, "b" + t.before, f"d{min(20, t.shape.count('9'))}", "@" if "@" in t.shape else "-", f".{t.shape.count('.')}", "p" + near(k - 1), "n" + near(k + 1), "1")
-    return [int.from_bytes(hashlib.blake2b(n.encode(), digest_size=4).digest(), "little") % FEATURES for n in names]
+    digits = t.norm if t.norm.isdigit() and t.norm.isascii() else ""
+    check = f"l{_luhn(digits)}" if 13 <= len(digits) <= 19 else "l"
+    return [_place(n) for n in (check, "s" + t.shape, "b" + t.before[:40], f"d{min(20, t.shape.count('9'))}", "@" if "@" in t.shape else "-", f".{t.shape.count('.')}", "p" + near(k - 1), "n" + near(k + 1), "1")]
 
 
 @dataclass
 class Field:
+    """Weights: of a node's features by label, of the labels of a node (rows) and the next one, and of those of two similar nodes."""
+
     unary: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, LABELS)))
     chain: np.ndarray = field(default_factory=lambda: np.zeros((LABELS, LABELS)))
     skip: np.ndarray = field(default_factory=lambda: np.eye(LABELS) * 4.0)
 
 
-def _edges(tokens: list[Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Neighbours less than 40 characters apart, if they aren't similar, and each token with the last similar one, as the weights are learned: links grow with the tokens, not with their pairs."""
-    chain = [(k, k + 1) for k, (x, y) in enumerate(zip(tokens, tokens[1:])) if y.start - x.end < 40 and not (x.norm == y.norm and len(x.norm) >= LEAST)]
-    last: dict[str, int] = {}
-    skip = []
-    for k, t in enumerate(tokens):
-        if len(t.norm) >= LEAST:
-            if t.norm in last:
-                skip.append((last[t.norm], k))
-            last[t.norm] = k
-    return chain, skip
+def _neighbours(tokens: list[Token]) -> list[tuple[int, int]]:
+    """Nodes next to each other, less than 40 characters apart, if they aren't similar."""
+    return [(k, k + 1) for k, (x, y) in enumerate(itertools.pairwise(tokens)) if y.start - x.end < 40 and not (x.norm == y.norm and len(x.norm) >= LEAST)]
 
 
 def _ties(tokens: list[Token]) -> list[tuple[int, int]]:
@@ -276,7 +283,7 @@ def _ties(tokens: list[Token]) -> list[tuple[int, int]]:
 
 def marginals(tokens: list[Token], model: Field) -> np.ndarray:
     """Label probabilities by loopy message passing; tokens in base spans are evidence."""
-    chain, skip = _edges(tokens)[0], _ties(tokens)
+    chain, skip = _neighbours(tokens), _ties(tokens)
     score = np.array([model.unary[_features(tokens, k)].sum(axis=0) for k in range(len(tokens))])
     known = np.array([t.label for t in tokens])
     score[known > 0] = -50.0
@@ -306,92 +313,165 @@ def marginals(tokens: list[Token], model: Field) -> np.ndarray:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Field) -> list[tuple[int, int, int]]:
-    """Spans of tokens outside the base spans that the field labels, and that is similar to a base span of that kind."""
-    if not base:
+    """Spans of nodes outside the base spans that the field labels, and whose similar nodes all have that kind: those in
+    base spans, or, where a group has none there, those that repeat."""
+    if not _DIGITS.search(text) and "@" not in text:
         return []
     tokens = tokens_of(text, base)
-    kinds: dict[str, set[int]] = {}
-    for t in tokens:
-        if t.label and len(t.norm) >= LEAST:
-            kinds.setdefault(t.norm, set()).add(t.label)
-    open_ = [k for k, t in enumerate(tokens) if not t.label and t.norm in kinds]
-    if not open_:
+    groups: dict[str, list[int]] = {}
+    for k, t in enumerate(tokens):
+        if len(t.norm) >= LEAST:
+            groups.setdefault(t.norm, []).append(k)
+    groups = {n: g for n, g in groups.items() if len(g) > 1 and not all(tokens[k].label for k in g)}
+    if not groups:
         return []
     p = marginals(tokens, model)
-    return [(int(p[k].argmax()) - 1, tokens[k].start, tokens[k].end) for k in open_ if p[k].max() >= SURE and int(p[k].argmax()) in kinds[tokens[k].norm]]
+    out = []
+    for members in groups.values():
+        kinds = {tokens[k].label for k in members if tokens[k].label} or {int(p[k].argmax()) if p[k].max() >= SURE else 0 for k in members}
+        for k in members:
+            best = int(p[k].argmax())
+            if not tokens[k].label and best and best in kinds and p[k][best] >= SURE and (len(kinds) == 1 or 0 not in kinds):
+                out.append((best - 1, tokens[k].start, tokens[k].end))
+    return out
 
 
 def _chosen(text: str, nodes: list[int]) -> list[int]:
     """At most TOKENS of the nodes in order, by a hash from anywhere in the text."""
     if len(nodes) <= TOKENS:
         return nodes
-    seed = hashlib.blake2b(text.encode(), digest_size=8).digest()
+    seed = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
     return sorted(sorted(nodes, key=lambda k: hashlib.blake2b(seed + k.to_bytes(8, "little"), digest_size=8).digest())[:TOKENS])
 
 
+def _in_groups(digits: str, rng: random.Random) -> str:
+    """The digits in one or more groups, as numbers are written."""
+    by, cut = rng.choice(("", "", " ", "-", ".", "/")), []
+    while digits:
+        n = len(digits) if not by or len(digits) <= 4 else rng.choice((3, 4))
+        cut, digits = [*cut, digits[:n]], digits[n:]
+    return by.join(cut)
+
+
+def _other_form(span: str, kind: int, rng: random.Random) -> str:
+    if kind == 0:
+        local, _, domain = span.rpartition("@")
+        return rng.choice((f"{local} @ {domain}", f"{local}@ {domain}", f"{local} @{domain}", local + "@" + domain.replace(".", " . ")))
+    if kind == 1:
+        return rng.choice((" ", "-", "_", " . ")).join(span.split("."))
+    digits = "".join(_DIGITS.findall(span))
+    if kind == 3 and len(digits) > SUFFIX:
+        digits = digits[-rng.randint(SUFFIX, len(digits)) :]
+    return _in_groups(digits, rng)
+
+
+def _unlike(form: str, rng: random.Random) -> str:
+    """Other digits and letters in the same form."""
+    return "".join(rng.choice("0123456789") if "0" <= c <= "9" else rng.choice("abcdefghijklmnopqrstuvwxyz") if "a" <= c <= "z" else c for c in form)
+
+
+def _with_other_forms(text: str, base: list[tuple[int, int, int]]) -> tuple[str, dict[tuple[int, int], int]]:
+    """The text with other forms of some spans and numbers unlike them, and the labels of what was put in, by place."""
+    rng = random.Random(text)
+    gaps = [m.start() for m in re.finditer(" ", text)]
+    taken = sorted((a, b) for _, a, b in base)
+    gaps = [g for g in rng.sample(gaps, min(len(gaps), 60)) if not any(a < g < b for a, b in taken)] or [len(text)]
+    put: list[tuple[int, str, int]] = []
+    for kind, a, b in rng.sample(base, min(AGAIN, len(base))):
+        form = _other_form(text[a:b], kind, rng)
+        put += [(rng.choice(gaps), form, kind + 1), (rng.choice(gaps), _unlike(_other_form(text[a:b], kind, rng), rng), 0)]
+    parts, labels, at, shift = [], {}, 0, 0
+    for g, form, label in sorted(put):
+        parts += [text[at:g], " ", form, ","]
+        labels[(g + shift + 1, g + shift + 1 + len(form))] = label
+        at, shift = g, shift + len(form) + 2
+    return "".join([*parts, text[at:]]), labels
+
+
+def examples(text: str) -> tuple[list[Token], list[int]]:
+    """The nodes of a text with other forms put in, and their labels: -1 where it isn't known."""
+    text, made = _with_other_forms(text, base_spans(text))
+    tokens = tokens_of(text, base_spans(text))
+    taken = {t.norm for t in tokens if t.label and len(t.norm) >= LEAST}
+    inside = lambda t: next((label for (a, b), label in made.items() if a <= t.start and t.end <= b), None)
+    labels = []
+    for t in tokens:
+        given = inside(t)
+        if t.label:
+            labels.append(t.label)
+        elif t.norm in taken and len(t.norm) >= LEAST:  # no pattern takes it, though it takes a similar one
+            labels.append(given if given else -1)
+        else:
+            labels.append(0)
+    return tokens, labels
+
+
+def _learned(at: np.ndarray, label: np.ndarray, before: np.ndarray, after: np.ndarray, similar: np.ndarray) -> Field:
+    """Weights by pseudo-likelihood: each node's label given those of its neighbours (-1: none known) and, counted by label, of its similar nodes."""
+    model = Field(skip=np.zeros((LABELS, LABELS)))
+    squares = [np.full_like(w, 1e-6) for w in (model.unary, model.chain, model.skip)]
+    rng, order = np.random.default_rng(0), np.empty(0, np.int64)
+    for _ in range(STEPS):
+        if not len(order):
+            order = rng.permutation(len(label))
+        k, order = order[:BATCH], order[BATCH:]
+        p, n = before[k], after[k]
+        z = model.unary[at[k]].sum(axis=1) + np.where(p[:, None] >= 0, model.chain[p], 0) + np.where(n[:, None] >= 0, model.chain.T[n], 0) + similar[k] @ model.skip
+        g = np.exp(z - z.max(axis=1, keepdims=True))
+        g /= g.sum(axis=1, keepdims=True)
+        g[np.arange(len(k)), label[k]] -= 1
+        g /= len(k)
+        unary, chain = np.zeros_like(model.unary), np.zeros_like(model.chain)
+        np.add.at(unary, at[k], g[:, None, :])
+        np.add.at(chain, p[p >= 0], g[p >= 0])
+        np.add.at(chain.T, n[n >= 0], g[n >= 0])
+        skip = similar[k].T @ g
+        for w, square, step in zip((model.unary, model.chain, model.skip), squares, (unary, chain, skip + skip.T), strict=True):
+            step = step + PENALTY * w * (step != 0)
+            square += step * step
+            w -= RATE * step / np.sqrt(square)
+    return model
+
+
 def train(docs: DataFrame, text: str = "text") -> Field:
     """Weights from the base spans of about SAMPLE distinct texts that have a digit or @, chosen by a hash, and of TOKENS nodes of each, from all over it."""
     rows = docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").rlike("[0-9@]"))
     n = rows.select(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
     # Copies count once: else a large group of them comes whole or not at all.
     rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < (1 << 30) * min(1.0, SAMPLE / max(1, n))).distinct()
-    names, kinds = ["order", "at", "label", "chain", "skip"], [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32()]
+    names, kinds = ["order", "at", "label", "before", "after", "similar"], [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
-                tokens = tokens_of(t, base_spans(t))
-                taken = {x.norm for x in tokens if x.label and len(x.norm) >= LEAST}
-                for x in tokens:  # no pattern takes it, though it takes a similar one: its label is unknown
-                    x.label = -1 if not x.label and x.norm in taken else x.label
-                chain, skip = map(dict, _edges(tokens))
-                order = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=7).digest(), "little")
-                after = lambda links, k: tokens[links[k]].label if k in links else -1
-                out += [(order, _features(tokens, k), tokens[k].label, after(chain, k), after(skip, k)) for k in _chosen(t, [k for k, x in enumerate(tokens) if x.label >= 0])]
+                tokens, labels = examples(t)
+                after = dict(_neighbours(tokens))
+                before = {y: x for x, y in after.items()}
+                similar = np.zeros((len(tokens), LABELS))
+                for x, y in _ties(tokens):
+                    for k, other in ((x, y), (y, x)):
+                        if labels[other] >= 0:
+                            similar[k, labels[other]] += 1
+                order = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
+                of = lambda links, k: labels[links[k]] if k in links else -1
+                out += [(order, _features(tokens, k), labels[k], of(before, k), of(after, k), np.minimum(similar[k], 2).tolist()) for k in _chosen(t, [k for k, x in enumerate(labels) if x >= 0])]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], names)
 
-    got = rows.mapInArrow(run, "order bigint, at array<int>, label int, chain int, skip int").toArrow()
-    order = np.lexsort((got["label"].to_numpy(), got["order"].to_numpy()))
-    label = got["label"].to_numpy()
-    model = Field()
-    if not len(label):
-        return model
-    at = np.array(got["at"].to_pylist(), int)
-    for column, into in (("chain", "chain"), ("skip", "skip")):
-        other = got[column].to_numpy()
-        has = other >= 0
-        joint = np.full((LABELS, LABELS), 0.5)
-        np.add.at(joint, (label[has], other[has]), 1)
-        joint += joint.T
-        if into == "skip":  # how much likelier similar tokens agree than by chance, alike for all labels
-            agree = ((label[has] == other[has]).sum() + 7.9) / (has.sum() + 8)  # as if 8 pairs had been seen that all but agree
-            by_chance = float(((joint.sum(axis=1) / joint.sum()) ** 2).sum())
-            model.skip = np.eye(LABELS) * max(3.0, min(6.0, math.log(agree / (1 - agree)) - math.log(by_chance / max(1e-9, 1 - by_chance))))
-        else:
-            share = joint / joint.sum()
-            model.chain = np.clip(np.log(share / np.outer(share.sum(axis=1), share.sum(axis=0))), -2, 2)
-            kinds_ = np.arange(1, LABELS)  # unknown nodes aren't counted, so few neighbours of one kind say nothing against them
-            model.chain[kinds_, kinds_] = np.maximum(model.chain[kinds_, kinds_], 0)
-    w, rng = model.unary, np.random.default_rng(0)
-    for epoch in range(5):
-        rate = 0.2 / (1 + epoch)
-        for k in rng.permutation(order):
-            z = w[at[k]].sum(axis=0)
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[label[k]] -= 1
-            w[at[k]] -= rate * (p + 1e-4 * w[at[k]])
-    # The sample's labels are those of the patterns: absence of a base span says little about tokens that repeat one.
-    model.unary = 0.25 * w
-    return model
+    got = rows.mapInArrow(run, "order bigint, at array<int>, label int, before int, after int, similar array<double>").toArrow()
+    if not got.num_rows:
+        return Field()
+    order = np.argsort(got["order"].to_numpy(), kind="stable")  # the nodes of a text come together, in their order
+    of = lambda n: np.array(got[n].to_pylist())[order]
+    return _learned(of("at"), of("label"), of("before"), of("after"), of("similar"))
 
 
 def find_pii(docs: DataFrame, model: Field, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` in a struct ``row``, counts of the base spans by
     kind, ``base`` and ``spans``: arrays of (kind, start, end) by kind and
     start, in code points. A null text counts as empty; rows are judged each
-    for itself."""
+    for itself, repeated or not, by their whole texts; an empty table gives
+    one; other columns are dropped."""
     rows = packed(docs.select(*[F.col(f"`{k}`") for k in keep]), "row") if text in keep else None
     rows = rows.withColumn("text", F.col(f"row.`{text}`")) if rows is not None else docs.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
