@@ -1,13 +1,17 @@
 """Quality rules, byte-level BPE, token counts and packing against brute force."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from weftline.llm import bpe, packing, quality, token_files, topk, url_filter
 
@@ -64,7 +68,7 @@ def test_codec_equals_library(docs):
 
 
 def test_json_vocabulary_is_the_same():
-    a, b = (bpe.read_ranks(bpe.vocabulary_path(n)) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
+    a, b = (bpe.read_ranks(bpe.vocabulary_path(n))[0] for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
     assert a == b
 
 
@@ -86,7 +90,7 @@ def test_token_counts(spark, docs):
 
 
 @pytest.mark.parametrize("block", [1, 3, 8])
-def test_separator_scan_over_files(spark, tmp_path, block):
+def test_separator_scan_over_files(spark, tmp_path, monkeypatch, block):
     rng, want = np.random.default_rng(block), set()
     cases = {"a": [], "b": [0], "c": [5, 6], "d": [0, 0, 5, 0], "e": rng.integers(0, 3, 40).tolist(), "f": [1] * 20 + [0], "g": rng.integers(0, 2, 5000).tolist()}
     for name, tokens in cases.items():
@@ -96,12 +100,23 @@ def test_separator_scan_over_files(spark, tmp_path, block):
             if t == 0:
                 want.add((name, no, start, k - start))
                 start, no = k + 1, no + 1
-    blocks = token_files.read_token_files(spark, str(tmp_path), block)
-    got = token_files.scan_separators(blocks, 0)
+    monkeypatch.setattr(token_files, "READ", 2)
+    ends = token_files.file_ends(token_files.list_token_files(spark, str(tmp_path)), 0, block)
+    got = token_files.scan_separators(ends)
     rows = [(r["file"].rsplit("/", 1)[1][0], r["doc_no"], r["start"], r["n_tokens"]) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def test_separator_scan_of_a_file_over_2_gb(spark, tmp_path):
+    with open(tmp_path / "x.bin", "wb") as f:  # zeros but for a few separators, and an odd last byte
+        for at in (3, 1_200_000_000, 1_200_000_010):
+            f.seek(2 * at)
+            f.write(np.array([7], "<u2").tobytes())
+        f.write(b"\0")
+    got = token_files.scan_separators(token_files.file_ends(token_files.list_token_files(spark, str(tmp_path)), 7))
+    assert sorted((r["doc_no"], r["start"], r["n_tokens"]) for r in got.collect()) == [(0, 0, 3), (1, 4, 1_199_999_996), (2, 1_200_000_001, 9)]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_pack_plan_holds_every_piece(seed):
     rng = np.random.default_rng(seed)
@@ -118,11 +133,11 @@ def test_pack_plan_holds_every_piece(seed):
 
 def test_packing(docs):
     path = bpe.vocabulary_path("byte_bpe_50k.json")
-    c = bpe.codec(path)
+    library = Tokenizer.from_file(path)
     rows = packing.pack_documents(docs, path, 128).collect()
     want = Counter()
     for i, t in TEXTS:
-        ids = [*c.encoding.encode_ordinary(t or ""), 2]
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         at = [0, *range(len(ids) % 128 or 128, len(ids) + 1, 128)] if len(ids) > 128 else [0, len(ids)]
         want.update((i, k, a, b - a, tuple(ids[a:b])) for k, (a, b) in enumerate(zip(at, at[1:], strict=False)))
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], tuple(np.frombuffer(bytes(r["ids"]), "<u4").tolist())) for r in rows) == want
@@ -137,12 +152,9 @@ def test_packing(docs):
 
 
 def test_ids_equal_the_tokenizers_library():
-    from tokenizers import Tokenizer
-
     path = bpe.vocabulary_path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    for _, text in TEXTS:
+    for text in [*(t for _, t in TEXTS), "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "\n <|endoftext|>  y<|endoftext", "<|end<|endoftext|>oftext|>"]:
         assert np.frombuffer(bpe.codec(path).encode(text or ""), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -150,7 +162,7 @@ def test_ids_equal_the_tokenizers_library():
 def test_exact_top_k(spark, blocks):
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.normal(size=9)]) for i in range(160)]
-    rows += [(0, rows[0][1]), (7, rows[7][1]), (200, None), (201, [1.0] * 8 + [None]), (202, [float("nan")] * 9), (203, [float("inf")] * 9), (None, [1.0] * 9), (250, [1.0, 2.0]), (204, [])]
+    rows += [(0, rows[0][1]), (7, rows[7][1]), (200, None), (201, [1.0] * 8 + [None]), (202, [float("nan")] * 9), (203, [float("inf")] * 9), (None, [1.0] * 9), (250, [1.0, 2.0])]
     vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
     got = topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0, 5, queries_in_block=blocks[0], candidates_in_block=blocks[1]).collect()
     ok = [(k, i, np.floor(256 * np.array(v))) for k, (i, v) in enumerate(rows[:162])] + [(162, 250, np.array([256.0, 512.0]))]
@@ -160,6 +172,24 @@ def test_exact_top_k(spark, blocks):
             best = sorted((-int(v @ w), j) for n, j, w in ok if n != k and len(w) == len(v))[:5]
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     assert Counter(map(tuple, got)) == Counter(want)
+    empty = vectors.limit(0)
+    assert topk.exact_top_k(empty, F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e6, 3e7, 1e15, 3e38, 1e300])
+def test_top_k_of_large_components(spark, size):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * (size if i % 3 else 1)]) for i in range(120)]
+    rows += [(200 + i, [size, -size, float(i % 4), 1 / 512, 0.0, size]) for i in range(40)] + [(300, []), (350, []), (350, [])]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0, 5, queries_in_block=3, candidates_in_block=50).collect()
+    whole = [[math.floor(Fraction(x) * 256) for x in v] for _, v in rows]
+    want = []
+    for k, (i, _) in enumerate(rows):
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[k], w)), j) for n, ((j, _), w) in enumerate(zip(rows, whole)) if n != k and len(w) == len(whole[k]))[:5]
+            want += [(i, r + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, j) in enumerate(best)]
+    assert Counter(map(tuple, got)) == Counter(want)
 
 
 def test_url_filters(spark):
@@ -174,10 +204,34 @@ def test_url_filters(spark):
     assert Counter(map(tuple, got)) == Counter(cases * 2)
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
     assert url_filter.judge_urls(df, []).where("verdict = 'allow'").count() == len(cases) * 2
+    for few in (1, 100):  # as a table, of any number of rules
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(url_filter, "RULES_IN_PLAN", few)
+            m.setattr(url_filter, "RULES_BROADCAST", few)
+            many = rules + [url_filter.host_path_rule("block", f"h{i}.test", "/x/") for i in range(150)]
+            assert Counter(map(tuple, url_filter.judge_urls(df, many).select("row.url", "host", "path", "rule", "verdict").collect())) == Counter(cases * 2)
+    long = spark.createDataFrame([("http://a.com/" + "x-" * 200_000 + "?q",), ("http://b.com/en/" + "y/" * 200_000,)], "url string")
+    assert [r["verdict"] for r in url_filter.judge_urls(long, rules).select("verdict").collect()] == ["allow", "block"]
     plan = url_filter.judge_urls(df, rules)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize(("long", "overlap"), [(700, 40), (60, 8), (5, 1)])
+def test_long_texts_are_dealt_in_chunks(spark, long, overlap):
+    path = bpe.vocabulary_path("byte_bpe_50k.tiktoken")
+    rng = random.Random(4)
+    parts = ["word", " ", "  \n", "é", "'ll", "12", "中", "!?", "<|endoftext|>", "x" * 90, " " * 70, "\u2003"]
+    rows = [*TEXTS[:7], (20, "".join(rng.choice(parts) for _ in range(1500))), (20, "".join(rng.choice(parts) for _ in range(300))), (21, "a" * 3000), (22, " " * 2001), (23, None)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, ids string")
+    c = bpe.codec(path)
+    got = bpe.encode_texts(df, path, long=long, overlap=overlap, chunk=64)
+    want = Counter((i, tuple(c.encoding.encode_ordinary(t or ""))) for i, t in rows)
+    assert Counter((r["row"]["doc_id"], tuple(np.frombuffer(bytes(r["ids"]), "<u4").tolist())) for r in got.collect()) == want
+    back = Counter((r["row"]["doc_id"], bytes(r["bytes"])) for r in bpe.decode_ids(got, path).collect())
+    assert back == Counter((i, (t or "").encode()) for i, t in rows)
+    assert bpe.encode_texts(df.limit(0), path).count() == 0
+
+
 def test_digests_are_of_little_endian_ids(docs):
     path = bpe.vocabulary_path("byte_bpe_50k.tiktoken")
     got = bpe.encode_texts(docs.where("doc_id = 1"), path).select(F.sha2("ids", 256)).first()[0]

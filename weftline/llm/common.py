@@ -2,72 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_root: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent or empty, as in tests on one machine, is
-    a temporary folder made for this process.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if root:
-        return root.rstrip("/")
-    if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="weftline-"))
-    return "file://" + _own_root[0]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Writes ``df`` to a table in the shared folder and returns it reread.
-
-    Cuts the lineage: a lost executor costs a reread, not a recomputation. The
-    table goes when the driver process ends, as the result may be read lazily.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/weftline-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", codec).parquet(path)
-    atexit.register(_quietly_remove, spark, path.rsplit("/", 1)[0])
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept.stage_path = path
-    return kept
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``stage`` that nothing will read again."""
-    for df in tables:
-        _remove(df.sparkSession, df.stage_path)
-
-
-def _quietly_remove(spark: SparkSession, path: str) -> None:
-    try:
-        _remove(spark, path)
-    except Exception:  # the JVM may be gone at interpreter exit
-        pass
+from ..storage import HOT, discard, shared_root, spread_join, stage
 
+__all__ = ["HOT", "bounded_batches", "digest_of", "discard", "packed", "shared_root", "spread_join", "stage", "table", "text_of", "unpacked"]
 
 #: Rows in a batch that goes to a Python worker: texts are long, and workers keep the memory of their largest batch.
 BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's batch size for Python workers to BATCH_ROWS, if it is above."""
+    """Lowers the session's batch size for Python workers to BATCH_ROWS, if it is above; bytes are bounded by its maxBytesPerBatch."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "0")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -90,3 +37,8 @@ def unpacked(df: DataFrame, name: str = "__row") -> DataFrame:
 
 def text_of(row: str, column: str) -> Column:
     return F.col(f"{row}.`{column}`")
+
+
+def digest_of(row: str) -> Column:
+    """A 128-bit hash of all values of a struct, nulls and their places included: rows with the same one are the same."""
+    return F.unhex(F.md5(F.to_json(F.col(row), {"ignoreNullFields": "false"})))

@@ -2,16 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import discard, spread_join, stage
 
-from .common import stage
+#: Edges that one task may hold: 100 MB of keys and links.
+IN_ONE = 300_000
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _in_one(edges: DataFrame) -> DataFrame:
+    kind = edges.schema["a"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        types = pa.string()
+        for b in batches:
+            types = b.schema.types[0]
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        for at in range(0, len(nodes), 10_000):
+            part = nodes[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, types), pa.array(list(map(root, part)), types)], ["node", "component"])
+
+    found = stage(edges.coalesce(1).mapInArrow(run, T.StructType([T.StructField("node", kind), T.StructField("component", kind)])), "components")
+    discard(edges)
+    return found
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each component.
 
@@ -19,23 +54,34 @@ def connected_components(edges: DataFrame) -> DataFrame:
     matter. In each round a node moves to its least neighbour's least
     neighbour, if that is less, and edges between nodes that have met go, so
     that the graph shrinks fast; the rounds grow with the logarithm of its
-    longest path. Each round is written to a table; the driver only sees
-    whether edges are left.
+    longest path. Each round is written to a table, and the result is one; the
+    driver only sees counts. Nodes of very many neighbours are joined by broadcast.
     """
-    left = stage(_undirected(edges), "edges")
-    total = None
-    while True:
+    left, total = stage(_undirected(edges), "edges"), None
+    while n := left.count():
         both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moves = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        onward = moves.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        moves = stage(moves.join(onward, "to").select("node", F.col("further").alias("to")), "moves")
+        near = stage(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"), "degree"), "near")
+        onward = near.select(F.col("node").alias("to"), F.col("to").alias("further"), "degree")
+        moves = stage(spread_join(near.select("node", "to", F.col("degree").alias("own")), onward, "to", "degree", 2 * n).select("node", F.col("further").alias("to"), F.col("own").alias("degree")), "moves")
+        discard(near)
         if total is None:
             total = moves.select("node", F.col("to").alias("component"))
+            first = moves
         else:
-            step = moves.select(F.col("node").alias("component"), "to")
-            total = stage(total.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
-        of = lambda end: moves.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}"))
-        moved = left.join(of("a"), "a").join(of("b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
-        left = stage(_undirected(moved), "edges")
-        if left.isEmpty():
-            return total
+            sizes = total.groupBy("component").agg(F.count("*").alias("size"))
+            step = stage(moves.select(F.col("node").alias("component"), "to").join(sizes, "component"), "step")
+            joined = spread_join(total, step, "component", "size", total.count(), "left")
+            now = stage(joined.select("node", F.coalesce("to", "component").alias("component")), "components")
+            discard(first, step)
+            total = first = now
+        of = lambda end: moves.select(F.col("node").alias(end), F.col("to").alias(f"to_{end}"), "degree")  # noqa: E731, B023
+        half = stage(spread_join(left, of("a"), "a", "degree", 2 * n).select("to_a", "b"), "half")
+        moved = spread_join(half, of("b"), "b", "degree", 2 * n).select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        fewer = stage(_undirected(moved), "edges")
+        discard(left, half, *(() if moves is first else (moves,)))
+        left = fewer
+    discard(left)
+    if total is None:
+        return stage(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0), "components")
+    total.stage_path = first.stage_path
+    return total

@@ -8,8 +8,16 @@ longest paths, are compared by brute force. The number of runs follows from the
 recall to reach. All this is on sketches; candidates that it links form groups,
 whose sets are fetched once and compared exactly.
 
+Sets that links connect need not meet again, since all sets of a group are
+compared in the end. So before a large bucket is split, each of its sets is
+compared with the bucket's least one, and the groups that all links so far form
+are looked up: a bucket of one group ends there; one where few sets lie outside
+its main group has those compared with all its sets, block by block; only
+others are split, and of their paths only those go on that join several groups.
+
 Sets that are equal count as one, with the number of their documents. Groups of
-any size are compared block by block, so that no task holds a whole one.
+any size are compared block by block, so that no task holds a whole one, and
+rows of very frequent buckets and groups are joined by broadcast of those few.
 """
 
 from __future__ import annotations
@@ -25,30 +33,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, packed, stage, unpacked
+from .common import HOT, digest_of, discard, packed, spread_join, stage, unpacked
 from .graph import connected_components
 
 WORDS, SIMILAR, RECALL = 5, 0.8, 0.999
-DEPTH = 3
-#: Sets in a bucket that is compared rather than split; sets in a block.
-BUCKET, BLOCK = 256, 512
+#: Sets in a bucket that is compared rather than split; sets outside its main group that are compared with a larger one; sets in a block.
+BUCKET, OUTSIDE, BLOCK = 256, 512, 512
+#: Picks that a pair at the threshold shares on average at each level after the first, and the most levels.
+PICKS, DEPTH = 1.5, 8
 #: Least hashes kept of a set, and the share of them that similar sets have in common, at least, but for a chance of under 1 in 1000.
 SKETCH, SHARED = 64, 0.6
-#: Tokens that the picks beyond the first are drawn from.
-SAMPLE = 128
-#: Keys of candidate sets are broadcast up to this number (under 100 MB), joined by a shuffle beyond it.
+#: Keys that are broadcast at once (under 100 MB); more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
 _MASK = (1 << 64) - 1
-_FIRST, _LATER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_FIRST = np.uint64(0xD6E8FEB86659FD93)
 
 
-def runs_for(recall: float, depth: int = DEPTH) -> int:
-    """Runs for a pair at the threshold, if each level shares one pick on average."""
+def runs_for(recall: float, picks: float = PICKS, depth: int = DEPTH) -> int:
+    """Runs for a pair at the threshold: it shares one first pick a run on
+    average, and ``picks`` at each level after it."""
     alive = 1.0
-    for _ in range(depth):
-        alive = 1 - math.exp(-alive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+    for _ in range(depth - 1):
+        alive = 1 - math.exp(-picks * alive)
+    return math.ceil(-math.log(1 - recall) / alive)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,79 +112,156 @@ def sketch_of(tokens: np.ndarray, size: int = SKETCH) -> np.ndarray:
     return np.sort(np.partition(h, size - 1)[:size] if len(h) > size else h)
 
 
-def _children(tokens: np.ndarray, parents: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """(parent, child) paths: the tokens that each parent path picks."""
-    h = _mix(tokens[None, :] ^ parents[:, None])
-    i, j = np.nonzero(h <= limit)
-    return parents[i], _mix(h[i, j] + parents[i]) ^ tokens[j]
-
-
 def _limit(picks: float, size: int) -> np.uint64:
     return np.uint64(min(_MASK, int(2**64 * picks / size)))
 
 
-def paths_of(tokens: np.ndarray, runs: int, similar: float = SIMILAR, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level its (parent, path) pairs; the first has no parents.
+def first_picks(tokens: np.ndarray, runs: int, similar: float = SIMILAR) -> np.ndarray:
+    """The buckets of the first level.
 
     A run picks a token with chance 1 / (similar * size): a set at the
     threshold shares at least ``similar`` of the larger set's tokens, so one
-    pick on average. The first picks of all runs are one draw by one hash. The
-    later ones are drawn from a sample of the tokens with the least hashes,
-    which similar sets share as they do the whole.
+    pick on average. The first picks of all runs are one draw by one hash.
     """
     h = _mix(tokens ^ _FIRST)
-    level = np.unique(_mix(tokens[h <= _limit(runs / similar, len(tokens))] + _FIRST))
-    levels = [(level[:0], level)]
-    if len(tokens) > SAMPLE:
-        tokens = tokens[np.argpartition(_mix(tokens ^ _LATER), SAMPLE - 1)[:SAMPLE]]
-    for _ in range(depth - 1):
-        levels.append(_children(tokens, level, _limit(1 / similar, len(tokens))))
-        level = np.unique(levels[-1][1])
-    return levels
+    return np.unique(_mix(tokens[h <= _limit(runs / similar, len(tokens))] + _FIRST))
+
+
+def next_picks(sketch: np.ndarray, bucket: int, similar: float = SIMILAR, picks: float = PICKS) -> np.ndarray:
+    """The buckets that a set picks within ``bucket``, from its sketch, which similar sets share as they do the whole."""
+    parent = np.uint64(bucket & _MASK)
+    h = _mix(_mix(sketch.astype(np.uint64) + parent) ^ parent)
+    chosen = h <= _limit(picks / similar, len(sketch))
+    return np.unique(_mix(h[chosen] + parent))
 
 
 def _scan(docs: DataFrame, text: str, doc_id: str, runs: int, words: int, similar: float) -> DataFrame:
-    """A row for each document: doc_id, hash of its text, key (null without words), sketch and paths."""
-    names = ["doc_id", "hash", "key", "sketch", "p1", "a2", "p2", "a3", "p3"]
-    longs = pa.list_(pa.int64())
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), longs, longs, longs, longs, longs]
+    """A row for each document: doc_id, hash of its text, key (null without words), sketch and first picks."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias("text"))
+    names = ["doc_id", "hash", "key", "sketch", "picks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        signed = lambda a: a.view(np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                part, rows = b.slice(at, 500), []
-                for i, t, x in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                part, found = b.slice(at, 500), []
+                for t in part.column(2).to_pylist():
                     tokens = shingles(t)
-                    if not len(tokens):
-                        rows.append((i, x, None, None, [], [], [], [], []))
-                        continue
-                    (_, p1), (a2, p2), (a3, p3) = paths_of(tokens, runs, similar)
-                    rows.append((i, x, key_of(tokens), sketch_of(tokens).tobytes(), signed(np.unique(p1)), signed(a2), signed(p2), signed(a3), signed(p3)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
+                    found.append((key_of(tokens), sketch_of(tokens).tobytes(), first_picks(tokens, runs, similar).view(np.int64)) if len(tokens) else (None, None, []))
+                kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array([f[j] for f in found], k) for j, k in enumerate(kinds)]], names)
+
+    schema = rows.select("doc_id", "hash").withColumns({"key": F.lit(None).cast("binary"), "sketch": F.lit(None).cast("binary"), "picks": F.array().cast("array<bigint>")}).schema
+    return rows.mapInArrow(run, schema)
+
+
+def _meet_least(rows: DataFrame) -> DataFrame:
+    """(bucket, key, sketch, n, least) with ``linked``: whether the sketch is similar to that of the bucket's least set."""
+    names = ["bucket", "key", "sketch", "n", "least", "linked"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sketches, least = ([np.frombuffer(x, np.uint32).astype(np.uint64) for x in b.column(i).to_pylist()] for i in (2, 5))
+            row = lambda parts: np.concatenate([p + (np.uint64(i) << np.uint64(32)) for i, p in enumerate(parts)]) if parts else np.empty(0, np.uint64)
+            both = np.intersect1d(row(sketches), row(least), assume_unique=True)
+            common = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=b.num_rows)
+            sizes = np.array([min(len(x), len(y)) for x, y in zip(sketches, least, strict=True)], float)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(5)], pa.array(common >= SHARED * sizes)], names)
+
+    return rows.select("bucket", "key", "sketch", "n", "least", "least_sketch").mapInArrow(run, "bucket bigint, key binary, sketch binary, n bigint, least binary, linked boolean")
+
+
+def _children(rows: DataFrame, similar: float) -> DataFrame:
+    """(bucket, key, component) of the next level, from (bucket, key, sketch, component)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            picks = [next_picks(np.frombuffer(s, np.uint32), p, similar) for p, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            at = pa.array(np.repeat(np.arange(len(picks)), [len(p) for p in picks]))
+            flat = np.concatenate(picks).view(np.int64) if picks else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), b.column(1).take(at), b.column(3).take(at)], ["bucket", "key", "component"])
+
+    return rows.select("bucket", "key", "sketch", "component").mapInArrow(run, "bucket bigint, key binary, component binary")
 
-    schema = "doc_id bigint, hash bigint, key binary, sketch binary, p1 array<bigint>, a2 array<bigint>, p2 array<bigint>, a3 array<bigint>, p3 array<bigint>"
-    return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("x")).mapInArrow(run, schema)
 
+def _groups(sets: DataFrame, similar: float) -> DataFrame:
+    """(node, component) of the sets that links of similar sketches connect."""
+    sketches = sets.select("key", "sketch")
+    level, links, groups = sets.select(F.explode("picks").alias("bucket"), "key"), None, None
+
+    def add(*more: DataFrame) -> None:
+        nonlocal links, groups
+        merged = more[0] if links is None else links.unionByName(more[0])
+        for m in more[1:]:
+            merged = merged.unionByName(m)
+        merged = stage(merged.distinct(), "links")
+        discard(*(t for t in (links, groups) if t is not None))
+        links, groups = merged, connected_components(merged)
 
-def _buckets(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(bucket, key, n) of the buckets to compare, of two sets at least, each
-    split until it is small or its paths end; and the tables that this reads."""
-    found, tables, level = None, [], sets.select(F.explode("p1").alias("bucket"), "key")
     for depth in range(1, DEPTH + 1):
-        level = stage(level, f"level{depth}")
-        sizes = level.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        sized = stage(level.join(sizes, "bucket"), f"sized{depth}")
-        discard(level)
-        tables.append(sized)
-        here = sized.where(F.col("n") <= BUCKET) if depth < DEPTH else sized
-        found = here if found is None else found.unionByName(here)
-        if depth < DEPTH:
-            large = sized.where(F.col("n") > BUCKET).select("bucket", "key")
-            paths = sets.select("key", F.explode(F.arrays_zip(F.col(f"a{depth + 1}").alias("a"), F.col(f"p{depth + 1}").alias("p"))).alias("x")).select("key", F.col("x.a").alias("parent"), F.col("x.p").alias("path"))
-            level = paths.join(large.withColumnRenamed("bucket", "parent"), ["parent", "key"]).select(F.col("path").alias("bucket"), "key")
-    return found.select("bucket", "key", "n"), tables
+        several = "true" if depth == 1 else "min_component < max_component"
+        within = [] if depth == 1 else [F.min("component").alias("min_component"), F.max("component").alias("max_component")]
+        sizes = stage(level.groupBy("bucket").agg(F.count("*").alias("n"), *within).where("n > 1").where(several).select("bucket", "n"), "sizes")
+        rows = sizes.agg(F.sum("n")).first()[0] or 0
+        # Buckets to compare, each a list of at most BUCKET keys; those with the same keys are one.
+        hot = sizes.where(F.col("n") > max(rows // HOT, BUCKET)).select("bucket")  # fewer than HOT
+        small = level.select("bucket", "key").join(F.broadcast(hot), "bucket", "left_anti").join(sizes.where(F.col("n") <= BUCKET).select("bucket"), "bucket")
+        small = small.groupBy("bucket").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        lists = stage(small.groupBy("keys").agg(F.min("bucket").alias("bucket")), "lists")
+        members = lists.select("bucket", F.size("keys").cast("bigint").alias("n"), F.explode("keys").alias("key"))
+        compared = stage(_compared(members.join(sketches, "key")), "compared")
+        discard(lists)
+        large = stage(sizes.where(F.col("n") > BUCKET).withColumn("often", F.col("n")), "large")
+        discard(sizes)
+        if large.isEmpty():
+            add(compared)
+            discard(compared, large, *([level] if depth > 1 else []))
+            return groups
+        held = stage(spread_join(level.select("bucket", "key"), large, "bucket", "often", rows).join(sketches, "key"), "held")
+        least = held.groupBy("bucket").agg(F.min_by(F.struct("key", "sketch"), "key").alias("s"), F.first("n").alias("often"))
+        least = stage(least.select("bucket", F.col("s.key").alias("least"), F.col("s.sketch").alias("least_sketch"), "often"), "least")
+        met = stage(_meet_least(spread_join(held, least, "bucket", "often", rows)), "met")
+        add(compared, met.where("linked and key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
+        discard(compared, large, held, least, *([level] if depth > 1 else []))
+
+        grouped = met.select("bucket", "key", "sketch", "n").join(groups.withColumnRenamed("node", "key"), "key", "left")
+        grouped = stage(grouped.withColumn("component", F.coalesce("component", "key")), "grouped")
+        discard(met)
+        parts = grouped.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+        main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("often"))
+        main = stage(main.where("c < often").select("bucket", "main", (F.col("often") - F.col("c")).alias("outside"), "often"), "main")
+        mixed = stage(spread_join(grouped, main, "bucket", "often", rows), "mixed")
+        discard(grouped, main)
+        if depth == DEPTH:  # the ends of the paths
+            found = _compared(mixed)
+        else:
+            found = _outside(mixed.where(F.col("outside") <= OUTSIDE))
+        add(found)
+        if depth == DEPTH:
+            discard(mixed)
+            return groups
+        level = stage(_children(mixed.where(F.col("outside") > OUTSIDE), similar), "level")
+        discard(mixed)
+    return groups
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """Links between the sets outside the main group of a bucket, at most OUTSIDE of them, and all its sets, dealt to blocks."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    inside = rows.select("bucket", "key", "sketch", F.lit(1).alias("own"), own.alias("i"))
+    outside = rows.where(F.col("component") != F.col("main")).select("bucket", "key", "sketch", F.lit(0).alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"))
+
+    def compare(rows: list[tuple]) -> list[tuple]:
+        left, right = ([(0, 0, own, key, sketch) for _, own, key, sketch in rows if own == side] for side in (0, 1))
+        return _linked(left, right)
+
+    return _by_group(inside.unionByName(outside), ["bucket", "i"], ["own", "key", "sketch"], compare, "a binary, b binary", [pa.binary()] * 2, ["a", "b"])
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """Links of buckets: (bucket, key, n, sketch)."""
+    return _by_group(_blocked(rows, "bucket", BLOCK), ["bucket", "i", "j"], ["own", "key", "sketch"], _candidates, "a binary, b binary", [pa.binary()] * 2, ["a", "b"])
 
 
 def _blocked(rows: DataFrame, group: str, block: int) -> DataFrame:
@@ -245,7 +330,10 @@ def _sides(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
 
 def _candidates(rows: list[tuple]) -> list[tuple]:
     """Links that span what the sketches of a pair of blocks connect."""
-    left, right = _sides(rows)
+    return _linked(*_sides(rows))
+
+
+def _linked(left: list[tuple], right: list[tuple]) -> list[tuple]:
     if not left or not right:
         return []
     a, b = ([np.frombuffer(r[4], np.uint32) for r in side] for side in (left, right))
@@ -305,37 +393,39 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     equal texts included; ``class_id`` is the least doc_id of the connected
     group. A null or wordless text has no n-gram: no link, its own doc_id as
     class. Repeated rows are documents of their own, which link; a null doc_id
-    is no class_id while the group has another. Other columns are ignored.
+    is no class_id while the group has another. doc_id may have any type that
+    is ordered. Texts of any length are read whole; an empty table gives one;
+    other columns are ignored.
     """
     whole = stage(_scan(docs, text, doc_id, runs_for(recall), words, similar), "scanned")
-    columns = ("sketch", "p1", "a2", "p2", "a3", "p3")
-    sets = whole.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.min("hash").alias("hash"), *[F.first(c).alias(c) for c in columns])
+    sets = whole.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.min("hash").alias("hash"), F.first("sketch").alias("sketch"), F.first("picks").alias("picks"))
     sets, ids = stage(sets, "sets"), stage(whole.select("doc_id", "key"), "ids")
     discard(whole)
+    groups = _groups(sets, similar)
 
-    buckets, tables = _buckets(sets)
-    sketched = buckets.join(sets.select("key", "sketch"), "key")
-    links = _by_group(_blocked(sketched, "bucket", BLOCK), ["bucket", "i", "j"], ["own", "key", "sketch"], _candidates, "a binary, b binary", [pa.binary()] * 2, ["a", "b"])
-    links = stage(links, "links")
-    discard(*tables)
-    groups = connected_components(links)
-
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = groups.withColumnRenamed("node", "key").join(sizes, "component").join(sets.select("key", "weight", "hash"), "key")
+    sizes = stage(groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("often", F.col("n")), "sizes")
+    members = spread_join(groups, sizes, "component", "often", groups.count()).withColumnRenamed("node", "key").join(sets.select("key", "weight", "hash"), "key")
     members = stage(members, "members")
+    discard(groups, sizes)
     tokens = _tokens_of(docs, text, words, members.select("hash"))
     rows = members.drop("hash").join(tokens, "key")
     compared = _by_group(_blocked(rows, "component", BLOCK), ["component", "i", "j"], ["own", "key", "tokens", "weight"], _exact(similar), "key binary, n bigint, other binary", [pa.binary(), pa.int64(), pa.binary()], ["key", "n", "other"])
     compared = stage(compared, "compared")
+    discard(members)
 
     counts = compared.groupBy("key").agg(F.sum("n").alias("n"))
     classes = connected_components(compared.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     named = sets.select("key", "weight", "least").join(counts, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left")
     named = stage(named.withColumn("component", F.coalesce("component", "key")), "named")
-    least = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    result = named.join(least, "component").select("key", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    discard(sets, compared, classes)
+    least = stage(named.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("often")), "least")
+    total = named.count()
+    result = spread_join(named, least, "component", "often", total).select("key", "class_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("often"))
+    result = stage(result, "result")
+    discard(named, least)
     alone = ids.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return ids.where("key is not null").select("doc_id", "key").join(result, "key").select("doc_id", "class_id", "n_links").unionByName(alone)
+    worded = ids.where("key is not null")
+    return spread_join(worded, result, "key", "often", worded.count()).select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
 def _tokens_of(docs: DataFrame, text: str, words: int, hashes: DataFrame) -> DataFrame:
@@ -358,11 +448,24 @@ def _tokens_of(docs: DataFrame, text: str, words: int, hashes: DataFrame) -> Dat
     return texts.select("text").mapInArrow(run, "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
-def keep_one_of_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, with their columns, less all but the first of each
-    group of similar documents, in the order of the table. Ids play no part:
-    they may be null or repeat. Wordless texts stay."""
-    rows = stage(packed(docs, "row").withColumn("rid", F.monotonically_increasing_id()), "rows")
-    judged = similar_documents(rows.select("rid", F.col(f"row.`{text}`").alias("text")), "text", "rid", **how)
-    leave = judged.where("class_id <> doc_id").select(F.col("doc_id").alias("rid"))
-    return unpacked(rows.join(leave, "rid", "left_anti").select("row"), "row")
+def keep_one_of_each(docs: DataFrame, text: str = "text", first: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs``, with their columns, less all but one of each group
+    of similar documents: that of the least ``first`` (nulls before others; a
+    column that is lacking decides nothing), then of the least hash of the row.
+
+    Values of ``first`` may be null or repeat. Rows that are the same in all
+    columns are one document, so one of them stays if its text has words;
+    wordless texts all stay. Texts are not written: a row is known by its hash.
+    """
+    rows = packed(docs, "row").withColumn("digest", digest_of("row"))
+    order = [F.col(f"row.`{first}`").alias("first")] if first in docs.columns else []
+    judged = similar_documents(rows.select(F.struct(*order, "digest").alias("id"), F.col(f"row.`{text}`").alias("text")), "text", "id", **how)
+    kept = judged.groupBy(F.col("doc_id.digest").alias("digest")).agg(F.min(F.col("doc_id") == F.col("class_id")).alias("stays"), F.max("n_links").alias("n_links"), F.count("*").alias("n"))
+    # Only rows that go, and those of which several are the same and linked, are named; all others pass.
+    named = stage(kept.where("not stays or n > 1 and n_links > 0").select("digest", "stays"), "named")
+    few = (lambda df: F.broadcast(df)) if named.count() <= BROADCAST_KEYS else (lambda df: df)
+    plain = rows.join(few(named.select("digest")), "digest", "left_anti").select("row")
+    if named.where("stays").isEmpty():
+        return unpacked(plain, "row")
+    repeated = rows.join(few(named.where("stays").select("digest")), "digest", "left_semi").groupBy("digest").agg(F.first("row").alias("row")).select("row")
+    return unpacked(plain.unionByName(repeated), "row")
