@@ -22,6 +22,11 @@ def quote(literal: str) -> str:
     return re.sub(r"([^\w\s/-])", r"\\\1", literal)
 
 
+def words_of(text: Column) -> Column:
+    """Lower-cased words of two characters and more, repeats kept: query_keywords on a column."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) >= 2)
+
+
 def query_keywords(query: str) -> list[str]:
     """Lower-cased words of two characters and more, repeats kept."""
     return [w for w in query.lower().split() if len(w) >= 2]
@@ -145,6 +150,39 @@ def aggressive(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(gentle(text), "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
+def same_text(a: Column, b: Column) -> Column:
+    """Whether texts are equal but for their line ends."""
+    return gentle(a) == gentle(b)
+
+
+def to_fixed(number: Column, places: int = 2) -> Column:
+    """The number as text with ``places`` decimals, by its exact binary value; of two that are as near, the one further from zero."""
+    x = number.cast("double")
+    halves = F.abs(x * float(1 << (places + 1)))
+    tie = (halves == F.floor(halves)) & (halves % 2 == 1)
+    return F.call_function("format_number", F.when(tie, x + F.signum(x) * 10.0 ** -(places + 2)).otherwise(x), F.lit("0." + "0" * places if places else "0"))
+
+
+def stamp(ts: Column, seconds: bool = False) -> Column:
+    """``YYYYMMDD`` or ``YYYYMMDD-HHMMSS``."""
+    return F.date_format(ts, "yyyyMMdd-HHmmss" if seconds else "yyyyMMdd")
+
+
+def label_id(name: Column, millis: Column) -> Column:
+    """``lbl_``, the name in lower case with an underscore for all that is no letter or digit, and the last six digits of a time in milliseconds."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.concat(F.lit("lbl_"), plain, F.lit("_"), F.lpad((millis % 1_000_000).cast("string"), 6, "0"))
+
+
+def member_type(path: Column) -> Column:
+    """What a group's member is: a symbol by its ``$``, a directory by a slash at the end or a ``*``, else a file."""
+    return F.when(path.contains("$"), "symbol").when(path.endswith("/") | path.contains("*"), "directory").otherwise("file")
+
+
+def member_path(path: Column) -> Column:
+    return F.when(path.contains("$"), path).otherwise(F.regexp_replace(path, "/$", ""))
+
+
 def common_lines(a: Column, b: Column) -> Column:
     """Lines equal at the same place."""
     pairs = F.arrays_zip(F.split(gentle(a), "\n").alias("x"), F.split(gentle(b), "\n").alias("y"))

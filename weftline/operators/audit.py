@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -66,9 +66,25 @@ def _required_annotation(c: Catalog, config: dict) -> DataFrame:
 _TYPES = {"file-location": _file_location, "forbidden-import": _forbidden_import, "text-pattern": _text_pattern, "required-annotation": _required_annotation}
 
 
+def _script(script: Callable, catalog: Catalog) -> DataFrame:
+    """Rows (path, line, what) of a script's result: a table of them (line and what may lack), a
+    condition on files, paths, or true or false for the project as a whole."""
+    found = script(catalog)
+    spark = catalog.files.sparkSession
+    if isinstance(found, bool):
+        found = spark.createDataFrame([] if found is False else [(".",)], "path string")
+    elif isinstance(found, (list, tuple)):
+        found = spark.createDataFrame([(str(p),) for p in found], "path string")
+    elif isinstance(found, Column):
+        found = catalog.files.where(found)
+    line = F.col("line").cast("int") if "line" in found.columns else F.lit(None).cast("int")
+    what = F.col("what") if "what" in found.columns else F.lit("breaks the rule")
+    return found.select("path", line.alias("line"), what.alias("what"))
+
+
 def check(rule: Rule, catalog: Catalog) -> DataFrame:
     """rule_id, rule_name, file, line, severity, message; files with a note that holds the rule's exempt token are left out."""
-    found = rule.script(catalog) if rule.type == "script" else _TYPES[rule.type](catalog, rule.config)
+    found = _script(rule.script, catalog) if rule.type == "script" else _TYPES[rule.type](catalog, rule.config)
     token = rule.config.get("exemptToken")
     if token and catalog.annotations is not None:
         notes = catalog.annotations.where((F.col("type") == "note") & F.col("message").contains(token)).select("path")

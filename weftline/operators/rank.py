@@ -83,7 +83,7 @@ def assist(static: DataFrame, goal: str, metrics: DataFrame | None = None, histo
         if when in goal:
             for part, boost in boosts.items():
                 raw = raw + F.when(F.col("path").contains(part), float(boost)).otherwise(0.0)
-    for other, column, value in ((history, "n_history", F.least(3 * F.col("n_history"), F.lit(12))), (usages, "n_usages", F.least(4 * F.col("n_usages"), F.lit(16))), (penalties, "penalty", F.col("penalty"))):
+    for other, column, value in ((history, "n_history", F.least(3 * F.coalesce("n_history", F.lit(0)), F.lit(12))), (usages, "n_usages", F.least(4 * F.coalesce("n_usages", F.lit(0)), F.lit(16))), (penalties, "penalty", F.col("penalty"))):
         if other is not None:
             source = "penalty" if column == "penalty" else "n"
             df = df.join(other.select("path", F.col(source).alias(column)), "path", "left")

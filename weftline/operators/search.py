@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def _valid(pattern: str) -> bool:
+def valid_pattern(pattern: str) -> bool:
     try:
         re.compile(pattern)
     except re.error:
@@ -27,7 +27,7 @@ def _valid(pattern: str) -> bool:
 def text_search(files: DataFrame, query: str, use_regex: bool = False) -> DataFrame:
     """path and relevance: keywords in the path count 1, those in the summary alone 0.6, over the number of keywords."""
     if use_regex:
-        hit = F.col("path").rlike("(?i)" + query) if _valid(query) else F.lit(False)
+        hit = F.col("path").rlike("(?i)" + query) if valid_pattern(query) else F.lit(False)
         return files.where(hit).select("path", F.lit(1.0).alias("relevance"))
     words = T.query_keywords(query)
     if not words:
@@ -43,7 +43,7 @@ def symbol_search(symbols: DataFrame, query: str, kinds: list[str] | None = None
     if kinds:
         symbols = symbols.where(F.col("kind").isin(kinds))
     if use_regex:
-        score = F.when(F.col("name").rlike("(?i)" + query), 1.0) if _valid(query) else F.lit(None).cast("double")
+        score = F.when(F.col("name").rlike("(?i)" + query), 1.0) if valid_pattern(query) else F.lit(None).cast("double")
     else:
         score = T.name_score(F.col("name"), query)
     found = symbols.select("path", "ord", "name", "kind", score.alias("score")).where("score is not null")
@@ -81,6 +81,17 @@ def compact_symbols(matched: Column, most: int) -> Column:
     return F.array_join(F.when(more > 0, F.concat(shown, F.array(F.concat(F.lit("+"), more.cast("string"), F.lit(" more"))))).otherwise(shown), ", ")
 
 
+def _page_with_total(hits: DataFrame, after: int, last: int) -> DataFrame:
+    """Rows ``after`` + 1 to ``last`` by relevance with rank and total, in one pass: each
+    task keeps the best ``last`` of its rows and their number."""
+    order = Window.partitionBy("__part").orderBy(F.desc("relevance"), "path")
+    parted = hits.withColumn("__part", F.spark_partition_id())
+    best = parted.withColumns({"__n": F.row_number().over(order), "__total": F.count("*").over(Window.partitionBy("__part"))}).where(F.col("__n") <= last)
+    every = Window.orderBy(F.desc("relevance"), "path")
+    sums = F.sum(F.when(F.col("__n") == 1, F.col("__total")).otherwise(0)).over(Window.partitionBy())
+    return best.withColumns({"rank": F.row_number().over(every), "total": sums}).where((F.col("rank") > after) & (F.col("rank") <= last)).drop("__part", "__n", "__total")
+
+
 def search(files: DataFrame, symbols: DataFrame, request: SearchRequest, members: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """The whole search: rank, path, relevance, total, symbols, snippet, and the
     names of groups and labels of the file where those tables are given.
@@ -99,9 +110,7 @@ def search(files: DataFrame, symbols: DataFrame, request: SearchRequest, members
     if r.path_prefix:
         hits = hits.where(F.col("path").startswith(r.path_prefix))
     size = 9999 if r.include_full else r.max_results
-    top = hits.orderBy(F.desc("relevance"), "path").limit(size * r.page)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("relevance"), "path"))).where(F.col("rank") > size * (r.page - 1))
-    ranked = ranked.crossJoin(hits.agg(F.count("*").alias("total")))  # one row
+    ranked = _page_with_total(hits, size * (r.page - 1), size * r.page)
     out = ranked.join(files.select("path", "summary"), "path", "left").select(
         "rank", "path", F.col("relevance"), "total",
         F.coalesce(compact_symbols(F.col("matched"), r.max_symbols_per_file), F.lit("")).alias("symbols"),
@@ -153,7 +162,7 @@ def match_lines(files: DataFrame, query: str, use_regex: bool = False, case_sens
     The neighbours of a line come from the file's own array of lines, so no
     window or shuffle is needed.
     """
-    if use_regex and not _valid(query):
+    if use_regex and not valid_pattern(query):
         files = files.where(F.lit(False))
     lines = files.select("path", F.split("content", "\n").alias("all")).select("path", "all", F.posexplode("all").alias("k", "line"))
     if use_regex:
@@ -178,12 +187,18 @@ def content_search(files: DataFrame, symbols: DataFrame, query: str, scores: Dat
     """One page of matching lines, files of the best score first, then by line.
 
     ``scores``: path, score, from the relevance operator; equal scores without.
+    ``scope``: a part of the path, or ``part$symbol`` for the lines of each
+    file's first symbol of that name.
     """
-    if scope:
-        files = files.where(F.lower("path").contains(scope.lower()))
+    inside = scope.partition("$")
+    if inside[0]:
+        files = files.where(F.lower("path").contains(inside[0].lower()))
     if kind:
         files = files.join(symbols.where(F.col("kind") == kind).select("path"), "path", "left_semi")
     found = match_lines(files, query, use_regex, case_sensitive)
+    if inside[2]:
+        own = symbols.where(F.col("name") == inside[2]).groupBy("path").agg(F.min_by(F.struct("start_line", "end_line"), "ord").alias("__at"))
+        found = found.join(own, "path").where(F.col("line_no").between(F.col("__at.start_line"), F.col("__at.end_line"))).drop("__at")
     if scores is not None:
         found = found.join(scores.select("path", "score"), "path", "left")
     found = found.withColumn("score", F.coalesce("score", F.lit(0.0)) if scores is not None else F.lit(0.0))
@@ -214,21 +229,6 @@ def symbol_hits(symbols: DataFrame, query: str, kinds: list[str] | None = None)
     return symbols.select("path", score.alias("s")).where("s is not null").groupBy("path").agg(F.sum("s").alias("score"), F.count("*").alias("n_symbols"))
 
 
-def category_search(rows: DataFrame, query: str, weights: dict[str, float], category: str, k: int = 3, scored: bool = True) -> DataFrame:
-    """The best ``k`` of a category: tokens of the query counted in each column, weighted.
-
-    ``rows``: id and the columns of ``weights``. Unscored: the first k in
-    which a column contains the query.
-    """
-    if not scored:
-        q = query.lower()
-        hit = T.any_of([F.lower(c).contains(q) for c in weights])
-        return rows.where(hit).select(F.lit(category).alias("category"), F.col("id").cast("string").alias("id"), F.lit(1.0).alias("score")).orderBy("id").limit(k)
-    total = reduce(lambda a, b: a + b, [w * match_count(T.identifier_tokens(F.coalesce(c, F.lit("")), 1), T.query_tokens(query, 1)) for c, w in weights.items()])
-    scores = rows.select(F.lit(category).alias("category"), F.col("id").cast("string").alias("id"), total.alias("score")).where("score > 0")
-    return scores.orderBy(F.desc("score"), "id").limit(k)
-
-
 def match_count(tokens: Column, query: list[str]) -> Column:
     """Sum over the query's tokens that occur of 1 + 0.2 * (occurrences - 1)."""
     def one(t):

@@ -44,6 +44,27 @@ def session_summary(log: DataFrame, prefix: str = "annotation:add") -> DataFrame
     return out.withColumn("updated", F.array_except("written", "created")).drop("written")
 
 
+def last_transaction(log: DataFrame) -> DataFrame:
+    """The last row of the log, by time, then session."""
+    return log.orderBy(F.desc("ts"), F.desc("session_id")).limit(1)
+
+
+def last_session(log: DataFrame, prefix: str = "annotation:add") -> DataFrame:
+    """The summary of the last session that wasn't closed, else of the last one, with ``orphaned``.
+
+    A session's id sorts as its start; one without a session:close is open.
+    """
+    of = log.groupBy("session_id").agg((F.count_if(F.col("action") == "session:close") == 0).alias("orphaned"))
+    last = of.orderBy(F.desc("orphaned"), F.desc("session_id")).limit(1)
+    own = log.join(F.broadcast(last.select("session_id")), "session_id", "left_semi")  # of one row
+    return session_summary(own, prefix).join(last, "session_id")
+
+
+def history_of(history: DataFrame, path: str | None = None) -> DataFrame:
+    """Versions, the newest first."""
+    return (history if path is None else history.where(F.col("path") == path)).orderBy(F.desc("ts"), "path")
+
+
 def throttled(hints: DataFrame, key: str, order: list, every: int = 10) -> DataFrame:
     """The 1st, 11th, 21st ... row of each key."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
