@@ -27,12 +27,12 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Distinct edges from imports (path, spec): the first candidate that is a file.
+def import_candidates(imports: DataFrame) -> DataFrame:
+    """(src, spec, prio, dst): the paths that an import (path, spec) may mean, the first one that exists being it.
 
     Only specs from ``.`` (relative to the importer) or ``@/`` (src/ of the
-    root) resolve: the path itself, then its stem with each extension, then its
-    index file with each.
+    root) have any: the path itself, then its stem with each extension, then
+    its index file with each.
     """
     spec = F.col("spec")
     local = imports.where(spec.startswith(".") | spec.startswith("@/"))
@@ -41,8 +41,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     known = r"\.(ts|tsx|js|jsx|vue|mjs|cjs)$"
     stem = F.regexp_replace("base", known, "")
     candidates = [F.col("base"), *[F.concat(stem, F.lit(e)) for e in EXTENSIONS], *[F.concat(F.col("base"), F.lit("/index" + e)) for e in EXTENSIONS]]
-    tried = based.select(F.col("path").alias("src"), "spec", F.posexplode(F.array(*candidates)).alias("prio", "dst"))
-    found = tried.join(files.select(F.col("path").alias("dst")), "dst", "left_semi")
+    return based.select(F.col("path").alias("src"), "spec", F.posexplode(F.array(*candidates)).alias("prio", "dst"))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Distinct edges from imports (path, spec): the first of their candidates that is a file."""
+    found = import_candidates(imports).join(files.select(F.col("path").alias("dst")), "dst", "left_semi")
     return found.groupBy("src", "spec").agg(F.min_by("dst", "prio").alias("dst")).select("src", "dst").distinct()
 
 
@@ -68,11 +72,21 @@ def shared_imports(edges: DataFrame, path: str) -> DataFrame:
     return edges.join(mine, "dst", "left_semi").where(F.col("src") != path).groupBy("src").agg(F.countDistinct("dst").alias("shared"))
 
 
+def shared_importers(edges: DataFrame, path: str) -> DataFrame:
+    """Files that are imported where ``path`` is, with the number of shared importers; by its own importers, never by all pairs."""
+    mine = edges.where(F.col("dst") == path).select("src").distinct()
+    return edges.join(mine, "src", "left_semi").where(F.col("dst") != path).groupBy("dst").agg(F.countDistinct("src").alias("shared"))
+
+
 def resolve_calls(raw: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls (path, sym, callee) to symbols of that name in imported files; all matching files, no self edge."""
-    reach = raw.join(edges, F.col("path") == F.col("src")).select("path", "sym", "callee", "dst")
+    """Calls (path, sym, callee) to symbols of that name in imported files; all matching files, no self edge.
+
+    The names that each file's imports offer are found first, so a call only
+    meets those of its own name.
+    """
     named = symbols.select(F.col("path").alias("dst"), F.col("name").alias("callee")).distinct()
-    found = reach.join(named, ["dst", "callee"]).where((F.col("path") != F.col("dst")) | (F.col("sym") != F.col("callee")))
+    offered = edges.select(F.col("src").alias("path"), "dst").distinct().join(named, "dst")
+    found = raw.select("path", "sym", "callee").join(offered, ["path", "callee"]).where((F.col("path") != F.col("dst")) | (F.col("sym") != F.col("callee")))
     return found.select(F.col("path").alias("src_path"), F.col("sym").alias("src_sym"), F.col("dst").alias("dst_path"), F.col("callee").alias("dst_sym")).distinct()
 
 
@@ -168,5 +182,17 @@ def stats(files: DataFrame, directories: DataFrame, symbols: DataFrame, edges: D
     return out
 
 
+def export(files: DataFrame, directories: DataFrame, symbols: DataFrame, edges: DataFrame, calls: DataFrame) -> dict[str, DataFrame]:
+    """The parts of an export: stats, files (path, size, modified), symbols (name, kind, file, line) and imports."""
+    size = F.octet_length("content") if "size" not in files.columns else F.col("size")
+    modified = F.col("last_modified") if "last_modified" in files.columns else F.lit(None).cast("bigint")
+    return {
+        "stats": stats(files, directories, symbols, edges, calls),
+        "files": files.select("path", size.cast("bigint").alias("size"), modified.alias("modified")),
+        "symbols": symbols.select("name", "kind", F.col("path").alias("file"), F.col("start_line").alias("line")),
+        "imports": adjacency(edges),
+    }
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.array_join(F.sort_array(F.collect_set("dst")), ",").alias("imports"))

@@ -11,6 +11,27 @@ from .sources import parsers
 log = logging.getLogger(__name__)
 
 
+# The names of the events, by what they are on.
+EVENTS = {
+    "scan": ("start", "file", "complete"),
+    "symbol": ("discovered",),
+    "element": ("discovered",),
+    "file": ("create", "update", "delete:before", "delete", "rename", "copy", "write:before", "write:after", "read"),
+    "search": ("executed", "result:before", "result:after"),
+    "read": ("result:before", "result:after"),
+    "group": ("add", "notate"),
+    "annotation": ("add", "add:source", "add:meta"),
+    "metadata": ("set", "get"),
+    "session": ("close:before", "close:after"),
+    "build": ("before", "after"),
+    "orient": ("contribute",),
+}
+
+
+def event_names() -> list[str]:
+    return [f"{on}:{what}" for on, whats in EVENTS.items() for what in whats]
+
+
 class Events:
     """Handlers by event name, called one after another, those for all events first; their errors are logged."""
 
@@ -47,6 +68,8 @@ class Registry:
     hooks: list[Callable] = field(default_factory=list)
     tools: dict[str, Callable] = field(default_factory=dict)
     events: Events = field(default_factory=Events)
+    parsers: dict[str, Callable] = field(default_factory=lambda: dict(parsers.PARSERS))
+    contributions: list[tuple[int, str]] = field(default_factory=list)
 
     def add(self, plugin) -> None:
         """``plugin`` has a unique name and a method register(registry)."""
@@ -59,8 +82,22 @@ class Registry:
         self.plugins.pop(name)
 
     def add_parser(self, extension: str, parse: Callable[[str], list[tuple]]) -> None:
-        """``parse``: a text to rows (name, kind, start line and column, end line and column, exported, owner)."""
-        parsers.PARSERS[extension] = parse
+        """``parse``: a text to rows (name, kind, start line and column, end line and column, exported, owner).
+
+        ``symbols`` of this registry, and graphs made with it, route files of the extension to it.
+        """
+        self.parsers[extension] = parse
+
+    def symbols(self, files):
+        return parsers.symbols(files, self.parsers)
+
+    def contribute(self, text: str, priority: int = 0) -> None:
+        """A line for the report to start work with."""
+        self.contributions.append((priority, text))
+
+    def orientation(self) -> list[str]:
+        """The contributed lines, the highest priority first."""
+        return [text for _, text in sorted(self.contributions, key=lambda c: -c[0])]
 
     def add_tool(self, name: str, f: Callable) -> None:
         if name in self.tools:

@@ -8,28 +8,77 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stage
+
 VERSION = 1
 
 
+def written(df: DataFrame) -> DataFrame:
+    return stage(df, "catalog")
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def save(tables: dict[str, DataFrame], path: str, root: str) -> None:
-    """Writes the tables and a manifest beside ``path`` and renames them there, so that readers see all or nothing."""
+    """Writes the tables and a manifest beside ``path`` and renames them there, so that readers see all or
+    nothing; what was there is put aside first and deleted last."""
     spark = next(iter(tables.values())).sparkSession
     temp = f"{path}.{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{temp}/{name}")
     spark.createDataFrame([(json.dumps({"version": VERSION, "root": root, "tables": sorted(tables)}),)], "value string").coalesce(1).write.text(f"{temp}/manifest")
     new, fs = _fs(spark, temp)
-    old = _fs(spark, path)[0]
-    if fs.exists(old):
-        fs.delete(old, True)
-    fs.mkdirs(old.getParent())
-    if not fs.rename(new, old):
+    here, aside = _fs(spark, path)[0], _fs(spark, f"{path}.{uuid.uuid4().hex}.old")[0]
+    fs.mkdirs(here.getParent())
+    replaced = fs.exists(here) and fs.rename(here, aside)
+    if not fs.rename(new, here):
+        if replaced:
+            fs.rename(aside, here)
         raise OSError(f"could not rename to {path}")
+    if replaced:
+        fs.delete(aside, True)
+
+
+PARTITIONS = 64
+_KEY = {"edges": "src", "calls": "src_path"}
+
+
+def _parted(name: str, df: DataFrame) -> DataFrame:
+    return df.withColumn("part", F.pmod(F.xxhash64(_KEY.get(name, "path")), F.lit(PARTITIONS)).cast("int"))
+
+
+def save_parted(tables: dict[str, DataFrame], path: str) -> None:
+    """Writes the tables in PARTITIONS parts by a hash of the file, for ``update``."""
+    for name, df in tables.items():
+        _parted(name, df).write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
+
+
+def load_parted(spark: SparkSession, path: str, names) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def update(old: dict[str, DataFrame], new: dict[str, DataFrame], path: str) -> dict[str, list[int]]:
+    """Rewrites only the parts of the tables in which ``old`` (of load_parted) and ``new`` differ, and names them.
+
+    A part differs if the number or the sum of its rows' hashes does. New rows
+    are written aside before they replace old ones.
+    """
+    done = {}
+    for name, df in new.items():
+        after = written(_parted(name, df.drop("part")))
+        columns = sorted(c for c in after.columns if c != "part")
+        sums = lambda t: t.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h"))  # noqa: E731, B023
+        a, b = sums(old[name].select(*after.columns)), sums(after)
+        differ = [r["part"] for r in a.join(b.withColumnsRenamed({"n": "n2", "h": "h2"}), "part", "full").where("not (n <=> n2 and h <=> h2)").select("part").collect()]  # at most PARTITIONS
+        fs = _fs(df.sparkSession, path)[1]
+        for part in differ:
+            fs.delete(_fs(df.sparkSession, f"{path}/{name}/part={part}")[0], True)
+        after.where(F.col("part").isin(differ)).write.mode("append").partitionBy("part").parquet(f"{path}/{name}")
+        done[name] = sorted(differ)
+    return done
 
 
 def load(spark: SparkSession, path: str, root: str) -> dict[str, DataFrame] | None:

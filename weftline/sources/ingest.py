@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,7 +53,7 @@ def hidden(path: Column) -> Column:
 def listing(spark: SparkSession, root: str, ignores=DEFAULT_IGNORES, all_folders: bool = False, max_bytes: int | None = None, max_depth: int = 50) -> DataFrame:
     """(path, uri, mtime, size) of the files below ``root``, in any store of Spark's; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.split("://", 1)[-1].rstrip("/") + "/"
+    base = re.sub("^[a-z0-9]+:/*", "/", root).rstrip("/") + "/"
     plain = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
     df = files.select(F.substring_index(plain, base, -1).alias("path"), F.col("path").alias("uri"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"))
     df = df.where(~ignored(F.col("path"), ignores) & (F.size(F.split("path", "/")) <= max_depth + 1))
@@ -61,11 +62,15 @@ def listing(spark: SparkSession, root: str, ignores=DEFAULT_IGNORES, all_folders
     return df if max_bytes is None else df.where(F.col("size") <= max_bytes)
 
 
-def read_files(spark: SparkSession, root: str, **how) -> DataFrame:
-    """The files table with contents, hashes and heuristic summaries."""
-    kept = listing(spark, root, **how)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("uri"), "content")
-    df = raw.join(kept, "uri").withColumn("content", F.col("content").cast("string"))
+def read_files(spark: SparkSession, root: str, tag: str | None = None, **how) -> DataFrame:
+    """The files table with contents, hashes and heuristic summaries; with ``tag``, that
+    of the project's annotations, their tags and domain too."""
+    files = _rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), listing(spark, root, **how))
+    return files if tag is None else with_annotations(files, tag)
+
+
+def _rows(raw: DataFrame, kept: DataFrame) -> DataFrame:
+    df = raw.select(F.col("path").alias("uri"), "content").join(kept, "uri").withColumn("content", F.col("content").cast("string"))
     p = F.col("path")
     return df.select(
         "path", T.base_name(p).alias("name"), T.directory(p).alias("dir_path"), parsers.summary(p, F.col("content")).alias("summary"),
@@ -73,6 +78,33 @@ def read_files(spark: SparkSession, root: str, **how) -> DataFrame:
     )
 
 
+def with_annotations(files: DataFrame, tag: str) -> DataFrame:
+    """The files with the tags of their annotations and their domain (null without one)."""
+    tags = parsers.annotations(files, tag).where("tags is not null").select("path", F.explode("tags").alias("tag"))
+    tags = tags.groupBy("path").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    domain = parsers.domains(parsers.categorised(files, tag)).select("path", F.struct("name", "relevance", "message", "searchable").alias("domain"))
+    return files.join(tags, "path", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).join(domain, "path", "left")
+
+
+#: Changed files that are read by their names; more are read with all others and joined.
+BY_NAME = 10_000
+
+
+def rescan(spark: SparkSession, root: str, cached: DataFrame, **how) -> DataFrame:
+    """The files table brought up to date from ``cached``, one of read_files: rows of
+    files that are as they were stay, new and changed files are read and gone ones go."""
+    now = listing(spark, root, **how)
+    what = incremental(now, cached.select("path", F.col("last_modified").alias("mtime")))
+    kept = cached.join(what.where("what = 'keep'").select("path"), "path", "left_semi")
+    fresh = now.join(what.where("what = 'parse'").select("path"), "path", "left_semi")
+    names = [r["uri"] for r in fresh.select("uri").limit(BY_NAME + 1).collect()]
+    if not names:
+        return kept
+    raw = spark.read.format("binaryFile")
+    raw = raw.load(names) if len(names) <= BY_NAME else raw.option("recursiveFileLookup", "true").load(root)
+    return kept.unionByName(_rows(raw, fresh).select(*kept.columns))
+
+
 def incremental(listing: DataFrame, cached: DataFrame) -> DataFrame:
     """(path, what): parse what is new or has another mtime, keep the rest, evict what is gone."""
     both = listing.select("path", F.col("mtime").alias("now")).join(cached.select("path", F.col("mtime").alias("then")), "path", "full")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -173,24 +174,44 @@ def script_symbols(text: str) -> list[tuple]:
 
 def php_symbols(text: str) -> list[tuple]:
     """Classes and traits (as class), interfaces, enums, functions, and the methods, properties and constants of classes; exported where public."""
+    return [row for row, _ in _php(text)]
+
+
+def php_modifiers(text: str) -> list[tuple[str, str | None, str | None, bool]]:
+    """(namespace, class, visibility, static) of each of php_symbols; classes and functions have no visibility."""
+    m = re.search(r"^\s*namespace\s+([\w\\]+)", text, re.MULTILINE)
+    out = []
+    for row, words in _php(text):
+        seen = next((w for w in words if w in ("public", "protected", "private")), "public")
+        out.append((m[1] if m else "", row[-1], seen if row[-1] else None, "static" in words))
+    return out
+
+
+def _php(text: str) -> list[tuple[tuple, list[str]]]:
+    """Rows of symbols, each with the modifiers before it."""
     code, out, inside = Code(text), [], []
     for i, (t, _, _) in enumerate(code.tokens):
         while inside and i > inside[-1][1]:
             inside.pop()
         owner = inside[-1][0] if inside else None
         name, first = i + 1 + (code.word(i + 1) == "&"), _head(code, i)
-        hidden = any(code.word(k) in ("private", "protected") for k in range(first, i))
+        words = [code.word(k) for k in range(first, i)]
+        hidden = "private" in words or "protected" in words
         named = bool(re.match(r"[A-Za-z_]", code.word(name)))
+
+        def add(*row):
+            out.append((_row(code, first, *row), words))  # noqa: B023
+
         if t in ("class", "trait", "interface", "enum") and named and code.word(i - 1) not in ("::", "new", "->"):
             last = code.body(name)
-            out.append(_row(code, first, last, code.word(name), "class" if t == "trait" else t, True))
+            add(last, code.word(name), "class" if t == "trait" else t, True)
             inside.append((code.word(name), last))
         elif t == "function" and named:
-            out.append(_row(code, first, code.body(name), code.word(name), "method" if owner else "function", not hidden, owner))
+            add(code.body(name), code.word(name), "method" if owner else "function", not hidden, owner)
         elif owner and t.startswith("$") and first < i and code.word(i - 1) not in ("(", ","):
-            out.append(_row(code, first, code.statement(i), t[1:], "property", not hidden, owner))
+            add(code.statement(i), t[1:], "property", not hidden, owner)
         elif owner and t == "const" and named:
-            out.append(_row(code, first, code.statement(i), code.word(name), "constant", not hidden, owner))
+            add(code.statement(i), code.word(name), "constant", not hidden, owner)
     return out
 
 
@@ -208,28 +229,30 @@ def calls(text: str, symbols: list[tuple]) -> list[tuple[str, int, str]]:
 PARSERS = {**dict.fromkeys((".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), script_symbols), ".php": php_symbols}
 
 
-def _parser(path: str):
-    return PARSERS.get("." + path.rsplit(".", 1)[-1] if "." in path else "")
-
-
-def _mapped(files: DataFrame, schema: str, kinds: list, f) -> DataFrame:
+def _mapped(files: DataFrame, schema: str, kinds: list, f, known: dict | None = None) -> DataFrame:
+    """Rows of f(path, text, parser) of the files whose extension has a parser; the parsers go to the tasks with the plan."""
     names = [c.strip().split()[0] for c in schema.split(",")]
+    known = dict(PARSERS if known is None else known)
+
+    def parser(path: str):
+        return known.get("." + path.rsplit(".", 1)[-1] if "." in path else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for p, t in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True) if (parse := _parser(p)) for r in f(p, t or "", parse)]
+            rows = [r for p, t in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True) if (parse := parser(p)) for r in f(p, t or "", parse)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def symbols(files: DataFrame) -> DataFrame:
+def symbols(files: DataFrame, known: dict | None = None) -> DataFrame:
+    """``known``: parsers by extension, PARSERS if None."""
     kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int32()] * 4, pa.bool_(), pa.string()]
-    return _mapped(files, SYMBOLS, kinds, lambda p, t, parse: [(p, k, *s) for k, s in enumerate(parse(t))])
+    return _mapped(files, SYMBOLS, kinds, lambda p, t, parse: [(p, k, *s) for k, s in enumerate(parse(t))], known)
 
 
-def raw_calls(files: DataFrame) -> DataFrame:
-    return _mapped(files, CALLS, [pa.string(), pa.string(), pa.int32(), pa.string()], lambda p, t, parse: [(p, *c) for c in calls(t, parse(t))])
+def raw_calls(files: DataFrame, known: dict | None = None) -> DataFrame:
+    return _mapped(files, CALLS, [pa.string(), pa.string(), pa.int32(), pa.string()], lambda p, t, parse: [(p, *c) for c in calls(t, parse(t))], known)
 
 
 def without_comments(text: Column) -> Column:
@@ -242,6 +265,29 @@ def imports(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(specs).alias("ord", "spec"))
 
 
+def modifiers(files: DataFrame) -> DataFrame:
+    """(path, ord, namespace, class_name, visibility, static) of the symbols of PHP files."""
+    schema = "path string, ord int, namespace string, class_name string, visibility string, static boolean"
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+    return _mapped(files, schema, kinds, lambda p, t, parse: [(p, k, *m) for k, m in enumerate(parse(t))], {".php": php_modifiers})
+
+
+def php_dependencies(files: DataFrame) -> DataFrame:
+    """(path, kind, ord, spec) of what PHP files extend, implement, use and include; included are plain strings only."""
+    text = F.regexp_replace(without_comments(F.col("content")), r"(?m)#[^\[\n].*$", "")
+    names = lambda pattern: F.flatten(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.split(F.trim(x), r"\s*,\s*")))
+    uses = F.transform(names(r"(?m)^\s*use\s+(?!function\b|const\b)([\w\\,\s]+?)(?:\s+as\s+\w+)?\s*;"), lambda x: F.regexp_replace(x, r"\s+as\s+\w+$", ""))
+    kinds = {
+        "extends": names(r"\b(?:class|interface)\s+\w+\s+extends\s+([\w\\]+(?:\s*,\s*[\w\\]+)*)"),
+        "implements": names(r"\bimplements\s+([\w\\]+(?:\s*,\s*[\w\\]+)*)"),
+        "use": uses,
+        "include": F.regexp_extract_all(text, F.lit(r"""\b(?:include|require)(?:_once)?\s*\(?\s*['"]([^'"]+)['"]"""), F.lit(1)),
+    }
+    php = files.where(F.col("path").endswith(".php"))
+    rows = [php.select("path", F.lit(kind).alias("kind"), F.posexplode(specs).alias("ord", "spec")) for kind, specs in kinds.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def exports(files: DataFrame) -> DataFrame:
     names = F.regexp_extract_all("content", F.lit(r"export\s+(?:default\s+)?(?:abstract\s+|async\s+)?(?:class|function|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)"), F.lit(1))
     return files.select("path", F.posexplode(names).alias("ord", "name"))
@@ -290,21 +336,56 @@ def component_symbols(files: DataFrame) -> DataFrame:
     return vue.select("path", F.col("component").alias("name"), F.lit("component").alias("kind"), F.lit(1).alias("start_line")).unionByName(some(props, "props")).unionByName(some(emits, "emits"))
 
 
+# Elements without content.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+
+
 class _Tags(HTMLParser):
+    """Elements as [tag, id, line, column, end line, end column]; one that isn't closed ends with its start tag."""
+
     def __init__(self, text: str):
         super().__init__()
-        self.found: list[tuple] = []
+        self.found: list[list] = []
+        self._open: list[list] = []
         self.feed(text)
 
+    def _after(self, raw: str) -> tuple[int, int]:
+        line, column = self.getpos()
+        breaks = raw.count("\n")
+        return line + breaks, (column + len(raw) if not breaks else len(raw) - raw.rindex("\n") - 1) + 1
+
     def handle_starttag(self, tag, attrs):
         line, column = self.getpos()
-        self.found.append((tag, dict(attrs).get("id"), line, column + 1))
+        row = [tag, dict(attrs).get("id"), line, column + 1, *self._after(self.get_starttag_text())]
+        self.found.append(row)
+        if tag not in VOID:
+            self._open.append(row)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if self._open and self._open[-1] is self.found[-1]:
+            self._open.pop()
+
+    def handle_endtag(self, tag):
+        at = next((k for k in range(len(self._open) - 1, -1, -1) if self._open[k][0] == tag), None)
+        if at is not None:
+            rest = self.rawdata[self._offset() :]
+            self._open[at][4:] = self._after(rest[: rest.find(">") + 1] or f"</{tag}>")
+            del self._open[at:]
+
+    def _offset(self) -> int:
+        """Where the parser is in its text."""
+        line, column = self.getpos()
+        if not hasattr(self, "_starts"):
+            self._starts = [0, *(m.end() for m in re.finditer("\n", self.rawdata))]
+        return self._starts[line - 1] + column
 
 
 def elements(files: DataFrame) -> DataFrame:
-    """(path, ord, name, tag, has_id, start_line, start_col) of the template's elements, in order."""
-    schema = "path string, ord int, id string, tag string, has_id boolean, start_line int, start_col int"
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32()]
+    """(path, ord, name, tag, has_id, start_line, start_col, end_line, end_col) of the template's elements, in order."""
+    schema = "path string, ord int, id string, tag string, has_id boolean, start_line int, start_col int, end_line int, end_col int"
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), *[pa.int32()] * 4]
+    names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,8 +394,8 @@ def elements(files: DataFrame) -> DataFrame:
                 if p.endswith(".vue"):
                     m = re.search(r"<template[^>]*>(.*)</template>", t or "", re.DOTALL)
                     t = m[1] if m else ""
-                rows += [(p, k, i, tag, i is not None, line, column) for k, (tag, i, line, column) in enumerate(_Tags(t or "").found)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["path", "ord", "id", "tag", "has_id", "start_line", "start_col"])
+                rows += [(p, k, i, tag, i is not None, *at) for k, (tag, i, *at) in enumerate(_Tags(t or "").found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
     found = number_elements(files.select("path", "content").mapInArrow(run, schema))
     return found.withColumn("name", F.coalesce("id", "name")).drop("id")

@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..operators import graph
+from ..operators.graph import written
+from ..sources import parsers
+
 
 def first_seen(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Adds ``created``: whether a row is the first of its keys. For a batch."""
     return events.withColumn("created", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
 
 
+def recent(events: DataFrame, now, days: int = 7) -> DataFrame:
+    """Events of the last ``days`` before ``now``. For a batch."""
+    return events.where(F.col("ts") > now - F.expr(f"INTERVAL {days} DAYS"))
+
+
 def recent_counts(events: DataFrame, key: str, days: int = 7, late: str = "1 hour") -> DataFrame:
     """Counts for each key in windows of ``days`` that advance by a day; ``ts`` must be a timestamp."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", f"{days} days", "1 day").alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
@@ -32,23 +42,71 @@ def deduplicated(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, parse: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """The tables after a batch of changes (path, op, to, content, ts): the last
-    change of a path counts. Rows of changed, deleted and renamed paths go, and
-    those that ``parse`` makes of the written ones come.
-    """
+def first_seen_stream(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
+    """The first event of each key, of a stream: what creates rather than updates. Keys are kept as long as the watermark holds them."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
+def _last_changes(changes: DataFrame) -> DataFrame:
+    """(path, op, content): the last change of each path; a rename deletes one path and writes another."""
     moved = changes.where("op = 'rename'")
     flat = changes.where("op <> 'rename'").select("path", "op", "content", "ts")
     flat = flat.unionByName(moved.select("path", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("content"), "ts")).unionByName(moved.select(F.col("to").alias("path"), F.lit("write").alias("op"), "content", "ts"))
-    last = flat.groupBy("path").agg(F.max_by(F.struct("op", "content"), F.col("ts")).alias("c")).select("path", "c.*")
-    fresh = parse(last.where("op in ('write', 'create', 'copy')").select("path", "content"))
-    return {name: df.join(last.select("path"), "path", "left_anti").unionByName(fresh[name], allowMissingColumns=True) if name in fresh else df.join(last.select("path"), "path", "left_anti") for name, df in tables.items()}
+    order = F.struct("ts", (F.col("op") != "delete").cast("int"))
+    return flat.groupBy("path").agg(F.max_by(F.struct("op", "content"), order).alias("c")).select("path", "c.*")
+
+
+def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, parse: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The graph's tables after a batch of changes (path, op, to, content, ts): the
+    last change of a path counts, of those at one time a writing one.
+
+    Rows of changed, deleted and renamed paths go, and those that ``parse``
+    makes of the written ones (path, content) come: of ``files``, ``symbols``,
+    ``imports``, ``annotations`` and any other table with a path. ``edges`` and
+    ``calls`` are made anew for the files that changed and for those that may
+    import a changed one, from the new imports, and from the calls that
+    ``parse`` finds in the contents; those of all other files stay.
+    """
+    last = written(_last_changes(changes))
+    fresh = parse(last.where("op <> 'delete'").select("path", "content"))
+    out = {}
+    for name, df in tables.items():
+        if name not in ("edges", "calls"):
+            kept = df.join(last.select("path"), "path", "left_anti")
+            out[name] = kept.unionByName(fresh[name], allowMissingColumns=True).select(*df.columns) if name in fresh else kept
+    if "edges" not in tables or "imports" not in out:
+        return out | {n: tables[n] for n in ("edges", "calls") if n in tables}
+    changed = last.select("path")
+    near = graph.import_candidates(out["imports"]).join(changed.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path"))
+    old = tables["edges"].join(changed.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path"))
+    touched = written(near.union(old).union(changed).distinct())
+    new = graph.resolve_imports(out["imports"].join(touched, "path", "left_semi"), out["files"])
+    out["edges"] = written(tables["edges"].join(touched.withColumnRenamed("path", "src"), "src", "left_anti").unionByName(new))
+    if "calls" in tables:
+        own = out["files"].join(touched, "path", "left_semi").select("path", "content")
+        calls = graph.resolve_calls(parse(own)["raw_calls"], out["edges"].join(touched.withColumnRenamed("path", "src"), "src", "left_semi"), out["symbols"])
+        out["calls"] = tables["calls"].join(touched.withColumnRenamed("path", "src_path"), "src_path", "left_anti").unionByName(calls)
+    return out
+
+
+def parse_files(tag: str = "@note") -> Callable[[DataFrame], dict[str, DataFrame]]:
+    """What apply_changes needs of the parsers: each call parses the files that it is given."""
+
+    def parse(files: DataFrame) -> dict[str, DataFrame]:
+        rows = files.select("path", T.base_name(F.col("path")).alias("name"), T.directory(F.col("path")).alias("dir_path"), parsers.summary(F.col("path"), F.col("content")).alias("summary"), "content", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("bigint").alias("size"))
+        return {"files": rows, "symbols": parsers.symbols(files), "imports": parsers.imports(files), "annotations": parsers.annotations(files, tag), "raw_calls": parsers.raw_calls(files)}
+
+    return parse
 
 
 def follow(changes: DataFrame, load: Callable[[], dict[str, DataFrame]], save: Callable[[dict[str, DataFrame]], None], parse: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str, every: str = "15 minutes"):
-    """Starts a query that applies each micro-batch of a change feed to the stored tables."""
+    """Starts a query that applies each micro-batch of a change feed to the stored tables.
+
+    ``catalog.update`` as ``save`` rewrites only the partitions that a batch changed.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
-        save(apply_changes(load(), df, parse))
+        if not df.isEmpty():
+            save(apply_changes(load(), df, parse))
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
