@@ -181,7 +181,7 @@ def test_best_block_over_all_files(spark, tmp_path):
         scores = [(1 - distance(b, registry._N6) / max(len(b), len(registry._N6)), -k) for k, b in blocks]
         want |= {(i, -max(scores)[1], round(max(scores)[0], 6))} if scores else set()
     files = registry.Model(spark, str(tmp_path)).files().select("path", "doc_id")
-    got = registry.QUERIES["n6_best_block_all"](spark, str(tmp_path)).join(files, "path")
+    got = registry.QUERIES["n6_best_block"](spark, str(tmp_path)).join(files, "path")
     assert {(r["doc_id"], r["start"], r["score"]) for r in got.collect()} == want and len(want) == 4
 
 
@@ -195,7 +195,7 @@ def test_blocks_reach_the_last_line(spark, tmp_path):
 def test_keywords_of_the_whole_content(spark, tmp_path):
     text = "alpha " * 12 + "lateword\nsecond line éa keyword9"
     spark.createDataFrame([(1, text, "en", "src1", 1), (2, None, "en", "src1", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["path"][-5]: r["words"] for r in registry.QUERIES["n9_keywords_all"](spark, str(tmp_path)).collect()}
+    got = {r["path"][-5]: r["words"] for r in registry.QUERIES["n9_keywords"](spark, str(tmp_path)).collect()}
     assert got == {"1": "alpha keyword9 lateword line second", "2": ""}
 
 
@@ -217,7 +217,7 @@ def test_journeys(spark):
         "session_id string, seq int, kind string, query string, results array<string>, path string",
     )
     got = [(r["journey"], r["step"], r["selected"], r["rejected"], r["target"]) for r in experience.journeys(events).orderBy("journey", "step").collect()]
-    assert got == [(1, 1, [], ["a", "b"], "b"), (1, 2, ["b"], ["c"], "b"), (2, 1, [], ["z"], None)]
+    assert got == [(1, 1, [], [], "b"), (1, 2, ["b"], ["c"], "b"), (2, 1, [], [], None)]  # a step without a read rejects nothing
 
 
 def test_durations(spark):

@@ -60,7 +60,8 @@ def journeys(events: DataFrame) -> DataFrame:
     """Steps of search journeys from ordered events (session_id, seq, kind, query, results, path).
 
     A search opens a journey or extends the open one, a read selects the file
-    in the latest step that listed it, and a write closes the journey. Rows:
+    in the latest step that listed it and thereby rejects the step's others,
+    and a write closes the journey. Rows:
     session_id, journey (from 1), step, query, selected, rejected, target.
     """
     w = Window.partitionBy("session_id").orderBy("seq")
@@ -77,4 +78,30 @@ def journeys(events: DataFrame) -> DataFrame:
     targets = marked.where("kind = 'write'").select("session_id", "journey", F.col("path").alias("target"))
     out = searches.join(selected, ["session_id", "journey", "step"], "left").join(targets, ["session_id", "journey"], "left")
     picked = F.coalesce("selected", F.array().cast("array<string>"))
-    return out.select("session_id", "journey", "step", "query", picked.alias("selected"), F.array_except("results", picked).alias("rejected"), "target")
+    rejected = F.when(F.size(picked) > 0, F.array_except("results", picked)).otherwise(F.array().cast("array<string>"))
+    return out.select("session_id", "journey", "step", "query", picked.alias("selected"), rejected.alias("rejected"), "target")
+
+
+def anti_results(steps: DataFrame) -> DataFrame:
+    """(correct_file, incorrect_file, query, reason) of closed journeys: files that a
+    step of them listed or read and that weren't the target. ``steps``: as of journeys."""
+    closed = steps.where("target is not null")
+    wrong = lambda c, reason: closed.select(F.col("target").alias("correct_file"), F.explode(c).alias("incorrect_file"), "query", F.lit(reason).alias("reason"))
+    both = wrong("rejected", "appeared_in_results_but_rejected").unionByName(wrong("selected", "read_but_abandoned"))
+    return both.where(F.col("incorrect_file") != F.col("correct_file")).distinct()
+
+
+def journeys_for(steps: DataFrame, path: str) -> DataFrame:
+    """Steps of the journeys that ended at this file."""
+    return steps.where(F.col("target") == path)
+
+
+def anti_results_for(anti: DataFrame, path: str) -> DataFrame:
+    return anti.where(F.col("incorrect_file") == path)
+
+
+def add_usages(store: DataFrame, more: DataFrame) -> DataFrame:
+    """(target, usages): both lists of a target as one without repeats, in the order of their first mention."""
+    both = store.select("target", "usages", F.lit(0).alias("n")).unionByName(more.select("target", "usages", F.lit(1).alias("n")))
+    lists = F.transform(F.sort_array(F.collect_list(F.struct("n", "usages"))), lambda x: x["usages"])
+    return both.groupBy("target").agg(F.array_distinct(F.flatten(lists)).alias("usages"))

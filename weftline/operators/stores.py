@@ -127,3 +127,155 @@ def parse_annotation(text, tag: str = "@note") -> dict:
     """Column expressions of ``TAG.TYPE [SEVERITY] text``; ``tag`` is the project's own."""
     p = rf"^{T.quote(tag)}\.(\w+)\s+(?:\[(\w+)\]\s*)?(.*)$"
     return {"type": F.regexp_extract(text, p, 1), "severity": F.nullif(F.regexp_extract(text, p, 2), F.lit("")), "text": F.regexp_extract(text, p, 3)}
+
+
+# -- groups ------------------------------------------------------------------
+
+
+def set_group(groups: DataFrame, members: DataFrame, notations: DataFrame, name: str, description: str, paths: list[str], now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables with the group made or updated: new members come to the
+    old ones, and another description leaves a notation."""
+    spark = groups.sparkSession
+    old = groups.where(F.col("name") == name)
+    fresh = spark.createDataFrame([(name, p) for p in paths], "name string, path string").select("name", T.member_type(F.col("path")).alias("member_type"), T.member_path(F.col("path")).alias("path")).distinct()
+    fresh = fresh.join(members, ["name", "member_type", "path"], "left_anti").select(*members.columns)
+    row = spark.range(1).select(F.lit(name).alias("name")).join(old.select("name", F.col("created_at").alias("__created")), "name", "left")
+    row = row.select("name", F.lit(description).alias("description"), F.coalesce("__created", F.lit(now)).cast("bigint").alias("created_at"), F.lit(now).cast("bigint").alias("updated_at"))
+    changed = old.where(~F.col("description").eqNullSafe(description))
+    said = changed.select("name", F.lit(f"Description updated: {description}").alias("text"))
+    return groups.where(F.col("name") != name).unionByName(row.select(*groups.columns)), members.unionByName(fresh), _with_notations(notations, said, now)
+
+
+def _with_notations(notations: DataFrame, said: DataFrame, now: int) -> DataFrame:
+    """(name, ord, text, file, line, ts) with one more for each row of ``said``, after the last of its group."""
+    for c, kind in (("file", "string"), ("line", "int")):
+        said = said if c in said.columns else said.withColumn(c, F.lit(None).cast(kind))
+    last = notations.groupBy("name").agg(F.max("ord").alias("__last"))
+    rows = said.join(last, "name", "left").select("name", (F.coalesce("__last", F.lit(-1)) + 1).cast("int").alias("ord"), "text", "file", F.col("line").cast("int").alias("line"), F.lit(now).cast("bigint").alias("ts"))
+    return notations.unionByName(rows.select(*notations.columns))
+
+
+def notate(groups: DataFrame, notations: DataFrame, name: str, text: str, now: int, file: str | None = None, line: int | None = None) -> DataFrame:
+    """The notations with one more of a group that exists; unchanged without such a group."""
+    said = groups.where(F.col("name") == name).select("name", F.lit(text).alias("text"), F.lit(file).cast("string").alias("file"), F.lit(line).cast("int").alias("line"))
+    return _with_notations(notations, said, now)
+
+
+def remove_members(members: DataFrame, name: str, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The members less those, and (name, n) of what is left of the group."""
+    spark = members.sparkSession
+    gone = spark.createDataFrame([(name, p) for p in paths], "name string, path string").select("name", T.member_type(F.col("path")).alias("member_type"), T.member_path(F.col("path")).alias("path"))
+    left = members.join(gone, ["name", "member_type", "path"], "left_anti")
+    return left, left.where(F.col("name") == name).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+
+
+def delete_group(groups: DataFrame, members: DataFrame, notations: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(df.where(F.col("name") != name) for df in (groups, members, notations))
+
+
+def list_counts(rows: DataFrame, key: str, parts: dict[str, DataFrame]) -> DataFrame:
+    """``rows`` with the number of rows that each of ``parts`` has for the key."""
+    for into, df in parts.items():
+        n = df.groupBy(key).agg(F.count("*").alias(into))
+        rows = rows.join(n, key, "left").withColumn(into, F.coalesce(into, F.lit(0).cast("bigint")))
+    return rows
+
+
+# -- labels ------------------------------------------------------------------
+
+
+def create_label(labels: DataFrame, name: str, now: int, emoji: str = "", description: str = "") -> DataFrame:
+    """With one more label; an error where another has the name, in any case of letters."""
+    if not labels.where(F.lower("name") == name.lower()).isEmpty():
+        raise ValueError(f"label {name} exists")
+    millis = F.lit(now).cast("bigint")
+    given = {"id": T.label_id(F.lit(name), millis), "emoji": F.lit(emoji), "name": F.lit(name), "description": F.lit(description), "created_at": millis, "updated_at": millis}
+    row = labels.sparkSession.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in labels.schema])
+    return labels.unionByName(row)
+
+
+def edit_label(labels: DataFrame, label_id: str, now: int, **changes) -> DataFrame:
+    """With the label's columns changed; a name that another label has is an error."""
+    if "name" in changes and not labels.where((F.col("id") != label_id) & (F.lower("name") == changes["name"].lower())).isEmpty():
+        raise ValueError(f"label {changes['name']} exists")
+    own = F.col("id") == label_id
+    new = {c: F.when(own, F.lit(v)).otherwise(F.col(c)) for c, v in changes.items()}
+    if "updated_at" in labels.columns:
+        new["updated_at"] = F.when(own, F.lit(now).cast("bigint")).otherwise(F.col("updated_at"))
+    return labels.withColumns(new)
+
+
+# -- annotations -------------------------------------------------------------
+
+
+def attach(meta: DataFrame, path: str, text: str, type_: str = "note", severity: str = "info") -> DataFrame:
+    """(path, ord, type, text, severity) with one more, last of its file."""
+    last = meta.where(F.col("path") == path).agg((F.coalesce(F.max("ord"), F.lit(-1)) + 1).cast("int").alias("ord"))
+    given = {"path": F.lit(path), "ord": F.col("ord"), "type": F.lit(type_), "text": F.lit(text), "severity": F.lit(severity)}
+    return meta.unionByName(last.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in meta.schema]))
+
+
+def _keyed(meta: DataFrame, path: str, key: str) -> DataFrame:
+    """The first note of the file whose text starts with the key and a colon."""
+    return meta.where((F.col("path") == path) & (F.col("type") == "note") & F.col("text").startswith(f"{key}:")).orderBy("ord").limit(1).select("path", "ord")
+
+
+def remove_annotation(meta: DataFrame, path: str, key: str) -> DataFrame:
+    return meta.join(_keyed(meta, path, key), ["path", "ord"], "left_anti")
+
+
+def edit_annotation(meta: DataFrame, path: str, key: str, value: str) -> DataFrame:
+    """The note of that key goes and one with the new value comes last; unchanged without such a note."""
+    found = _keyed(meta, path, key)
+    edited = attach(remove_annotation(meta, path, key), path, f"{key}: {value}")
+    return meta if found.isEmpty() else edited
+
+
+# -- small stores: macros, help topics, routines, scripts, templates, projects ----
+
+
+def put(store: DataFrame, key: str, now: int | None = None, **values) -> DataFrame:
+    """With one row of these values, in place of that of its key; columns not given stay as they were, or are null."""
+    old = store.where(F.col(key) == values[key])
+    if now is not None:
+        values |= {c: now for c in ("updated_at",) if c in store.columns}
+    base = store.sparkSession.range(1).select(F.lit(values[key]).alias(key)).join(old, key, "left")
+    given = {c: F.lit(v) if not isinstance(v, list) else F.array(*map(F.lit, v)) for c, v in values.items()}
+    if now is not None and "created_at" in store.columns:
+        given["created_at"] = F.coalesce("created_at", F.lit(now))
+    row = base.select(*[given.get(f.name, F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in store.schema])
+    return store.where(F.col(key) != values[key]).unionByName(row)
+
+
+def drop_key(store: DataFrame, key: str, value: str) -> DataFrame:
+    return store.where(F.col(key) != value)
+
+
+def append_text(store: DataFrame, key: str, value: str, column: str, text: str) -> DataFrame:
+    """The text column of one row with a line more."""
+    new = F.concat(F.coalesce(column, F.lit("")), F.when(F.coalesce(column, F.lit("")) == "", "").otherwise("\n"), F.lit(text))
+    return store.withColumn(column, F.when(F.col(key) == value, new).otherwise(F.col(column)))
+
+
+def replace_text(store: DataFrame, key: str, value: str, column: str, old: str, new: str) -> DataFrame:
+    return store.withColumn(column, F.when(F.col(key) == value, F.replace(column, F.lit(old), F.lit(new))).otherwise(F.col(column)))
+
+
+def add_to_list(store: DataFrame, key: str, value: str, column: str, item) -> DataFrame:
+    """An item more in a list of one row, unless it is there."""
+    have = F.coalesce(column, F.array().cast(store.schema[column].dataType))
+    return store.withColumn(column, F.when(F.col(key) == value, F.array_union(have, F.array(F.lit(item)))).otherwise(F.col(column)))
+
+
+def remove_from_list(store: DataFrame, key: str, value: str, column: str, item) -> DataFrame:
+    return store.withColumn(column, F.when(F.col(key) == value, F.array_remove(column, item)).otherwise(F.col(column)))
+
+
+def merge_metadata(metadata: DataFrame, plugin: str, more: DataFrame) -> DataFrame:
+    """(path, plugin, values): what a plugin keeps on files; new values of a key go before old ones."""
+    fresh = more.select("path", F.lit(plugin).alias("plugin"), F.col("values").alias("__new"))
+    both = metadata.join(fresh, ["path", "plugin"], "full")
+    none = F.create_map().cast("map<string,string>")
+    new, old = F.coalesce("__new", none), F.coalesce("values", none)
+    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
+    return both.select("path", "plugin", F.map_concat(kept, new).alias("values"))

@@ -33,7 +33,7 @@ class Model:
         return self.symbols().select("path").distinct().select("path", F.lit("").alias("summary"), F.lit("").alias("content"))
 
     def edges(self) -> DataFrame:
-        a = self.table("lineitem").where("l_shipdate < timestamp_ntz'1996-01-01 00:00:00'").select("l_orderkey", F.col("l_partkey").alias("x"), (F.col("l_linenumber") + 1).alias("l_linenumber"))
+        a = self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("x"), (F.col("l_linenumber") + 1).alias("l_linenumber"))
         b = self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("y"), "l_linenumber")
         name = lambda c: F.concat(F.lit("p"), F.lpad(F.col(c).cast("string"), 9, "0"), F.lit(".ts"))
         return a.join(b, ["l_orderkey", "l_linenumber"]).where("x <> y").select(name("x").alias("src"), name("y").alias("dst")).distinct()
@@ -89,7 +89,7 @@ CTE = {
     "symbol_files": "symbol_files as (select distinct path, '' as summary, '' as content from symbols)",
     "edges": """edges as (select distinct 'p' || lpad(a.l_partkey::varchar, 9, '0') || '.ts' as src, 'p' || lpad(b.l_partkey::varchar, 9, '0') || '.ts' as dst
         from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1
-        where a.l_partkey <> b.l_partkey and a.l_shipdate < timestamp '1996-01-01')""",
+        where a.l_partkey <> b.l_partkey)""",
     "nodes": "nodes as (select 'p' || lpad(p_partkey::varchar, 9, '0') || '.ts' as path, p_name as name, p_partkey, p_type as kind from part)",
     "elements": """tags as (select page_id as path, regexp_extract_all(html, '<([a-z][a-z0-9]*)[\\s/>]', 1) as t from pages),
         elements as (select path, i - 1 as ord, t[i] as tag, false as has_id from tags, unnest(range(1, len(t) + 1)) u(i))""",

@@ -114,11 +114,6 @@ def f5_find_by_name(m: Model) -> DataFrame:
     return search.find_by_name(m.files(), "SRC1*en/*7.txt")
 
 
-@query(sql("files", "select path from files where (path like '%7.txt' or path like '%8.txt') and starts_with(path, 'src1/')"))
-def f6_f7_filters(m: Model) -> DataFrame:
-    p = F.col("path")
-    return m.files().where(T.any_of([p.endswith(e) for e in ("7.txt", "8.txt")]) & p.startswith("src1/")).select("path")
-
 
 @query(sql("symbols", "select path, ord, name from symbols where name = (select min(name) from symbols) order by path, ord limit 1"))
 def f3_first_symbol(m: Model) -> DataFrame:
@@ -147,12 +142,12 @@ def r7_match_lines(m: Model) -> DataFrame:
     return search.match_lines(m.files(), "Licens").select("path", F.col("line_no").cast("bigint").alias("line_no"), "column", "before", "after")
 
 
-_BLOCKS = "blocks as (select path, b as ord, 'block' || b as name, 10 * b + 1 as start_line, 10 * b + 12 as end_line from files, unnest(range(0, 40)) t(b))"
+_BLOCKS = "blocks as (select path, b as ord, 'block' || b as name, 10 * b + 1 as start_line, 10 * b + 12 as end_line from files, unnest(range(0, (len(str_split(content, chr(10))) - 1) // 10 + 1)) t(b))"
 
 
 def _blocks(m: Model) -> DataFrame:
     b = F.col("ord")
-    last = F.floor((F.size(F.split("content", "\n")) - 1) / 10).cast("int")  # as many as the lines need; the SQL has 40 a file
+    last = F.floor((F.size(F.split("content", "\n")) - 1) / 10).cast("int")  # as many as the lines need
     rows = m.files().select("path", F.explode(F.sequence(F.lit(0), last)).alias("ord"))
     return rows.select("path", "ord", F.concat(F.lit("block"), b.cast("string")).alias("name"), F.lit("block").alias("kind"), (10 * b + 1).alias("start_line"), (10 * b + 12).alias("end_line"))
 
@@ -208,13 +203,6 @@ def r14_symbol_hits(m: Model) -> DataFrame:
 ORACLES["r14_symbol_hits"] = ORACLES["r14_symbol_hits"].replace("sum(10 *", "round(sum(10 *", 1).replace(") as score", "), 6) as score", 1)
 
 
-@query(f"""select 'groups' as category, r_name as id, round(2 * {_count_sql(_tokens_sql("r_name", 1), ["asia", "region"])} + {_count_sql(_tokens_sql("'Region ' || r_name", 1), ["asia", "region"])}, 6) as score from region
-order by score desc, id limit 3""")
-def r8_category_groups(m: Model) -> DataFrame:
-    rows = m.groups().select(F.col("name").alias("id"), "name", "description")
-    return rounded(search.category_search(rows, "asia Region", {"name": 2.0, "description": 1.0}, "groups"), "score")
-
-
 # -- ranking ---------------------------------------------------------------
 
 _GOAL = T.query_tokens(GOAL)
@@ -311,18 +299,9 @@ def s17_list(m: Model) -> DataFrame:
 _N6 = "Of be\nthe thing\nand the"
 
 
-@query(sql("files", f""", a as (select path, str_split(content, chr(10)) as l from files where regexp_full_match(content, '[\\x00-\\x7f]*') and doc_id < 200),
-b as (select path, i as start, array_to_string(l[i:i + 2], chr(10)) as block from a, unnest(range(1, len(l) - 1)) t(i)),
-s as (select path, start, 1.0::double - levenshtein(block, '{_N6}')::double / greatest(length(block), {len(_N6)}) as score from b where length(block) > 0)
-select path, start::int as start, round(score, 6) as score from s where abs(length('{_N6}') - 0) >= 0 qualify row_number() over (partition by path order by score desc, start) = 1"""))
-def n6_best_block(m: Model) -> DataFrame:
-    files = m.files().where(F.col("content").rlike(r"^[\x00-\x7f]*$") & (F.col("doc_id") < 200))
-    return rounded(fuzzy.best_block(files, _N6), "score")
-
-
 @query()
-def n6_best_block_all(m: Model) -> DataFrame:
-    """Over all files: ``n6_best_block`` has the part (ASCII, doc_id under 200) that its SQL covers. No SQL: DuckDB's levenshtein counts bytes."""
+def n6_best_block(m: Model) -> DataFrame:
+    """No SQL: DuckDB's levenshtein counts bytes; the tests compare it with brute force."""
     return rounded(fuzzy.best_block(m.files(), _N6), "score")
 
 
@@ -696,10 +675,6 @@ def r15_assist_score(m: Model) -> DataFrame:
     return rounded(rank.assist(static, "red brand plate", metrics, penalties=penalties, bias=[("red", {"brand": 0.25})]), "raw", "confidence")
 
 
-@query(sql("ev", f"select event_type, count(*) filter (ts > {_NOW} - interval 7 days) as recent from ev group by event_type"))
-def t10_recency(m: Model) -> DataFrame:
-    return m.events().groupBy("event_type").agg(F.count_if(F.col("ts") > _now(m) - F.expr("INTERVAL 7 DAYS")).alias("recent"))
-
 
 @query(sql("ev", "select path, event_type, row_number() over (partition by path, event_type order by ts, event_id) = 1 as created, event_id from ev"))
 def t4_create_or_update(m: Model) -> DataFrame:
@@ -722,14 +697,6 @@ def s6_incremental_diff(m: Model) -> DataFrame:
     return ingest.incremental(listing, cached)
 
 
-@query(sql("files", "select path from files where not (starts_with(path, 'src1/') or path like '%7.txt' or contains('/' || path, '/de/'))"))
-def s3_ignore(m: Model) -> DataFrame:
-    from ..sources import ingest
-
-    return m.files().where(~ingest.ignored(F.col("path"), ["src1/**", "*.7.txt", "**/de/**"]) & ~F.col("path").endswith("7.txt")).select("path")
-
-
-
 
 @query(sql("files", "select row_number() over (order by lower(path), path)::int as rank, path from files qualify rank between 21 and 40"))
 def o7_list_page(m: Model) -> DataFrame:
@@ -767,10 +734,6 @@ def n4_normalised(m: Model) -> DataFrame:
     return m.files().select("path", F.md5(T.aggressive(F.col("content"))).alias("digest"))
 
 
-@query("select p_partkey, left(p_name, k) || (case when substr(p_name, k + 1) <> '' then '{-' || substr(p_name, k + 1) || '-}' else '' end) || '{+' || '!!' || '+}' as diff from (select p_partkey, p_name, length(p_name) as k from part)")
-def n3_inline_diff(m: Model) -> DataFrame:
-    return m.table("part").select("p_partkey", T.inline_diff(F.col("p_name"), F.concat("p_name", F.lit("!!"))).alias("diff"))
-
 
 @query(sql("files", "select path, len(str_split(content, chr(10))) as own, len(list_filter(list_zip(str_split(content, chr(10)), str_split(replace(content, 'the', 'the '), chr(10))), lambda p: p[1] = p[2])) as common from files"))
 def a22_common_lines(m: Model) -> DataFrame:
@@ -797,14 +760,8 @@ def w7_confidence(m: Model) -> DataFrame:
     return rounded(rank.confidence(degrees, "degree"), "confidence")
 
 
-@query(sql("files", "select path, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(left(summary, 60)), '[^a-z0-9]+'), lambda x: length(x) > 2 and x not in (" + ", ".join(map(repr, T.STOP_WORDS_LONG)) + ")))), ' ') as words from files"))
-def n9_keywords(m: Model) -> DataFrame:
-    return m.files().select("path", F.array_join(F.array_sort(T.keywords(F.substring("summary", 1, 60))), " ").alias("words"))
-
-
 @query(sql("files", "select path, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: length(x) > 2 and x not in (" + ", ".join(map(repr, T.STOP_WORDS_LONG)) + ")))), ' ') as words from files"))
-def n9_keywords_all(m: Model) -> DataFrame:
-    """Of the whole content: ``n9_keywords`` has the start of the summary that its SQL covers."""
+def n9_keywords(m: Model) -> DataFrame:
     return m.files().select("path", F.array_join(F.array_sort(T.keywords(F.col("content"))), " ").alias("words"))
 
 
@@ -814,7 +771,9 @@ def io_append(m: Model) -> DataFrame:
     return m.files().select("path", F.length(new).cast("bigint").alias("n"), F.md5(new).alias("digest"))
 
 
-@query(sql("files", "select path, md5(array_to_string(list_concat(list_concat(l[1:1], ['NEW', 'LINES']), l[4:len(l)]), chr(10))) as digest from (select path, str_split(content, chr(10)) as l from files) where len(l) >= 3"))
+@query(sql("files", "select path, md5(array_to_string(list_concat(list_concat(l[1:1], ['NEW', 'LINES']), l[4:len(l)]), chr(10))) as digest from (select path, str_split(content, chr(10)) as l from files)"))
 def io_replace_lines(m: Model) -> DataFrame:
-    long = m.files().where(F.size(F.split("content", "\n")) >= 3)
-    return long.select("path", F.md5(lines.replace_lines(F.col("content"), F.lit(2), F.lit(3), F.lit("NEW\nLINES"))).alias("digest"))
+    return m.files().select("path", F.md5(lines.replace_lines(F.col("content"), F.lit(2), F.lit(3), F.lit("NEW\nLINES"))).alias("digest"))
+
+
+from . import source_queries, tool_queries  # noqa: E402, F401  they register more
