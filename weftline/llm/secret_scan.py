@@ -18,8 +18,9 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import packed, stage, text_of
+from .common import discard, packed, spread_join, stage, text_of, unpacked
 
 # The patterns of the kinds, in their order.
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -33,6 +34,10 @@ KEY = re.compile(r"[A-Za-z0-9+/_-]{32,}")
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
 
 PLACEHOLDER = "<SECRET>"
+#: Live spans that are broadcast at once, of under 100 bytes each; more are joined by a shuffle.
+BROADCAST_SPANS = 300_000
+#: What each text with a span of any kind has.
+ANY_SPAN = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_-]{32}"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -65,7 +70,7 @@ def joined(spans) -> str:
 def _found(docs: DataFrame, text: str, doc_id: str, owner: str, repository: Column) -> DataFrame:
     names = ["doc_id", "owner", "repository", "rid", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.binary())])
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(span)]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(span)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -73,26 +78,27 @@ def _found(docs: DataFrame, text: str, doc_id: str, owner: str, repository: Colu
         rid = TaskContext.get().partitionId() << 33
         for b in batches:
             rows = []
-            for i, t, o, r in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for t in b.column(1).to_pylist():
                 base = base_spans(t or "")
                 n = [sum(s[1] == k for s in base) for k in range(3)]
                 spans = sorted(base + key_spans(t or "", base))
                 spans = [{"start": a, "kind": k, "end": e, "value": hashlib.blake2b(v.encode(), digest_size=16).digest()} for a, k, e, v in spans]
-                rows.append((i, o, r, rid, *n, hashlib.sha256(joined(base).encode()).hexdigest(), spans))
+                rows.append((rid, *n, hashlib.sha256(joined(base).encode()).hexdigest(), spans))
                 rid += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *[pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]], names)
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`"), F.col(f"`{owner}`").cast("string"), repository.cast("string"))
-    schema = "doc_id bigint, owner string, repository string, rid bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans array<struct<start:bigint,kind:int,end:bigint,value:binary>>"
-    return rows.toDF("a", "b", "c", "d").mapInArrow(run, schema)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{owner}`").cast("string").alias("owner"), repository.cast("string").alias("repository"))
+    added = T.StructType.fromDDL("rid bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans array<struct<start:bigint,kind:int,end:bigint,value:binary>>")
+    return rows.mapInArrow(run, T.StructType([*rows.select("doc_id", "owner", "repository").schema.fields, *added.fields]))
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(value, owners, repositories): distinct ones of each value, unknown (null)
-    ones counting together as one. Pairs are made distinct before they are counted."""
+    """(value, owners, repositories, often): distinct ones of each value, unknown
+    (null) ones counting together as one, and its spans. Pairs are made
+    distinct before they are counted."""
     known = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("?"))
-    of = lambda c, n: spans.select("value", known(F.col(c)).alias("o")).distinct().groupBy("value").agg(F.count("*").alias(n))
-    return of("owner", "owners").join(of("repository", "repositories"), "value")
+    of = lambda c, n: spans.select("value", known(F.col(c)).alias("o")).groupBy("value", "o").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias(n), F.sum("n").alias("often"))
+    return of("owner", "owners").join(of("repository", "repositories").drop("often"), "value")
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", repository: Column | None = None) -> DataFrame:
@@ -102,19 +108,21 @@ def scan_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ow
 
     ``repository`` is a column of ``docs`` (the owner, if None). A null text
     counts as empty and has no span. Equal rows are documents of their own;
-    copies with one owner don't make a value an example. Other columns are
-    ignored.
+    copies with one owner don't make a value an example. Texts of any length
+    are read whole; an empty table gives one; other columns are ignored.
     """
     found = stage(_found(docs, text, doc_id, owner, F.col(f"`{owner}`") if repository is None else repository), "secrets")
     spans = found.where(F.size("spans") > 0).select("rid", "owner", "repository", F.explode("spans").alias("s")).select("rid", "owner", "repository", "s.*")
-    examples = ownership(spans).where((F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)).select("value", F.lit(True).alias("example"))
-    judged = spans.drop("owner", "repository").join(examples, "value", "left").withColumn("live", F.col("example").isNull())
+    examples = stage(ownership(spans).where((F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)).select("value", "often", F.lit(True).alias("example")), "examples")
+    judged = spread_join(spans.drop("owner", "repository"), examples, "value", "often", spans.count(), "left").withColumn("live", F.col("example").isNull())
     judged = judged.where(F.col("live") | (F.col("kind") < KINDS.index("key")))
     judged = judged.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("judged"))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean>>")
     plain = ("doc_id", "rid", "n_assign", "n_access", "n_hex", "base_sha256")
     some = found.where(F.size("spans") > 0).join(judged, "rid", "left").select(*plain, F.coalesce("judged", empty).alias("spans"))
-    return some.unionByName(found.where(F.size("spans") == 0).select(*plain, empty.alias("spans")))
+    whole = some.unionByName(found.where(F.size("spans") == 0).select(*plain, empty.alias("spans")))
+    whole.tables = (found, examples)
+    return whole
 
 
 def render(spans: Column) -> Column:
@@ -123,18 +131,27 @@ def render(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", n_chars: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", owner: str = "source", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with each live-looking span replaced by PLACEHOLDER and
     ``n_chars``, where there is such a column, set anew for changed texts.
 
     Overlapping spans are replaced as one. Values that are copied examples
-    stay. A text goes by its own spans: they are found again in it, and joined
-    with the examples by value, so ids needn't be unique.
+    stay, and so do null texts and all rows, repeated ones too. A text is known
+    by its hash and goes by its own spans; only texts that may have some are
+    moved, and none where the live spans are few enough to be broadcast.
     """
-    rows = stage(packed(docs.withColumn("__rid", F.monotonically_increasing_id()), "row"), "rows")
-    plain = rows.select(F.col("row.__rid").alias("id"), text_of("row", text).alias("text"), F.col(f"row.`{owner}`").alias("owner"))
-    live = scan_secrets(plain, "text", "id", "owner").select(F.col("doc_id").alias("id"), F.filter("spans", lambda s: s["live"]).alias("spans")).where(F.size("spans") > 0)
-    both = rows.join(live, F.col("row.__rid") == F.col("id"), "left")
+    rows = packed(docs, "row").withColumn("digest", F.unhex(F.md5(text_of("row", text).cast("binary"))))
+    found = scan_secrets(rows.select("digest", text_of("row", text).alias("text"), F.col(f"row.`{owner}`").alias("owner")), "text", "digest", "owner")
+    live = found.select(F.col("doc_id").alias("digest"), F.filter("spans", lambda s: s["live"]).alias("spans")).where(F.size("spans") > 0)
+    live = stage(live.groupBy("digest").agg(F.first("spans").alias("spans"), F.count("*").alias("often")), "live")
+    discard(*found.tables)
+    n = live.agg(F.sum(F.size("spans")).alias("spans"), F.sum("often").alias("rows")).first()
+    if (n["spans"] or 0) <= BROADCAST_SPANS:
+        both = rows.join(F.broadcast(live.drop("often")), "digest", "left").select("row", "spans")
+    else:
+        may = F.coalesce(text_of("row", text).rlike(ANY_SPAN), F.lit(False))
+        some = spread_join(rows.where(may), live, "digest", "often", n["rows"], "left").select("row", "spans")
+        both = some.unionByName(rows.where(~may).select("row", F.lit(None).cast(some.schema["spans"].dataType).alias("spans")))
     t = text_of("row", text)
     # (text so far, end of the last span): what lies between spans is kept.
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at"))
@@ -146,8 +163,8 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: s
 
     cut = F.aggregate("spans", start, step)
     new = F.when(F.col("spans").isNull(), t).otherwise(F.concat(cut["done"], F.substring(t, (cut["at"] + 1).cast("int"), F.length(t))))
-    both = both.withColumn("__text", new)
-    changed = {text: F.col("__text")}
+    both = both.withColumn("text", new)
+    changed = {text: F.col("text")}
     if n_chars in docs.columns:
-        changed[n_chars] = F.when(F.col("spans").isNull(), F.col(f"row.`{n_chars}`")).otherwise(F.length("__text").cast(docs.schema[n_chars].dataType))
-    return both.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+        changed[n_chars] = F.when(F.col("spans").isNull(), F.col(f"row.`{n_chars}`")).otherwise(F.length("text").cast(docs.schema[n_chars].dataType))
+    return unpacked(both.select(F.struct(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]).alias("row")), "row")
