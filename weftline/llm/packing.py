@@ -10,6 +10,7 @@ length, its sequence and offset; numbering the pieces needs no sort.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +31,20 @@ FULL = 0.998
 SHARES = (1.0, 0.75, 0.5, 0.25)
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids, part, local): the ids of each row's
     text, then ``end``, in pieces of ``capacity`` tokens of which the first may
-    be shorter. Null texts count as empty. ``local`` numbers the pieces of one
-    length within the task ``part`` that made them; keep the result in a table
-    before use. Strings of special tokens are ordinary text.
+    be shorter. With ``digest``, ids_crc32 in place of ids.
+
+    Null texts count as empty: a lone ``end``. Strings of added tokens become
+    their ids, as the library has it unless told otherwise. Repeated rows are
+    documents of their own; texts of any length are read whole. ``local``
+    numbers the pieces of one length within the task ``part`` that made them;
+    keep the result in a table before use.
     """
-    names = ["doc_id", "piece", "start", "length", "ids", "part", "local"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+    last = ("ids_crc32", pa.int64(), zlib.crc32) if digest else ("ids", pa.binary(), bytes)
+    names = ["doc_id", "piece", "start", "length", last[0], "part", "local"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), last[1], pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -51,11 +57,11 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int =
                 n = len(ids) // 4
                 at = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for k, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    rows.append((i, k, x, y - x, ids[4 * x : 4 * y], part, int(seen[y - x])))
+                    rows.append((i, k, x, y - x, last[2](ids[4 * x : 4 * y]), part, int(seen[y - x])))
                     seen[y - x] += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, local bigint"
+    schema = f"doc_id bigint, piece int, start bigint, length bigint, {'ids_crc32 bigint' if digest else 'ids binary'}, part int, local bigint"
     return docs.select(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
@@ -170,20 +176,21 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset in place of part and local.
 
     ``pieces`` is a table with length, part and local as of cut_pieces, and
-    any other columns. Equal rows are pieces of their own; an empty table
-    stays empty.
+    any other columns but those two new ones. Equal rows are pieces of their
+    own; an empty table stays empty.
     """
-    per_task = pieces.groupBy("part", "length").agg(F.count("*").alias("__n"))
-    histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
+    kept = [c for c in pieces.columns if c not in ("part", "local")]
+    per_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
+    histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = _slots(pack_plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = per_task.select("part", "length", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    numbered = pieces.join(first, ["part", "length"]).withColumn("__number", F.col("local") + F.col("__first")).drop("part", "local", "__first")
-    kept = [c for c in pieces.columns if c not in ("part", "local")]
+    first = per_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rows = pieces.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "part", "length", "local")
+    numbered = rows.join(first, ["part", "length"]).select("row", "length", (F.col("local") + F.col("first")).alias("number"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, number = b.column(b.schema.get_field_index("length")).to_numpy(), b.column(b.schema.get_field_index("__number")).to_numpy()
+            length, number = b.column(1).to_numpy(), b.column(2).to_numpy()
             sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
@@ -191,10 +198,10 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 nth = number[at] - row[:, 0]
                 sequence[at] = row[:, 1] + nth // row[:, 2]
                 offset[at] = row[:, 3] + nth % row[:, 2] * n
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sequence), pa.array(offset)], ["row", "sequence_id", "offset"])
 
-    schema = pieces.select(*kept).withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")}).schema
-    return numbered.select(*kept, "__number").mapInArrow(run, schema)
+    schema = rows.select("row").withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")}).schema
+    return numbered.mapInArrow(run, schema).select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -204,6 +211,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: in
 
 
 def pack_digests(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """As pack_documents, with ids_crc32 of the ids instead, so that no ids are moved."""
-    pieces = stage(cut_pieces(docs, path, capacity, end), "pieces", "zstd")
-    return place_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity)
+    """As pack_documents, with ids_crc32 of the ids instead, so that no ids are written."""
+    return place_pieces(stage(cut_pieces(docs, path, capacity, end, digest=True), "pieces"), capacity)
