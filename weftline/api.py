@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import targets
-from .operators import audit, graph, lines, rank, search
+from .operators import audit, categories, graph, lines, rank, search, views
 from .sources import catalog, ingest, parsers
+from .streaming import streams
 
 
 @dataclass
@@ -35,7 +36,7 @@ class CodeGraph:
         return loaded
 
     def save(self, path: str, root: str) -> None:
-        catalog.save({n: getattr(self, n) for n in ("files", "symbols", "imports", "edges", "calls", "annotations")}, path, root)
+        catalog.save(self.tables(), path, root)
 
     @cached_property
     def symbols(self) -> DataFrame:
@@ -99,14 +100,44 @@ class CodeGraph:
     def audit(self, rules: list[audit.Rule], rule_id: str | None = None) -> DataFrame:
         return audit.audit(audit.Catalog(self.files, self.imports, self.edges, self.annotations), rules, rule_id)
 
-    def peek(self, path: str) -> DataFrame:
-        """One row on a file: its numbers of lines and characters, imports, importers, symbols and annotations; each list is gathered before it is joined."""
-        own = self.files.where(F.col("path") == path).select("path", "summary", F.size(F.split("content", "\n")).alias("n_lines"), F.length("content").alias("n_chars"))
-        listed = lambda df, c, n: df.agg(F.sort_array(F.collect_list(c)).alias(n))
-        out = own.crossJoin(listed(graph.imports(self.edges, self.files, path), F.col("path"), "imports"))  # one row each
-        out = out.crossJoin(listed(graph.importers(self.edges, self.files, path), F.col("path"), "importers"))
-        out = out.crossJoin(listed(self.symbols.where(F.col("path") == path), F.struct("ord", "name", "kind"), "symbols"))
-        return out.crossJoin(listed(self.annotations.where(F.col("path") == path), F.struct("line", "type", "message"), "annotations"))
+    def peek(self, path: str, content: bool = False, **stores) -> DataFrame:
+        """One row on a file; ``stores`` are the tables of groups, members, notations, labels and assignments that there are."""
+        stores.setdefault("annotations", self.annotations)
+        stores.setdefault("domains", parsers.domains(self.categorised))
+        return views.peek(self.files, path, self.edges, self.symbols, self.calls, content=content, **stores)
+
+    def find_for_goal(self, goal: str, page: int = 1, size: int = 10, tables: dict[str, DataFrame] | None = None):
+        return categories.find_for_goal(self.files, goal, self.symbols, self.annotations, self.categorised, page, size, tables)
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {n: getattr(self, n) for n in ("files", "symbols", "imports", "edges", "calls", "annotations")}
+
+    def rescan(self, spark: SparkSession, root: str, **how) -> CodeGraph:
+        """The graph of what is there now; files that are as they were aren't read."""
+        return CodeGraph(ingest.rescan(spark, root, self.files, **how), self.tag)
+
+    def after(self, changes: DataFrame) -> CodeGraph:
+        """The graph after a batch of changes (see ``operators.edits``)."""
+        new = streams.apply_changes(self.tables(), changes, streams.parse_files(self.tag))
+        graph_ = CodeGraph(new.pop("files"), self.tag)
+        graph_.__dict__.update(new)
+        return graph_
+
+    def with_symbols(self, more: DataFrame) -> CodeGraph:
+        """With symbols that a plugin found."""
+        return self._with(symbols=self.symbols.unionByName(more, allowMissingColumns=True).select(*self.symbols.columns))
+
+    def with_dependencies(self, more: DataFrame) -> CodeGraph:
+        """With edges (src, dst) that a plugin found."""
+        return self._with(edges=graph.with_edges(self.edges, more))
+
+    def _with(self, **tables) -> CodeGraph:
+        new = CodeGraph(self.files, self.tag)
+        new.__dict__.update({k: v for k, v in self.__dict__.items() if k not in ("calls", *tables)} | tables)
+        return new
+
+    def orientation(self, labels: DataFrame, assignments: DataFrame, topics: DataFrame, items: DataFrame, log: DataFrame, contributions: DataFrame | None = None) -> DataFrame:
+        return views.orient(self.stats(), labels, assignments, topics, items, log, contributions)
 
     def read(self, target: str) -> DataFrame:
         """path and content of a file, of its lines a to b, or of a symbol."""

@@ -32,11 +32,11 @@ def best_block(files: DataFrame, target: str, least: float = 0.0) -> DataFrame:
     but the edit distance stops at the bound that ``least`` sets.
     """
     size = len(target.split("\n"))
-    lines = F.split(T.gentle(F.col("content")), "\n")
-    starts = F.when(F.size(lines) >= size, F.sequence(F.lit(1), F.size(lines) - size + 1)).otherwise(F.array().cast("array<int>"))
-    blocks = files.select("path", lines.alias("lines"), F.explode(starts).alias("start"))
-    block = F.array_join(F.slice("lines", F.col("start"), F.lit(size)), "\n")
-    scored = blocks.select("path", "start", block.alias("block")).withColumn("longest", F.greatest(F.length("block"), F.lit(len(target))))
+    rows = files.select("path", F.split(T.gentle(F.col("content")), "\n").alias("lines"))
+    starts = F.when(F.size("lines") >= size, F.sequence(F.lit(1), F.size("lines") - size + 1)).otherwise(F.array().cast("array<int>"))
+    # Blocks are made before they become rows, so that no row carries all the lines.
+    blocks = rows.select("path", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("lines", i, F.lit(size)), "\n"))).alias("k", "block"))
+    scored = blocks.select("path", (F.col("k") + 1).alias("start"), "block").withColumn("longest", F.greatest(F.length("block"), F.lit(len(target))))
     bound = F.lit(1 - least)
     possible = F.abs(F.length("block") - len(target)) <= bound * F.col("longest")
     scored = scored.where(possible).withColumn("score", T.similarity(F.col("block"), F.lit(target))).where(F.col("score") >= least)

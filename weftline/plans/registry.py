@@ -339,22 +339,26 @@ _BFS = """ , r(path, depth) as ({start} union select e.{to}, r.depth + 1 from r
 
 @query(sql("edges", _BFS.format(start="select min(src), 0 from edges", of="src", to="dst", most=3), recursive=True))
 def g1_traverse_imports(m: Model) -> DataFrame:
-    return graph.traverse(m.edges(), _start(m), "imports", 3)
+    edges = graph.written(m.edges())  # each level reads them
+    return graph.traverse(edges, edges.agg(F.min("src")).first()[0], "imports", 3)
 
 
 @query(sql("edges", _BFS.format(start="select min(src), 0 from edges", of="dst", to="src", most=3), recursive=True))
 def g1_traverse_importers(m: Model) -> DataFrame:
-    return graph.traverse(m.edges(), _start(m), "importers", 3)
+    edges = graph.written(m.edges())  # each level reads them
+    return graph.traverse(edges, edges.agg(F.min("src")).first()[0], "importers", 3)
 
 
 @query(sql("edges", _BFS.format(start="select min(src), 0 from edges", of="src", to="dst", most=3) + " having min(depth) > 0", recursive=True))
 def g2_traverse_without_start(m: Model) -> DataFrame:
-    return graph.traverse(m.edges(), _start(m), "imports", 3, include_start=False)
+    edges = graph.written(m.edges())  # each level reads them
+    return graph.traverse(edges, edges.agg(F.min("src")).first()[0], "imports", 3, include_start=False)
 
 
 @query(sql("edges", _BFS.format(start="select min(src), 0 from edges", of="dst", to="src", most=2) + " having min(depth) > 0", recursive=True))
 def g3_file_impact(m: Model) -> DataFrame:
-    return graph.impact(m.edges(), _calls(m), _start(m), 2)
+    edges = graph.written(m.edges())
+    return graph.impact(edges, _calls(m), edges.agg(F.min("src")).first()[0], 2)
 
 
 def _raw_calls(m: Model) -> DataFrame:
@@ -381,14 +385,14 @@ _PICK = "(select min(dst_path || '$' || dst_sym) from calls)"
 
 @query(sql("edges nodes", f"{_CALLS}, ce as (select src_path || '$' || src_sym as src, dst_path || '$' || dst_sym as dst from calls), r(path, depth) as (select {_PICK}, 0 union select e.src, r.depth + 1 from r join ce e on e.dst = r.path where r.depth < 2) select path, min(depth)::int as depth from r group by path having min(depth) > 0", recursive=True))
 def g4_symbol_impact(m: Model) -> DataFrame:
-    calls = _calls(m)
+    calls = graph.written(_calls(m))
     target = calls.agg(F.min(F.concat_ws("$", "dst_path", "dst_sym"))).first()[0]
     return graph.impact(m.edges(), calls, target, 2)
 
 
 @query(sql("edges nodes", f"{_CALLS} select dst_path || '$' || dst_sym as name, 'calls' as direction from calls where src_path || '$' || src_sym = {_PICK} union all select src_path || '$' || src_sym, 'called by' from calls where dst_path || '$' || dst_sym = {_PICK}"))
 def g5_dependencies(m: Model) -> DataFrame:
-    calls = _calls(m)
+    calls = graph.written(_calls(m))
     target = calls.agg(F.min(F.concat_ws("$", "dst_path", "dst_sym"))).first()[0]
     return graph.dependencies(m.edges(), calls, m.nodes(), target)
 
@@ -418,7 +422,7 @@ def a18_hot_spots(m: Model) -> DataFrame:
 (select count(*) from symbols) as symbols, (select count(*) from edges) as dependencies, (select count(*) from calls) as call_edges,
 (select count(distinct src_path || '$' || src_sym) + count(distinct dst_path || '$' || dst_sym) from calls) as call_symbols"""))
 def a1_stats(m: Model) -> DataFrame:
-    return graph.stats(m.files(), lines.directories(m.files()), m.symbols(), m.edges(), _calls(m))
+    return graph.stats(m.files(), lines.directories(m.files()), m.symbols(), m.edges(), graph.written(_calls(m)))
 
 
 @query(sql("edges", "select src, string_agg(dst, ',' order by dst) as imports from edges group by src"))

@@ -374,6 +374,12 @@ def t3_tables_after_changes(m: Model) -> DataFrame:
     return out
 
 
+@query(f"""with {_S} select 'node:remove' as event, path, null as lines from scripts where k % 10 in (1, 3) union all select 'node:add', 'src/q' || k || '.ts', 25 from scripts where k % 10 = 3
+union all select 'file:change', path, 2 from scripts where k % 10 = 5 union all select 'node:add', 'src/new' || k || '.ts', 2 from scripts where k % 10 = 7""")
+def t8_watch_events(m: Model) -> DataFrame:
+    return streams.watch_events(_changes(m), scripts(m))
+
+
 @query("select (select count(*) from part where p_partkey % 10 <> 4)::bigint as files, true as few_parts")
 def t9_update_parts(m: Model) -> DataFrame:
     """Only the parts of the tables that a change touches are rewritten."""

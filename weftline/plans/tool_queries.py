@@ -482,6 +482,35 @@ def m_routines(m: Model) -> DataFrame:
     return store.select("name", F.array_join(F.sort_array("files"), ",").alias("files"), "message")
 
 
+@query("select p_brand as name, case when p_brand = (select min(p_brand) from part) then 'make all' else 'run ' || p_brand end as command, case when p_brand = (select min(p_brand) from part) then 1 end::bigint as created_at, case when p_brand = (select min(p_brand) from part) then 9 end::bigint as updated_at from (select distinct p_brand from part) where p_brand <> (select max(p_brand) from part)")
+def m_macros(m: Model) -> DataFrame:
+    """Macros, scripts and templates are rows of one text each: one is made anew, one goes."""
+    part = m.table("part")
+    store = part.select(F.col("p_brand").alias("name"), F.concat(F.lit("run "), "p_brand").alias("command"), F.lit(None).cast("bigint").alias("created_at"), F.lit(None).cast("bigint").alias("updated_at")).distinct()
+    first, last = part.agg(F.min("p_brand"), F.max("p_brand")).first()
+    store = stores.put(stores.drop_key(store, "name", first), "name", 1, name=first, command="make")
+    return stores.drop_key(stores.put(store, "name", 9, name=first, command="make all"), "name", last)
+
+
+@query(sql("files", "select path, case when doc_id % 4 = 0 then 'agent ' || doc_id else summary end as summary from files where doc_id % 4 <> 1"))
+def m_summaries(m: Model) -> DataFrame:
+    """Summaries are set for each fourth file, in place of those it has, and those of each other fourth go."""
+    f = m.files()
+    store = f.select("path", "summary")
+    given = f.where("doc_id % 4 = 0").select("path", F.concat(F.lit("agent "), F.col("doc_id").cast("string")).alias("summary"))
+    return stores.remove(stores.upsert(store, given, ["path"]), f.where("doc_id % 4 = 1").select("path"), ["path"])
+
+
+@query("select c_custkey::varchar as root, c_name as name, c_custkey % 9 + 10 * (c_custkey % 2) as opened from customer where c_custkey % 5 > 0 qualify row_number() over (order by c_custkey % 9 + 10 * (c_custkey % 2) desc, c_custkey::varchar) <= 10")
+def m_projects(m: Model) -> DataFrame:
+    """The register of projects: opening one again moves it to the front, removed ones go; a page of the last opened."""
+    k = F.col("c_custkey")
+    store = m.table("customer").select(k.cast("string").alias("root"), F.col("c_name").alias("name"), (k % 9).cast("bigint").alias("opened"))
+    again = store.where(F.col("root").cast("bigint") % 2 == 1).withColumn("opened", F.col("opened") + 10)
+    left = stores.remove(stores.upsert(store, again, ["root"]), store.where(F.col("root").cast("bigint") % 5 == 0).select("root"), ["root"])
+    return rank.page(left, [F.desc("opened"), "root"], 1, 10).select("root", "name", "opened")
+
+
 @query("select n_name as path, case when n_regionkey = 1 then 'a=2,b=1' else 'a=1,b=1' end as vals from nation")
 def e9_plugin_metadata(m: Model) -> DataFrame:
     values = lambda a: F.create_map(F.lit("a"), F.lit(a), *([F.lit("b"), F.lit("1")] if a == "1" else []))

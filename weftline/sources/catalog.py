@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..storage import stage
 
@@ -51,33 +52,42 @@ def _parted(name: str, df: DataFrame) -> DataFrame:
 
 
 def save_parted(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes the tables in PARTITIONS parts by a hash of the file, for ``update``."""
+    """Writes the tables in PARTITIONS parts by a hash of the file, for ``update``, and their schemas, as a table may be empty."""
+    schemas = {}
     for name, df in tables.items():
-        _parted(name, df).write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
+        parted = _parted(name, df)
+        parted.write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
+        schemas[name] = parted.schema.jsonValue()
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(json.dumps(schemas),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schemas")
 
 
-def load_parted(spark: SparkSession, path: str, names) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+def load_parted(spark: SparkSession, path: str, names=None) -> dict[str, DataFrame]:
+    schemas = json.loads(spark.read.text(f"{path}/schemas").first()[0])
+    return {name: spark.read.schema(StructType.fromJson(schemas[name])).parquet(f"{path}/{name}") for name in names or schemas}
 
 
 def update(old: dict[str, DataFrame], new: dict[str, DataFrame], path: str) -> dict[str, list[int]]:
     """Rewrites only the parts of the tables in which ``old`` (of load_parted) and ``new`` differ, and names them.
 
     A part differs if the number or the sum of its rows' hashes does. New rows
-    are written aside before they replace old ones.
+    are written aside before a part is replaced as a whole.
     """
     done = {}
-    for name, df in new.items():
-        after = written(_parted(name, df.drop("part")))
+    # All are written aside first, as a new table may be made of any old one.
+    for name, after in {name: written(_parted(name, df.drop("part"))) for name, df in new.items()}.items():
         columns = sorted(c for c in after.columns if c != "part")
         sums = lambda t: t.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h"))  # noqa: E731, B023
         a, b = sums(old[name].select(*after.columns)), sums(after)
-        differ = [r["part"] for r in a.join(b.withColumnsRenamed({"n": "n2", "h": "h2"}), "part", "full").where("not (n <=> n2 and h <=> h2)").select("part").collect()]  # at most PARTITIONS
-        fs = _fs(df.sparkSession, path)[1]
-        for part in differ:
-            fs.delete(_fs(df.sparkSession, f"{path}/{name}/part={part}")[0], True)
-        after.where(F.col("part").isin(differ)).write.mode("append").partitionBy("part").parquet(f"{path}/{name}")
-        done[name] = sorted(differ)
+        differ = a.join(b.withColumnsRenamed({"n": "n2", "h": "h2"}), "part", "full").where("not (n <=> n2 and h <=> h2)").select("part", "n2").collect()  # at most PARTITIONS
+        full = [r["part"] for r in differ if r["n2"]]
+        if full:
+            after.where(F.col("part").isin(full)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/{name}")
+        fs = _fs(after.sparkSession, path)[1]
+        for r in differ:
+            if not r["n2"]:
+                fs.delete(_fs(after.sparkSession, f"{path}/{name}/part={r['part']}")[0], True)
+        done[name] = sorted(r["part"] for r in differ)
     return done
 
 

@@ -89,6 +89,17 @@ def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, parse: Calla
     return out
 
 
+def watch_events(changes: DataFrame, files: DataFrame) -> DataFrame:
+    """(event, path, lines) for those who watch the graph, of the last change of each
+    path: node:add of a new file, file:change of a known one, node:remove of a deleted
+    one that was known; lines of what was written. The transport is the sink's."""
+    known = files.select("path", F.lit(True).alias("known"))
+    seen = _last_changes(changes).join(known, "path", "left")
+    gone = F.col("op") == "delete"
+    event = F.when(gone & F.col("known"), "node:remove").when(~gone & F.col("known"), "file:change").when(~gone, "node:add")
+    return seen.select(event.alias("event"), "path", F.when(~gone, F.size(F.split("content", "\n"))).alias("lines")).where("event is not null")
+
+
 def parse_files(tag: str = "@note") -> Callable[[DataFrame], dict[str, DataFrame]]:
     """What apply_changes needs of the parsers: each call parses the files that it is given."""
 
