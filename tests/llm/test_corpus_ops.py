@@ -477,3 +477,29 @@ def test_pipeline_stages(spark, tmp_path):
     changed = seen["secret scans"].where("doc_id = 102").first()
     assert changed["text"] == good["fr"] + " <SECRET>" and changed["lang"] in ("de", "en") and changed["n_chars"] == len(changed["text"])
     assert corpus_pipeline.STAGES[0][0] == "quality rules" and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_of_empty_null_repeated_and_clashing_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, digest int, text_ string, key string"
+    rng = random.Random(12)
+    long = lambda i: " ".join(f"{rng.choice(WORDS['en'])} thing{i}x{rng.randrange(9999)}" for _ in range(60))
+    texts = [long(i) for i in range(12)]
+    rows = [(i, t, "en", "s", len(t), "r", i, "t", "k") for i, t in enumerate(texts)]
+    rows += [rows[3]] * 3 + [(None, texts[5], None, None, None, None, None, None, None), (50, None, "en", "s", 0, "r", 1, "t", "k"), (51, "", "en", "s", 0, "r", 1, "t", "k"), (52, "short", "en", "s", 5, "r", 1, "t", "k")]
+    rows.append((53, long("L") + " word" * 3 + " " + " ".join(f"w{k} the" for k in range(40_000)), "en", "s", 1, "r", 1, "t", "k"))
+    for given in (rows, []):
+        docs = df = spark.createDataFrame(given, schema)
+        for n, (name, f) in enumerate(corpus_pipeline.STAGES):
+            docs = f(spark, docs, str(tmp_path))
+            path = str(tmp_path / f"{len(given)}-{n}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if n < 4:
+                assert docs.columns == df.columns
+        if not given:
+            assert docs.count() == 0
+        else:
+            got = Counter(r["doc_id"] for r in docs.where("piece = 0").collect())
+            assert got == Counter([*(i for i in range(12) if i != 5), None, 53])  # of doc 5 and its copy the one without an id stays

@@ -82,8 +82,8 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op7_exact_top_k"] = """
 with v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
-           where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.rid, q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.rid, q.vec_id as query_id, c.vec_id, (case when len(q.v) = 0 then 0 else list_dot_product(q.v, c.v) end)::bigint as score
       from v q join v c on q.rid <> c.rid and len(q.v) = len(c.v) where q.vec_id % 50 = 0)
 select query_id, rank, vec_id, score from (select *, row_number() over (partition by rid order by score desc, vec_id)::int as rank from s) where rank <= 5
 """
@@ -163,6 +163,34 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secret_scan.render(F.col("spans")).alias("spans"), n_live)
 
 
+def _secrets_sql() -> str:
+    """Spans by the lengths of what lies between matches; the kinds are numbered as KINDS."""
+    letters = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    names = "|".join((*map(letters, ("password", "passwd", "secret", "token")), letters("api") + "_?" + letters("key")))
+    assign = "(?:" + names + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = (assign, "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", "[A-Za-z0-9+/_-]{32,}")
+    found = " union all ".join(f"select rid, {k} as kind, regexp_extract_all(t, '{p}') as m, regexp_split_to_array(t, '{p}') as s from d" for k, p in enumerate(patterns))
+    kinds = "[" + ", ".join(f"'{k}'" for k in secret_scan.KINDS) + "]"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t, coalesce('=' || source, '?') as owner, '=' || concat_ws('/', source, lang) as repository from documents),
+f as ({found}),
+a as (select rid, kind, m[i] as m, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as first from f, unnest(range(1, len(m) + 1)) u(i)),
+v as (select rid, kind, first::bigint as first, (first + length(m))::bigint as last, case when kind = 0 then regexp_extract(m, '{assign}', 1) else m end as value from a),
+base as (select * from v where kind < 3 and (kind > 0 or length(value) >= 6)),
+keys as (select * from v k where kind = 3 and regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Z]') and regexp_matches(value, '[a-z]') and not exists (select 1 from base b where b.rid = k.rid and b.first < k.last and b.last > k.first)),
+spans as (select * from base union all select * from keys),
+live as (select value from spans join d using (rid) group by value having count(distinct owner) < {secret_scan.EXAMPLE_OWNERS} and count(distinct repository) < {secret_scan.EXAMPLE_REPOSITORIES}),
+told as (select s.*, l.value is not null as live, {kinds}[kind + 1] || ':' || first || ':' || last as span from spans s left join live l using (value)),
+r as (select rid, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, string_agg(span, ',' order by first, kind) filter (kind < 3) as base,
+  string_agg(span, ',' order by first, kind) filter (kind < 3 or live) as spans, count(*) filter (live) as n_live from told group by rid)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0)::bigint as n_live
+from d left join r using (rid)
+"""
+
+
+ORACLES["op2_secret_scans"] = _secrets_sql()
+
+
 @query
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
