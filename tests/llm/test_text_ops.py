@@ -232,6 +232,15 @@ def test_long_texts_are_dealt_in_chunks(spark, long, overlap):
     assert bpe.encode_texts(df.limit(0), path).count() == 0
 
 
+def test_plans_are_near_the_lower_bound():
+    rng = np.random.default_rng(6)
+    assert packing.lower_bound({}) == 0 and packing.lower_bound({600: 3, 500: 1, 400: 5}) == 5 and packing.lower_bound({1024: 2, 1: 1}) == 3
+    for lengths in (rng.integers(1, 1025, 20_000), rng.integers(1, 300, 20_000), np.minimum(rng.lognormal(5, 1.2, 20_000).astype(int) + 1, 1024)):
+        counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+        used, least = sum(m for _, m in packing.pack_plan(counts)), packing.lower_bound(counts)
+        assert least <= used <= 1.005 * least + 1, (used, least)
+
+
 def test_digests_are_of_little_endian_ids(docs):
     path = bpe.vocabulary_path("byte_bpe_50k.tiktoken")
     got = bpe.encode_texts(docs.where("doc_id = 1"), path).select(F.sha2("ids", 256)).first()[0]

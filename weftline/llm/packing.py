@@ -157,6 +157,24 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = RO
     return full + min(map(rounded, SHARES), key=lambda plan: sum(m for _, m in plan))
 
 
+def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Sequences that any packing needs: for each length up to half of the capacity, pieces
+    of over the rest need one of their own, those of over half one each, and shorter ones
+    down to that length what the latter leave over."""
+    lengths = np.array(sorted(n for n, c in counts.items() if c), np.int64)
+    if not len(lengths):
+        return 0
+    many = np.array([counts[int(n)] for n in lengths], np.int64)
+    best = 0
+    for least in [0, *lengths[2 * lengths <= capacity].tolist()]:
+        alone, half = lengths > capacity - least, 2 * lengths > capacity
+        small = (lengths >= least) & ~half
+        room = int(((capacity - lengths) * many)[half & ~alone].sum())
+        over = int((lengths * many)[small].sum()) - room
+        best = max(best, int(many[half].sum()) + max(0, -(-over // capacity)))
+    return best
+
+
 def _slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     """For each length, rows (first piece, first sequence, pieces in a sequence, offset of the first)."""
     rows: dict[int, list[tuple]] = {}
