@@ -16,10 +16,12 @@ from .streaming import streams
 
 @dataclass
 class CodeGraph:
-    """Tables of a scanned project. What isn't given is derived from ``files``."""
+    """Tables of a scanned project. What isn't given is derived from ``files``, with the
+    parsers ``known`` by extension (those of the library, or of a plugin registry)."""
 
     files: DataFrame
     tag: str = "@note"
+    known: dict | None = None
 
     @classmethod
     def scan(cls, spark: SparkSession, root: str, **how) -> CodeGraph:
@@ -40,7 +42,7 @@ class CodeGraph:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return parsers.symbols(self.files)
+        return parsers.symbols(self.files, self.known)
 
     @cached_property
     def imports(self) -> DataFrame:
@@ -52,7 +54,7 @@ class CodeGraph:
 
     @cached_property
     def calls(self) -> DataFrame:
-        return graph.resolve_calls(parsers.raw_calls(self.files), self.edges, self.symbols)
+        return graph.resolve_calls(parsers.raw_calls(self.files, self.known), self.edges, self.symbols)
 
     @cached_property
     def annotations(self) -> DataFrame:
@@ -114,12 +116,12 @@ class CodeGraph:
 
     def rescan(self, spark: SparkSession, root: str, **how) -> CodeGraph:
         """The graph of what is there now; files that are as they were aren't read."""
-        return CodeGraph(ingest.rescan(spark, root, self.files, **how), self.tag)
+        return CodeGraph(ingest.rescan(spark, root, self.files, **how), self.tag, self.known)
 
     def after(self, changes: DataFrame) -> CodeGraph:
         """The graph after a batch of changes (see ``operators.edits``)."""
-        new = streams.apply_changes(self.tables(), changes, streams.parse_files(self.tag))
-        graph_ = CodeGraph(new.pop("files"), self.tag)
+        new = streams.apply_changes(self.tables(), changes, streams.parse_files(self.tag, self.known))
+        graph_ = CodeGraph(new.pop("files"), self.tag, self.known)
         graph_.__dict__.update(new)
         return graph_
 
@@ -132,7 +134,7 @@ class CodeGraph:
         return self._with(edges=graph.with_edges(self.edges, more))
 
     def _with(self, **tables) -> CodeGraph:
-        new = CodeGraph(self.files, self.tag)
+        new = CodeGraph(self.files, self.tag, self.known)
         new.__dict__.update({k: v for k, v in self.__dict__.items() if k not in ("calls", *tables)} | tables)
         return new
 

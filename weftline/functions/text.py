@@ -32,6 +32,7 @@ def query_keywords(query: str) -> list[str]:
     return [w for w in query.lower().split() if len(w) >= 2]
 
 
+# Fixed values, here and in identifier_tokens: where names are split (a lower-case letter before a capital, the last of some capitals before a small letter, blanks and _ - . / \\).
 def query_tokens(query: str, longer_than: int = 2) -> list[str]:
     """The identifier tokens of a request, split as identifier_tokens does."""
     spaced = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z])([A-Z])", r"\1 \2", query))

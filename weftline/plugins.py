@@ -84,7 +84,7 @@ class Registry:
     def add_parser(self, extension: str, parse: Callable[[str], list[tuple]]) -> None:
         """``parse``: a text to rows (name, kind, start line and column, end line and column, exported, owner).
 
-        ``symbols`` of this registry, and graphs made with it, route files of the extension to it.
+        ``symbols`` of this registry routes files of the extension to it, and so does a graph that has ``parsers`` as its ``known``.
         """
         self.parsers[extension] = parse
 

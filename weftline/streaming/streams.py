@@ -100,12 +100,12 @@ def watch_events(changes: DataFrame, files: DataFrame) -> DataFrame:
     return seen.select(event.alias("event"), "path", F.when(~gone, F.size(F.split("content", "\n"))).alias("lines")).where("event is not null")
 
 
-def parse_files(tag: str = "@note") -> Callable[[DataFrame], dict[str, DataFrame]]:
+def parse_files(tag: str = "@note", known: dict | None = None) -> Callable[[DataFrame], dict[str, DataFrame]]:
     """What apply_changes needs of the parsers: each call parses the files that it is given."""
 
     def parse(files: DataFrame) -> dict[str, DataFrame]:
         rows = files.select("path", T.base_name(F.col("path")).alias("name"), T.directory(F.col("path")).alias("dir_path"), parsers.summary(F.col("path"), F.col("content")).alias("summary"), "content", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("bigint").alias("size"))
-        return {"files": rows, "symbols": parsers.symbols(files), "imports": parsers.imports(files), "annotations": parsers.annotations(files, tag), "raw_calls": parsers.raw_calls(files)}
+        return {"files": rows, "symbols": parsers.symbols(files, known), "imports": parsers.imports(files), "annotations": parsers.annotations(files, tag), "raw_calls": parsers.raw_calls(files, known)}
 
     return parse
 
