@@ -45,18 +45,17 @@ def peek(files: DataFrame, path: str, edges: DataFrame, symbols: DataFrame, call
     """One row on a file, or none: its columns, imports and importers (paths),
     symbols with the calls and callers of each, and, of the tables that are
     given, groups with their numbers of members and notations, labels,
-    elements, both kinds of annotations and the domain; with ``content`` its
-    text, lines and characters too. Each list is of this file's rows alone.
+    elements, both kinds of annotations and the domain, its numbers of lines
+    and characters and, with ``content``, its text. Each list is of this file's rows alone.
     """
     own = file_row(files, path)
-    row = own if content else own.drop("content")
-    if content:
-        row = row.withColumns({"lines": F.size(F.split("content", "\n")), "characters": F.length("content")})
+    row = own.withColumns({"n_lines": F.size(F.split("content", "\n")), "n_chars": F.length("content")})
+    row = row if content else row.drop("content")
     at = lambda df, c="path": df.where(F.col(c) == path)
     here = lambda df: df.withColumn("path", F.lit(path))
     lists = [
         _listed(here(graph.imports(edges, files, path).withColumnRenamed("path", "other")), F.col("other"), "imports"),
-        _listed(here(graph.importers(edges, files, path).withColumnRenamed("path", "other")), F.col("other"), "imported_by"),
+        _listed(here(graph.importers(edges, files, path).withColumnRenamed("path", "other")), F.col("other"), "importers"),
     ]
     ref = lambda p, s: F.concat_ws("$", p, s)
     out = _listed(at(calls, "src_path").select(F.col("src_sym").alias("name"), ref("dst_path", "dst_sym").alias("ref")).distinct(), F.col("ref"), "calls", "name")

@@ -199,7 +199,7 @@ def j6_peek(m: Model) -> DataFrame:
     row = views.peek(files, path, m.edges(), symbols, _calls(m), groups, members, labels=m.label_store(), assignments=given)
     list_ = lambda c: F.array_join(c, ",")
     first = F.col("symbols")[0]
-    return row.select("path", list_("imports").alias("imports"), list_("imported_by").alias("imported_by"), first["name"].alias("symbol"), list_(first["calls"]).alias("calls"), list_(first["called_by"]).alias("called_by"), F.col("groups")[0]["name"].alias("groups"), F.col("groups")[0]["n_members"].cast("int").alias("n_members"), F.col("labels")[0]["name"].alias("labels"))
+    return row.select("path", list_("imports").alias("imports"), list_("importers").alias("imported_by"), first["name"].alias("symbol"), list_(first["calls"]).alias("calls"), list_(first["called_by"]).alias("called_by"), F.col("groups")[0]["name"].alias("groups"), F.col("groups")[0]["n_members"].cast("int").alias("n_members"), F.col("labels")[0]["name"].alias("labels"))
 
 
 @query(sql("files edges label_store assignments source_members", """, p as (select min(path) as p from files where doc_id in (select doc_id from labels where quality = 1 or toxic = 1))
