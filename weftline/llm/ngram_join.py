@@ -26,6 +26,7 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -187,15 +188,14 @@ def _children(rows: DataFrame, similar: float) -> DataFrame:
 def _groups(sets: DataFrame, similar: float) -> DataFrame:
     """(node, component) of the sets that links of similar sketches connect."""
     sketches = sets.select("key", "sketch")
-    level, links, groups = sets.select(F.explode("picks").alias("bucket"), "key"), None, None
+    level, groups = sets.select(F.explode("picks").alias("bucket"), "key"), None
+    links, waiting = sets.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0), []
 
     def add(*more: DataFrame) -> None:
         nonlocal links, groups
-        merged = more[0] if links is None else links.unionByName(more[0])
-        for m in more[1:]:
-            merged = merged.unionByName(m)
-        merged = stage(merged.distinct(), "links")
-        discard(*(t for t in (links, groups) if t is not None))
+        merged = stage(reduce(DataFrame.unionByName, [links, *more, *waiting]).distinct(), "links")
+        discard(*waiting, *(t for t in (links, groups) if hasattr(t, "stage_path")))
+        waiting.clear()
         links, groups = merged, connected_components(merged)
 
     for depth in range(1, DEPTH + 1):
@@ -203,6 +203,10 @@ def _groups(sets: DataFrame, similar: float) -> DataFrame:
         within = [] if depth == 1 else [F.min("component").alias("min_component"), F.max("component").alias("max_component")]
         sizes = stage(level.groupBy("bucket").agg(F.count("*").alias("n"), *within).where("n > 1").where(several).select("bucket", "n"), "sizes")
         rows = sizes.agg(F.sum("n")).first()[0] or 0
+        if not rows:
+            add()
+            discard(sizes, *([level] if depth > 1 else []))
+            return groups
         # Buckets to compare, each a list of at most BUCKET keys; those with the same keys are one.
         hot = sizes.where(F.col("n") > max(rows // HOT, BUCKET)).select("bucket")  # fewer than HOT
         small = level.select("bucket", "key").join(F.broadcast(hot), "bucket", "left_anti").join(sizes.where(F.col("n") <= BUCKET).select("bucket"), "bucket")
@@ -233,13 +237,10 @@ def _groups(sets: DataFrame, similar: float) -> DataFrame:
         mixed = stage(spread_join(grouped, main, "bucket", "often", rows), "mixed")
         discard(grouped, main)
         if depth == DEPTH:  # the ends of the paths
-            found = _compared(mixed)
-        else:
-            found = _outside(mixed.where(F.col("outside") <= OUTSIDE))
-        add(found)
-        if depth == DEPTH:
+            add(_compared(mixed))
             discard(mixed)
             return groups
+        waiting.append(stage(_outside(mixed.where(F.col("outside") <= OUTSIDE)), "outside"))  # added with the next links
         level = stage(_children(mixed.where(F.col("outside") > OUTSIDE), similar), "level")
         discard(mixed)
     return groups
