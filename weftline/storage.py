@@ -54,7 +54,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 @contextmanager
 def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside go when it ends: its result is in a table."""
-    before = spark.conf.get(_CLEAN)
+    before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
         yield
