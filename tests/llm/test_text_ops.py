@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftline.llm import bpe, packing, quality, token_files, topk, url_filter
+from weftline.llm import bpe, packing, quality, queries, token_files, topk, url_filter
 
 TEXTS = [
     (1, "the cat sat on the mat and the cat sat on the mat again today"),
@@ -216,6 +216,17 @@ def test_url_filters(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_registered_url_rules(spark):
+    cases = [
+        ("http://a.com/en/1", "com/en/", "block"), ("http://a.com/en/7", "com/en/", "block"), ("http://example.com/en/7", "example.com/en/7", "allow"), ("http://x.example.com/en/70", "example.com/en/7", "allow"),
+        ("http://a.net/de/8", "net/de/", "allow"), ("http://example.net/de/1", "net/de/", "allow"), ("http://example.net/de/8", "example.net/de/8", "block"), ("http://w.example.net/de/80", "example.net/de/8", "block"),
+        ("http://a.org/es/", "org/es/", "block"), ("http://a.org/en/", None, "allow"), ("http://spam-farm.net/de/1", "net/de/", "allow"), ("http://spam-farm.net/fr/1", None, "block"),
+    ]
+    df = spark.createDataFrame([(c[0],) for c in cases], "url string")
+    judged = url_filter.judge_urls(df, queries.URL_RULES).select("row.url", F.when(F.col("tier") == 1, F.col("rule")), "verdict").collect()
+    assert Counter(map(tuple, judged)) == Counter(cases)
+
+
 @pytest.mark.parametrize(("long", "overlap"), [(700, 40), (60, 8), (5, 1)])
 def test_long_texts_are_dealt_in_chunks(spark, long, overlap):
     path = bpe.vocabulary_path("byte_bpe_50k.tiktoken")

@@ -91,8 +91,8 @@ select query_id, rank, vec_id, score from (select *, row_number() over (partitio
 URL_RULES = (
     url_filter.host_path_rule("block", "com", "/en/"),
     url_filter.host_path_rule("allow", "example.com", "/en/7"),
-    url_filter.host_path_rule("block", "net", "/de/"),
-    url_filter.host_path_rule("allow", "example.net", "/de/8"),
+    url_filter.host_path_rule("allow", "net", "/de/"),
+    url_filter.host_path_rule("block", "example.net", "/de/8"),
     url_filter.host_path_rule("block", "org", "/es/"),
     url_filter.pattern_rule("pills", "block", r"^[^/]*\bcheap-pills\b", "cheap", "pills"),
     url_filter.pattern_rule("bets", "block", r"^[^/]*\bfree-bets\b", "free", "bets"),
@@ -116,7 +116,7 @@ h as (select page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
              regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from u),
 r as (select *, case when {e8} then 'example.net/de/8' when {e7} then 'example.com/en/7' when {c} then 'com/en/' when {n} then 'net/de/' when {o} then 'org/es/' end as rule from h)
 select page_id, host, path, rule,
-       case when rule like 'example.%' then 'allow' when rule is not null then 'block'
+       case when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block' when rule in ('example.com/en/7', 'net/de/') then 'allow'
             when regexp_matches(host, '\\b(cheap-pills|free-bets|spam-farm|ads-track)\\b') then 'block' else 'allow' end as verdict
 from r
 """.format(**{k: _fits.format(h=h, p=p) for k, h, p in (("e8", "example.net", "/de/8"), ("e7", "example.com", "/en/7"), ("c", "com", "/en/"), ("n", "net", "/de/"), ("o", "org", "/es/"))}).replace("\\\\", "\\")
