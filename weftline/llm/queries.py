@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, pii, quality, secret_scan, token_files, topk, url_filter
+from . import bpe, fill_middle, filter_audit, langid, ngram_join, packing, pii, quality, secret_scan, token_files, topk, url_filter
 from .common import table
 
 QUERIES = {}
@@ -196,3 +196,51 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find_pii(docs, pii.train(docs))
     return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.render("base"), 256).alias("base_sha256"), pii.render("spans").alias("spans"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_audited = {
+    "kept": "(mask & seen) = 0", "removed": "(mask & bit) > 0 and (mask & (seen - bit)) = 0", "redundant": "(mask & bit) > 0 and (mask & (seen - bit)) > 0", "unique_fails": "mask = bit",
+    "good_lost": "good and (mask & bit) > 0 and (mask & (seen - bit)) = 0", "toxic_lost": "toxic and (mask & bit) > 0 and (mask & (seen - bit)) = 0",
+}
+ORACLES["op11_filter_audit"] = f"""
+with recursive d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words, min(doc_id) over (partition by t) as least from d),
+l as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id),
+m as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+         (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::int
+         + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(least < w.doc_id, false)::int as mask
+  from w left join l using (doc_id)),
+c as (select part, mask, good, toxic, count(*) as n from m group by all),
+f as (select substr('ABCDE', k::int, 1) as name, 1 << (k::int - 1) as bit from range(1, 6) t(k)),
+o as (select '' as so_far, 0 as seen union all select so_far || name, seen + bit from o join f on (seen & bit) = 0),
+p as (select so_far as filter_order from o where length(so_far) = 5),
+s as (select filter_order, k::int as step, 1 << (instr('ABCDE', substr(filter_order, k::int, 1)) - 1)::int as bit,
+             list_sum(list_transform(range(1, k + 1), lambda j: 1 << (instr('ABCDE', substr(filter_order, j::int, 1)) - 1)::int))::int as seen from p, range(1, 6) t(k)),
+a as (select part, filter_order, step, bit, {", ".join(f"coalesce(sum(n) filter ({v}), 0)::bigint as {k}" for k, v in _audited.items())} from c, s group by part, filter_order, step, bit)
+select part, filter_order, step, {", ".join(_audited)}, (sum(removed) over (partition by part, bit))::bigint as shapley from a
+"""
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = F.sha2(fill_middle.restore_text(F.col("output"), F.col("form")), 256)
+    return cut.select("row.doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), restored.alias("restored_sha256"))
+
+
+ORACLES["op12_fill_in_middle"] = """
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+h as (select *, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+             case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substring(t, 1, a) as prefix, substring(t, a + 1, b - a) as middle, substring(t, b + 1) as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+       sha256(case form when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else t end) as output_sha256, sha256(t) as restored_sha256
+from p
+"""
