@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import fill_middle, filter_audit
+from weftline.llm import fill_middle, filter_audit, license_scan
 
 # -- filter audit --------------------------------------------------------------
 
@@ -123,3 +123,77 @@ def test_cuts_of_a_slice_of_a_batch():
     texts = pa.array(["skipped é", "añb", "", "cd"], pa.large_string()).slice(1)
     n, cuts, pieces = fill_middle.cut_rows(texts, np.array([[5, 2], [9, 9], [1, 2]]), "characters")
     assert (n.tolist(), cuts.tolist(), pieces.to_pylist()) == ([3, 0, 2], [[1, 2], [0, 0], [1, 2]], ["a", "ñ", "b", "", "", "", "c", "d", ""])
+
+
+# -- license scans -------------------------------------------------------------
+
+
+def words_of(text):
+    lower = "".join(c.lower() if c.isascii() else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def scanned(text, templates=license_scan.TEMPLATES, k=license_scan.K, band=license_scan.BAND, least=license_scan.LEAST_SHARE):
+    w = words_of(text)
+    places = [(i, label) for label, phrase in license_scan.PHRASES for p in [phrase.split()] for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+    base = sorted({label for _, label in places})
+    runs = {}
+    for i in range(len(w) - k + 1):
+        runs.setdefault(tuple(w[i : i + k]), []).append(i)
+    best, found = 0.0, set()
+    for t in templates:
+        tw = words_of(t.text)
+        n = len(tw) - k + 1
+        at = {(i - j, j) for j in range(max(n, 0)) for i in runs.get(tuple(tw[j : j + k]), [])}
+        for anchor in {d for d, _ in at}:
+            share = len({j for d, j in at if abs(d - anchor) <= band}) / n
+            best = max(best, share)
+            found |= {t.label} if share >= least else set()
+    at = [i for i, _ in places]
+    return len(w), len(at), min(at, default=None), max(at, default=None), base, sorted(set(base) | found), 1.0 if at else best
+
+
+MIT, BSD = (next(t.text for t in license_scan.TEMPLATES if t.label == label and len(t.text) > 200) for label in ("mit", "bsd"))
+
+
+def license_texts():
+    rng = random.Random(5)
+    words = MIT.split()
+    changed = words.copy()
+    changed[20:20] = ["really", "and", "truly"]
+    changed[60] = "altered"
+    del changed[40:42]
+    scattered = [x for j in range(0, len(words) - 4, 4) for x in [*words[j : j + 4], *"this is other text".split()]]
+    return [
+        None, "", " ", "mit", "mit license", "MIT-License; the mit license. MIT\nLICENSE", "mıt license", "émit license", "general public license apache license apache license", MIT, MIT.upper(), " ".join(changed), " ".join(scattered),
+        "x y " * 300 + MIT + " and then " + BSD + " tail " * 50 + MIT, " ".join(words[: len(words) // 2]), "Licensed under CC BY-NC 4.0.", "licensed under cc by nc 3", "the software is the software is " * 400, "Licensed under the Apache  License,\tVersion 2.0",
+        " ".join(rng.choice(words) for _ in range(400)), "word " * 60_000 + "apache license", "版权 mit license 中文", (MIT + " ") * 30, "license mit license license",
+    ]
+
+
+def test_license_scans(spark):
+    rows = [(i, t) for i, t in enumerate(license_texts())] + [(3, MIT), (3, MIT), (None, "apache license")]
+    docs = spark.createDataFrame([(*r, "clash", {"a": 1}) for r in rows], "doc_id bigint, text string, labels string, rid map<string, int>").repartition(3)
+    got = license_scan.scan_licenses(docs, keep=("doc_id", "labels", "rid")).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score").collect()
+    flat = lambda r: tuple(tuple(x) if isinstance(x, list) else x for x in r)
+    assert Counter(map(flat, got)) == Counter(flat((i, *scanned(t))) for i, t in rows)
+    assert license_scan.scan_licenses(docs.limit(0)).count() == 0
+    plan = license_scan.scan_licenses(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_license_spans(spark):
+    words = MIT.split()
+    docs = spark.createDataFrame([(1, "a b c " + MIT + " d e " + BSD), (2, " ".join(words[:30] + ["new", "words"] + words[30:])), (3, (MIT + " ") * 3), (4, "nothing")], "doc_id bigint, text string")
+    spans = {r["doc_id"]: [(s["first"], s["last"], s["label"]) for s in r["spans"]] for r in license_scan.scan_licenses(docs).select("row.doc_id", "spans").collect()}
+    n, m = len(words_of(MIT)), len(words_of(BSD))
+    assert spans == {1: [(3, 2 + n, "mit"), (5 + n, 4 + n + m, "bsd")], 2: [(0, n + 1, "mit")], 3: [(k * n, k * n + n - 1, "mit") for k in range(3)], 4: []}
+
+
+def test_templates_that_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(license_texts()[:16])], "doc_id bigint, text string")
+    shown = lambda: Counter(str(r) for r in license_scan.scan_licenses(docs).collect())
+    want = shown()
+    monkeypatch.setattr(license_scan, "FEW", 0)
+    assert shown() == want
+    assert [r["labels"] for r in license_scan.scan_licenses(docs, templates=[license_scan.Template("x", "too short"), license_scan.Template("y", "Licensed under CC BY-NC")]).where("row.doc_id = 15").collect()] == [["y"]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_middle, filter_audit, langid, ngram_join, packing, pii, quality, secret_scan, token_files, topk, url_filter
+from . import bpe, fill_middle, filter_audit, langid, license_scan, ngram_join, packing, pii, quality, secret_scan, token_files, topk, url_filter
 from .common import table
 
 QUERIES = {}
@@ -244,3 +244,38 @@ select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, ca
        sha256(case form when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle when 'spm' then '<S>' || suffix || '<P>' || prefix || '<M>' || middle else t end) as output_sha256, sha256(t) as restored_sha256
 from p
 """
+
+
+@query
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def _licenses_sql() -> str:
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = "list_filter(regexp_split_to_array(" + lower + ", '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    k, band = license_scan.K, license_scan.BAND
+    stands = lambda p: "list_filter(range(1, len(w) + 1), lambda i: " + " and ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(p.split(" "))) + ")"
+    templates = ", ".join("({}, '{}', '{}')".format(no, t.label, t.text.replace("'", "''")) for no, t in enumerate(license_scan.TEMPLATES))
+    places = ", ".join(f"{stands(p)} as p{i}" for i, (_, p) in enumerate(license_scan.PHRASES))
+    every = " || ".join(f"p{i}" for i in range(len(license_scan.PHRASES)))
+    base = "list_filter([" + ", ".join(f"case when len(p{i}) > 0 then '{label}' end" for i, (label, _) in enumerate(license_scan.PHRASES)) + "], lambda x: x is not null)"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, {words.format("coalesce(text, '')")} as w from documents),
+t as (select no, label, {words.format("x")} as w from (values {templates}) t(no, label, x)),
+tg as (select no, label, len(w) - {k - 1} as n, i - 1 as place, array_to_string(w[i:i + {k - 1}], ' ') as g from t, unnest(range(1, len(w) - {k - 2})) u(i)),
+dg as (select rid, i - 1 as pos, array_to_string(w[i:i + {k - 1}], ' ') as g from d, unnest(range(1, len(w) - {k - 2})) u(i)),
+m as (select distinct rid, no, label, n, place, pos - place as diagonal from dg join tg using (g)),
+a as (select distinct rid, no, diagonal as anchor from m),
+c as (select rid, no, label, anchor, count(distinct place)::double / any_value(n) as share from a join m using (rid, no) where diagonal between anchor - {band} and anchor + {band} group by rid, no, label, anchor),
+s as (select rid, max(share) as share, list(distinct label) filter (share >= {license_scan.LEAST_SHARE}) as labels from c group by rid),
+b as (select rid, doc_id, len(w)::bigint as n_words, {places} from d),
+p as (select rid, doc_id, n_words, {every} as p, {base} as base from b)
+select doc_id, n_words, len(p)::bigint as n_base, (list_min(p) - 1)::bigint as first_word, (list_max(p) - 1)::bigint as last_word, array_to_string(list_sort(base), ',') as base_labels,
+       array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') as labels, case when len(p) > 0 then 1.0::double else coalesce(share, 0.0)::double end as score
+from p left join s using (rid)
+"""
+
+
+ORACLES["op13_license_scans"] = _licenses_sql()
