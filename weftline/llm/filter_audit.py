@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 FILTERS = "ABCDE"
 DUPLICATE = 1 << FILTERS.index("E")
 MASKS = 1 << len(FILTERS)
-#: Bytes of texts that a task that reads documents holds before it routes them.
-HELD = 32 << 20
+#: Bytes of texts that a task that reads documents holds before it routes them, and that a task gets by its fingerprints, on average.
+HELD, ROUTED = 32 << 20, 64 << 20
 
 # The least words, the symbols that are not allowed, the upper-case letters.
 LEAST_WORDS = 200
@@ -121,8 +121,8 @@ def failed_filters(docs: DataFrame, text: str = "text", part: str = "source", do
     document whose text one of a smaller id has; documents of the same id don't
     make each other fail, and those without an id neither fail it nor make
     others do. Ids are of any type that Python orders as Spark does. Texts of any
-    length are held whole, ``held`` bytes of them in a task that reads documents;
-    others hold their share of the distinct texts, in twice as many tasks as read.
+    length are held whole, ``held`` bytes of them in a task that reads documents; the
+    bytes of all texts are summed first, so that each task that they are routed to gets ROUTED bytes or less on average.
     An empty table gives one without rows, and other columns are not read. Rows
     are read once, in the order of the input: of one whose order changes from
     read to read, keep a table first.
@@ -130,7 +130,8 @@ def failed_filters(docs: DataFrame, text: str = "text", part: str = "source", do
     spark = docs.sparkSession
     key = F.col(f"`{doc_id}`")
     rows = docs.select(key, F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text}`"), F.lit(""))).rdd
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.getNumPartitions())
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTED))
     settled = rows.mapPartitions(lambda it: _route(it, held)).partitionBy(tasks, lambda k: k).mapPartitions(_settle)
     kind = docs.select(key).schema[0].dataType.simpleString()
     return spark.createDataFrame(settled, f"doc_id {kind}, part string, mask int, n bigint", verifySchema=False)
