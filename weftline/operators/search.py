@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .intervals import with_symbol
 
 
 def valid_pattern(pattern: str) -> bool:
@@ -82,14 +83,12 @@ def compact_symbols(matched: Column, most: int) -> Column:
 
 
 def _page_with_total(hits: DataFrame, after: int, last: int) -> DataFrame:
-    """Rows ``after`` + 1 to ``last`` by relevance with rank and total, in one pass: each
-    task keeps the best ``last`` of its rows and their number."""
-    order = Window.partitionBy("__part").orderBy(F.desc("relevance"), "path")
-    parted = hits.withColumn("__part", F.spark_partition_id())
-    best = parted.withColumns({"__n": F.row_number().over(order), "__total": F.count("*").over(Window.partitionBy("__part"))}).where(F.col("__n") <= last)
-    every = Window.orderBy(F.desc("relevance"), "path")
-    sums = F.sum(F.when(F.col("__n") == 1, F.col("__total")).otherwise(0)).over(Window.partitionBy())
-    return best.withColumns({"rank": F.row_number().over(every), "total": sums}).where((F.col("rank") > after) & (F.col("rank") <= last)).drop("__part", "__n", "__total")
+    """Rows ``after`` + 1 to ``last`` by relevance with rank and total: each task keeps
+    its best ``last`` rows, and what is counted never leaves a task."""
+    order = (F.desc("relevance"), F.col("path"))
+    page = hits.orderBy(*order).limit(last)
+    page = page.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > after)
+    return page.crossJoin(F.broadcast(hits.agg(F.count("*").alias("total"))))
 
 
 def search(files: DataFrame, symbols: DataFrame, request: SearchRequest, members: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
@@ -176,11 +175,7 @@ def match_lines(files: DataFrame, query: str, use_regex: bool = False, case_sens
 
 def symbol_context(matches: DataFrame, symbols: DataFrame) -> DataFrame:
     """Adds the first symbol whose lines hold the match, null if none does."""
-    at = matches.withColumn("__match", F.struct("path", "line_no"))
-    ranges = symbols.select(F.col("path").alias("__path"), "ord", F.col("name").alias("__name"), "start_line", "end_line")
-    inside = (F.col("path") == F.col("__path")) & F.col("line_no").between(F.col("start_line"), F.col("end_line"))
-    first = at.join(ranges, inside).groupBy("path", "line_no").agg(F.min_by("__name", "ord").alias("symbol"))
-    return matches.join(first, ["path", "line_no"], "left")
+    return with_symbol(matches, symbols)
 
 
 def content_search(files: DataFrame, symbols: DataFrame, query: str, scores: DataFrame | None = None, scope: str = "", kind: str = "", use_regex: bool = False, case_sensitive: bool = False, page: int = 1, size: int = 5) -> DataFrame:
