@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+from ..streaming import tracking
+
 
 class Model:
     """Projections of the tables in ``sf_dir``; each is lazy."""
@@ -15,6 +18,22 @@ class Model:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of its files."""
+        return self.spark.readStream.schema(self.table(name).schema).parquet(f"{self.sf_dir}/{name}.parque[t]")  # a pattern may name a file as well as a folder
+
+    def streamed(self, rows: DataFrame, name: str) -> DataFrame:
+        """All that a stream with a state store of column families has put out once it has read its source, as a table."""
+        key = "spark.sql.streaming.stateStore.providerClass"
+        before, folder = self.spark.conf.get(key), shared_folder(self.spark, name)
+        tracking.use_rocksdb(self.spark)
+        try:
+            query = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+        finally:
+            self.spark.conf.set(key, before)
+        return self.spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
     def files(self) -> DataFrame:
         content = F.coalesce("text", F.lit(""))
         return self.table("documents").select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, categories, experience, fuzzy, hints, placement, rank, search, sessions, stores, views
-from ..streaming import streams
+from ..streaming import streams, tracking
 from .model import Model
 from .model import with_tables as sql
 from .registry import _CALLS, _GOAL, _START, _calls, _count_sql, _keywords_sql, _start, _tokens_sql, query, rounded
@@ -317,6 +317,28 @@ def t6_journeys(m: Model) -> DataFrame:
     return _steps(m).select("session_id", F.col("journey").cast("int").alias("journey"), F.col("step").cast("int").alias("step"), join("selected"), join("rejected"), "target")
 
 
+_LIVE_SQL = _STEPS_SQL.replace(_STEPS_SQL[: _STEPS_SQL.index("\n")], """steps as (select user_id as session_id, event_id as seq, case event_id % 3 when 1 then 'search' when 2 then 'read' else 'write' end as kind, 'f' || (event_id // 3 % 5) as a, 'f' || ((event_id // 3 + 1) % 5) as b, 'f' || (event_id // 7 % 5) as w from events),""")
+
+
+@query(f"with {_LIVE_SQL} select session_id, journey, step, array_to_string(list_sort(selected), ',') as selected, array_to_string(list_sort(rejected), ',') as rejected, target from e where target is not null")
+def t6_journeys_live(m: Model) -> DataFrame:
+    """The closed journeys of a stream over the events, each user a session."""
+    of = lambda k, d=3: F.concat(F.lit("f"), ((F.floor(F.col("event_id") / d) + k) % 5).cast("string"))
+    n = F.col("event_id") % 3
+    kind = F.when(n == 1, "search").when(n == 2, "read").otherwise("write")
+    rows = m.stream("events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit("q").alias("query"), F.when(n == 1, F.array(of(0), of(1))).alias("results"), F.when(n == 2, of(0)).when(n == 0, of(0, 7)).alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    steps = m.streamed(tracking.journeys(rows), "journeys").where("target is not null")
+    join = lambda c: F.array_join(F.sort_array(c), ",").alias(c)
+    return steps.select("session_id", "journey", "step", join("selected"), join("rejected"), "target")
+
+
+@query("select user_id, event_type, row_number() over (partition by user_id, event_type order by ts, event_id) = 1 as created, event_id from events")
+def t4_first_seen_live(m: Model) -> DataFrame:
+    """Which events of a stream are the first of their user and type."""
+    rows = m.stream("events").select("user_id", "event_type", "ts", "event_id")
+    return m.streamed(tracking.first_seen(rows, ["user_id", "event_type"], ["ts", "event_id"]), "first_seen").select("user_id", "event_type", "created", "event_id")
+
+
 _ANTI_SQL = """wrong as (select distinct target as correct_file, x as incorrect_file, reason from (select target, unnest(rejected) as x, 'appeared_in_results_but_rejected' as reason from e where target is not null union all select target, unnest(selected), 'read_but_abandoned' from e where target is not null) where x <> target)"""
 
 
