@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, experience, fuzzy, graph, lines, rank, search, sessions, stores
+from ..operators import audit, experience, fuzzy, graph, lines, rank, search, sessions, stores, trigrams
+from ..storage import stage
 from .model import Model
 from .model import with_tables as sql
 
@@ -142,6 +143,38 @@ def r7_match_lines(m: Model) -> DataFrame:
     return search.match_lines(m.files(), "Licens").select("path", F.col("line_no").cast("bigint").alias("line_no"), "column", "before", "after")
 
 
+@query(sql("files lines", f"""{_MATCH} select path, line_no, "column", before, after from h"""))
+def r7_match_lines_indexed(m: Model) -> DataFrame:
+    """The same lines, from the files alone that an index of trigrams names."""
+    files = m.files()
+    index = stage(trigrams.build(files), "grams")
+    found = search.match_lines(trigrams.narrowed(files, index, trigrams.of_literal("Licens")), "Licens")
+    return found.select("path", F.col("line_no").cast("bigint").alias("line_no"), "column", "before", "after")
+
+
+@query(sql("files lines", "select path, line_no from lines where regexp_matches(line, 'Licensed under (the Apache|CC BY)|(MIT|Public) License[.,]')"))
+def r7_regex_lines_indexed(m: Model) -> DataFrame:
+    pattern = "Licensed under (the Apache|CC BY)|(MIT|Public) License[.,]"
+    files = m.files()
+    index = stage(trigrams.build(files), "grams")
+    found = search.match_lines(trigrams.narrowed(files, index, trigrams.of_regex(pattern)), pattern, use_regex=True, case_sensitive=True)
+    return found.select("path", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+@query(sql("files", f"select * from {_TEXT}"))
+def r1_text_search_indexed(m: Model) -> DataFrame:
+    files = m.files()
+    index = stage(trigrams.build(files, "path", "summary"), "grams")
+    return rounded(search.text_search(trigrams.narrowed(files, index, trigrams.of_search(WORDS)), WORDS), "relevance")
+
+
+@query(sql("files", "select path from files where regexp_full_match(path, '(?i)src1.*en/.*7[.]txt')"))
+def f5_find_by_name_indexed(m: Model) -> DataFrame:
+    files, glob = m.files(), "SRC1*en/*7.txt"
+    index = stage(trigrams.build(files, "path"), "grams")
+    return search.find_by_name(trigrams.narrowed(files, index, trigrams.of_glob(glob)), glob)
+
+
 _BLOCKS = "blocks as (select path, b as ord, 'block' || b as name, 10 * b + 1 as start_line, 10 * b + 12 as end_line from files, unnest(range(0, (len(str_split(content, chr(10))) - 1) // 10 + 1)) t(b))"
 
 
