@@ -1,5 +1,6 @@
 """Change feeds, streams, plugins' contributions and the entry point."""
 
+import asyncio
 import json
 import subprocess
 import sys
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from weftline import storage
 from weftline.api import CodeGraph
 from weftline.operators import categories, edits, search
-from weftline.plugins import Registry, event_names
+from weftline.plugins import EVENTS, Registry
 from weftline.sources import catalog, documents
 from weftline.streaming import streams
 
@@ -135,7 +136,59 @@ def test_registry_contributions_and_events():
     registry = Registry()
     registry.contribute("later", 1)
     registry.contribute("first", 5)
-    assert registry.orientation() == ["first", "later"] and "file:delete:before" in event_names()
+    assert registry.orientation() == ["first", "later"]
+
+
+def test_a_graph_emits_its_events(spark):
+    registry, seen = Registry(), []
+    registry.events.on("*", seen.append)
+    names = []
+    for name in EVENTS:
+        registry.events.on(name, lambda _, n=name: names.append(n))
+    graph = CodeGraph(streams.parse_files()(spark.createDataFrame(FILES, "path string, content string"))["files"], events=registry.events)
+    graph.search("login")
+    graph.read("src/a.ts:1-1")
+    changes = [("src/a.ts", "update", None, "x", "2026-01-01"), ("src/c.ts", "delete", None, None, "2026-01-01"), ("src/n.ts", "create", None, "a\nb", "2026-01-01")]
+    graph.tell_changes(spark.createDataFrame(changes, "path string, op string, to string, content string, ts string"))
+    assert names[:2] == ["search:executed", "read:result:after"] and sorted(names[2:]) == ["file:change", "node:add", "node:remove"]
+    assert {"path": "src/n.ts", "lines": 2} in seen
+
+
+def test_a_plugin_goes_with_all_that_it_added(spark):
+    registry = Registry()
+    old = dict(registry.parsers)
+
+    class Plugin:
+        name = "p"
+
+        def register(self, r):
+            r.add_parser(".ts", lambda text: [])
+            r.add_parser(".new", lambda text: [])
+            r.add_tool("t", lambda df: df)
+            r.contribute("line")
+            r.rules.append("rule")
+            r.hooks.append(len)
+
+    registry.rules.append("own")
+    registry.add(Plugin())
+    assert ".new" in registry.parsers and registry.parsers[".ts"] is not old[".ts"]
+    registry.remove("p")
+    assert (registry.parsers, registry.tools, registry.rules, registry.hooks, registry.orientation()) == (old, {}, ["own"], [], [])
+    registry.add(Plugin())
+
+
+def test_handlers_are_awaited_in_turn():
+    events, seen = Registry().events, []
+
+    async def slow(payload):
+        await asyncio.sleep(0.01)
+        seen.append(("slow", payload))
+
+    events.on("x", slow)
+    events.on("x", lambda p: 1 / 0)
+    events.on("x", lambda p: seen.append(("plain", p)))
+    asyncio.run(events.emit_async("x", 1))
+    assert seen == [("slow", 1), ("plain", 1)]
 
 
 def test_entry_without_the_training_data_folder(tmp_path):

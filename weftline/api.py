@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import targets
 from .operators import audit, categories, graph, lines, rank, search, views
+from .plugins import Events
 from .sources import catalog, ingest, parsers
 from .streaming import streams
 
@@ -22,6 +23,20 @@ class CodeGraph:
     files: DataFrame
     tag: str = "@note"
     known: dict | None = None
+    events: Events | None = None
+
+    def _tell(self, event: str, payload) -> None:
+        if self.events:
+            self.events.emit(event, payload)
+
+    def tell_changes(self, changes: DataFrame) -> None:
+        """Emits node:add, file:change and node:remove, with path and lines, for a batch of changes (see ``operators.edits``).
+
+        A row a changed path comes to the driver, as handlers run there; streams go to a sink instead.
+        """
+        if self.events:
+            for r in streams.watch_events(changes, self.files).toLocalIterator():
+                self.events.emit(r["event"], {"path": r["path"], "lines": r["lines"]})
 
     @classmethod
     def scan(cls, spark: SparkSession, root: str, **how) -> CodeGraph:
@@ -69,7 +84,9 @@ class CodeGraph:
         return lines.directories(self.files)
 
     def search(self, query: str, **how) -> DataFrame:
-        return search.search(self.files, self.symbols, search.SearchRequest(query, **how))
+        found = search.search(self.files, self.symbols, search.SearchRequest(query, **how))
+        self._tell("search:executed", {"query": query, "hits": found})
+        return found
 
     def search_in_files(self, query: str, **how) -> DataFrame:
         scores = self.find_relevant(query).select("path", "score")
@@ -116,12 +133,12 @@ class CodeGraph:
 
     def rescan(self, spark: SparkSession, root: str, **how) -> CodeGraph:
         """The graph of what is there now; files that are as they were aren't read."""
-        return CodeGraph(ingest.rescan(spark, root, self.files, **how), self.tag, self.known)
+        return CodeGraph(ingest.rescan(spark, root, self.files, **how), self.tag, self.known, self.events)
 
     def after(self, changes: DataFrame) -> CodeGraph:
         """The graph after a batch of changes (see ``operators.edits``)."""
         new = streams.apply_changes(self.tables(), changes, streams.parse_files(self.tag, self.known))
-        graph_ = CodeGraph(new.pop("files"), self.tag, self.known)
+        graph_ = CodeGraph(new.pop("files"), self.tag, self.known, self.events)
         graph_.__dict__.update(new)
         return graph_
 
@@ -134,11 +151,12 @@ class CodeGraph:
         return self._with(edges=graph.with_edges(self.edges, more))
 
     def _with(self, **tables) -> CodeGraph:
-        new = CodeGraph(self.files, self.tag, self.known)
+        new = CodeGraph(self.files, self.tag, self.known, self.events)
         new.__dict__.update({k: v for k, v in self.__dict__.items() if k not in ("calls", *tables)} | tables)
         return new
 
     def orientation(self, labels: DataFrame, assignments: DataFrame, topics: DataFrame, items: DataFrame, log: DataFrame, contributions: DataFrame | None = None) -> DataFrame:
+        self._tell("orient:contribute", contributions)
         return views.orient(self.stats(), labels, assignments, topics, items, log, contributions)
 
     def read(self, target: str) -> DataFrame:
@@ -148,4 +166,6 @@ class CodeGraph:
             return lines.symbol_content(self.files, self.symbols, t.path, t.symbol)
         own = self.files.where(F.col("path") == t.path)
         content = lines.exact_range(F.col("content"), t.start, t.end) if t.type == "range" else F.col("content")
-        return own.select("path", content.alias("content"))
+        found = own.select("path", content.alias("content"))
+        self._tell("read:result:after", {"target": target, "rows": found})
+        return found

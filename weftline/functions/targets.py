@@ -7,6 +7,9 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Target:
@@ -49,3 +52,35 @@ def resolve(target: str, root: str = "/", symbol_range: Callable[[str, str], tup
         start, end = symbol_range(path, symbol)
     kind = "directory" if directory else "symbol" if symbol else "range" if start else "file"
     return Target(path, start, end, symbol or None, type=kind)
+
+
+def parsed(target: Column) -> Column:
+    """``parse`` of a column: a struct of path, start, end, wildcard and type, null where parse raises."""
+    text = F.regexp_replace(target, r"^\s+|\s+$", "")
+    ranged = r"(?s)^(.+):(\d+)(?:-(\d+))?$"
+    has = text.rlike(ranged)
+    base = F.when(has, F.regexp_extract(text, ranged, 1)).otherwise(text)
+    start = F.when(has, F.regexp_extract(text, ranged, 2).try_cast("int"))
+    end = F.when(has, F.coalesce(F.nullif(F.regexp_extract(text, ranged, 3), F.lit("")).try_cast("int"), start))
+    dotted = ~base.rlike(r"^(?:[A-Za-z]:[\\/]|[\\/])") & (F.length(base) - F.length(F.replace(base, F.lit("."), F.lit(""))) > 1)
+    last = F.substring_index(base, ".", -1)
+    path = F.when(dotted, F.concat(F.replace(F.substring(base, F.lit(1), F.length(base) - F.length(last) - 1), F.lit("."), F.lit("/")), F.lit("."), last)).otherwise(base)
+    wildcard = path.contains("*") | path.contains("?")
+    good = (text != "") & (~has | ((start >= 1) & (start <= end))) & ~(wildcard & has)
+    return F.when(good, F.struct(path.alias("path"), start.alias("start"), end.alias("end"), wildcard.alias("wildcard"), F.when(has, "range").otherwise("file").alias("type")))
+
+
+def resolved(target: Column) -> Column:
+    """``resolve`` of a column, below the root and without symbols' lines: a struct of path, start, end, symbol and type."""
+    ranged = r"(?s)^(.{2,}):(\d+)-(\d+)$"
+    has = target.rlike(ranged)
+    text = F.when(has, F.regexp_extract(target, ranged, 1)).otherwise(target)
+    own = F.substring_index(text, "$", 1)
+    symbol = F.when(text.contains("$"), F.nullif(F.substring(text, F.length(own) + 2, F.length(text)), F.lit("")))
+    step = lambda acc, s: F.when(s.isin("", "."), acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
+    segments = F.aggregate(F.split(F.replace(own, F.lit("\\"), F.lit("/")), "/"), F.array().cast("array<string>"), step)
+    path = F.when(F.size(segments) == 0, ".").otherwise(F.array_join(segments, "/"))
+    directory = ~F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit("")).rlike(r"\.[^.]+$")
+    number = lambda k: F.when(has, F.regexp_extract(target, ranged, k).try_cast("int"))
+    kind = F.when(directory, "directory").when(symbol.isNotNull(), "symbol").when(has, "range").otherwise("file")
+    return F.struct(path.alias("path"), number(2).alias("start"), number(3).alias("end"), symbol.alias("symbol"), kind.alias("type"))

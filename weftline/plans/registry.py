@@ -441,10 +441,11 @@ def g6_edit_edges(m: Model) -> DataFrame:
     return graph.with_edges(graph.without_file(m.edges(), _start(m)), more).agg(F.count("*").alias("n"))
 
 
-@query(sql("edges nodes", f"{_CALLS} select path, name from nodes n where not exists (select 1 from calls where dst_path = n.path and dst_sym = n.name and src_path < 'p000000100')"))
+@query(sql("edges nodes", f"{_CALLS}, every as (select path, name from nodes union all select path, 'unused ' || name from nodes where p_partkey % 3 = 0) select path, name from every n where not exists (select 1 from calls where dst_path = n.path and dst_sym = n.name)"))
 def f23_dead_symbols(m: Model) -> DataFrame:
-    """Symbols that no file up to a name calls; of all files each is called by some."""
-    return graph.dead_symbols(m.nodes(), _calls(m).where("src_path < 'p000000100'")).select("path", "name")
+    """Of the symbols, and of one more that no one calls in each third file."""
+    more = m.nodes().where("p_partkey % 3 = 0").select("path", F.concat(F.lit("unused "), "name").alias("name"))
+    return graph.dead_symbols(m.nodes().select("path", "name").unionByName(more), _calls(m)).select("path", "name")
 
 
 @query(sql("edges", "select dst, count(*) as degree from edges group by dst order by degree desc, dst limit 20"))

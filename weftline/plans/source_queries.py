@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import targets
 from ..functions import text as T
 from ..operators import edits, graph, lines, views
-from ..plugins import Registry, event_names
+from ..plugins import EVENTS, Registry
 from ..sources import catalog, documents, ingest, parsers
 from ..storage import shared_folder
 from ..streaming import streams
@@ -235,10 +235,12 @@ def s6_rescan(m: Model) -> DataFrame:
     return both.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("select * from (values ('a/**'), ('*.log'), ('b/c/**'), ('**/d')) t(pattern)")
+@query(sql("files", "select path, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then source || '/' || lang || '/**' else '*.' || lang end as pattern from files"))
 def s4_gitignore(m: Model) -> DataFrame:
-    found = ingest.gitignore_patterns("# comment\n\n/a/\n*.log\n  b/c \na\n**/d/\n")
-    return m.spark.createDataFrame([(p,) for p in found], "pattern string")
+    """Lines of an ignore file, comments, folders and suffixes, to patterns."""
+    n = F.col("doc_id") % 3
+    line = F.when(n == 0, F.concat(F.lit("# "), "path")).when(n == 1, F.concat(F.lit(" /"), "source", F.lit("/"), "lang", F.lit("/ "))).otherwise(F.concat(F.lit("*."), "lang"))
+    return m.files().select("path", ingest.gitignore_pattern(line).alias("pattern"))
 
 
 @query(f"with {_S} select path, 'export function f' || k || '(x) {{' || chr(10) || '  return f' || (k + 1) || '(x) + lib.go(x);' || chr(10) || '}}' as content from scripts where k = (select min(p_partkey) from part)".replace("{{", "{").replace("}}", "}"))
@@ -421,22 +423,40 @@ def io_file_edits(m: Model) -> DataFrame:
 # -- targets, plugins, events --------------------------------------------------
 
 
-@query("select * from (values ('a/b.ts', 'a/b.ts', null, null, 'file'), ('a/b.ts:7', 'a/b.ts', 7, 7, 'range'), ('src.core.Scan.ts:3-9', 'src/core/Scan.ts', 3, 9, 'range'), ('a/*.ts', 'a/*.ts', null, null, 'file')) t(target, path, first, last, type)")
+_REQUESTS = ", r as (select doc_id, path, case doc_id % 4 when 0 then path when 1 then path || ':' || (doc_id + 1) when 2 then path || ':' || 3 || '-' || (doc_id + 3) else replace(replace(path, '/', '.'), '.txt', '') || '.part.txt' end as target from files)"
+
+
+def _requests(m: Model) -> DataFrame:
+    id_, path = F.col("doc_id"), F.col("path")
+    n = id_ % 4
+    dotted = F.concat(F.replace(F.replace(path, F.lit("/"), F.lit(".")), F.lit(".txt"), F.lit("")), F.lit(".part.txt"))
+    target = F.when(n == 0, path).when(n == 1, F.concat(path, F.lit(":"), (id_ + 1).cast("string"))).when(n == 2, F.concat(path, F.lit(":3-"), (id_ + 3).cast("string"))).otherwise(dotted)
+    return m.files().select("doc_id", "path", target.alias("target"))
+
+
+@query(sql("files", _REQUESTS + """ select target, case doc_id % 4 when 3 then replace(path, '.txt', '') || '/part.txt' else path end as path,
+case doc_id % 4 when 1 then doc_id + 1 when 2 then 3 end::int as first, case doc_id % 4 when 1 then doc_id + 1 when 2 then doc_id + 3 end::int as last, case when doc_id % 4 in (1, 2) then 'range' else 'file' end as type from r"""))
 def f24_parse_targets(m: Model) -> DataFrame:
-    rows = [(t, p.path, p.start, p.end, p.type) for t in ("a/b.ts", "a/b.ts:7", "src.core.Scan.ts:3-9", "a/*.ts") for p in [targets.parse(t)]]
-    return m.spark.createDataFrame(rows, "target string, path string, first int, last int, type string")
+    p = F.col("p")
+    found = _requests(m).select("target", targets.parsed(F.col("target")).alias("p"))
+    return found.select("target", p["path"].alias("path"), p["start"].alias("first"), p["end"].alias("last"), p["type"].alias("type"))
 
 
-@query("select * from (values ('a/b.ts$run', 'a/b.ts', 'symbol', 'run'), ('a/b.ts:2-4', 'a/b.ts', 'range', null), ('a/c', 'a/c', 'directory', null), ('./a//b.ts', 'a/b.ts', 'file', null)) t(target, path, type, symbol)")
+@query(sql("files", """ select path || v as target, case v when '$run' then path when ':2-4' then path when '/../x' then source || '/' || lang || '/x' else path end as path, case v when '$run' then 'symbol' when ':2-4' then 'range' when '/../x' then 'directory' else 'file' end as type,
+case v when '$run' then 'run' end as symbol from files, (values ('$run'), (':2-4'), ('/../x'), ('')) t(v)"""))
 def f25_resolve_targets(m: Model) -> DataFrame:
-    rows = [(t, r.path, r.type, r.symbol) for t in ("a/b.ts$run", "a/b.ts:2-4", "a/c", "./a//b.ts") for r in [targets.resolve(t)]]
-    return m.spark.createDataFrame(rows, "target string, path string, type string, symbol string")
+    forms = F.explode(F.array(*[F.concat("path", F.lit(v)) for v in ("$run", ":2-4", "/../x", "")]))
+    found = m.files().select(forms.alias("target")).select("target", targets.resolved(F.col("target")).alias("r"))
+    return found.select("target", "r.path", "r.type", "r.symbol")
 
 
-@query("select 31::bigint as n, 0::bigint as unnamed")
+@query(sql("files", "select event, count(*) as n from (select case doc_id % 3 when 0 then 'file:change' when 1 then 'node:remove' else 'node:add' end as event from files) group by event"))
 def t2_event_names(m: Model) -> DataFrame:
-    names = m.spark.createDataFrame([(n,) for n in event_names()], "name string")
-    return names.agg(F.count_distinct("name").alias("n"), F.count_if(~F.col("name").rlike("^[a-z]+(:[a-z]+)+$")).alias("unnamed"))
+    """Events of a batch of changes to the files, of which a third is changed, a third deleted and a third not known yet; all by names that the library emits."""
+    n = F.col("doc_id") % 3
+    changes = m.files().select("path", F.when(n == 1, "delete").otherwise("write").alias("op"), F.lit(None).cast("string").alias("to"), "content", F.col("doc_id").alias("ts"))
+    found = streams.watch_events(changes, m.files().where(n < 2))
+    return found.where(F.col("event").isin(*EVENTS)).groupBy("event").agg(F.count("*").alias("n"))
 
 
 @query(sql("files", "select path, length(content) as n from files where path = (select min(path) from files)"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, categories, experience, fuzzy, hints, placement, rank, search, sessions, stores, views
+from ..operators import audit, categories, experience, fuzzy, hints, intervals, placement, rank, search, sessions, stores, views
 from ..streaming import streams, tracking
 from .model import Model
 from .model import with_tables as sql
@@ -568,12 +568,24 @@ def o11_history_of_file(m: Model) -> DataFrame:
     return sessions.history_of(m.history(), m.history().agg(F.min("path")).first()[0]).select("path", "id")
 
 
-@query("select 'inline' as source, l as line, 'policy' as key, 'keep ' || l as value from (select unnest(range(1, 12)) as l) where l between 3 and 7")
+@query(sql("files lines", "select 'inline' as source, line_no::int as line, 'policy' as key, line as value from lines where path = (select min(path) from files) and line_no between 1 and 12 and line <> ''"))
 def j8_annotations_of_symbol(m: Model) -> DataFrame:
-    notes = m.spark.range(1, 12).select(F.lit("a.ts").alias("path"), F.col("id").alias("line"), F.lit("policy").alias("type"), F.concat(F.lit("keep "), F.col("id").cast("string")).alias("message"))
-    symbols = m.spark.createDataFrame([("a.ts", 0, "run", 3, 7), ("a.ts", 1, "run", 1, 2), ("b.ts", 0, "run", 1, 9)], "path string, ord int, name string, start_line int, end_line int")
-    meta = m.spark.createDataFrame([("a.ts", "note", "k: v")], "path string, type string, text string")
-    return stores.annotations_of(notes, meta, symbols, "a.ts", "run")
+    """The lines of files as annotations, those of the first block of the first file."""
+    from .registry import _blocks
+
+    path = m.files().agg(F.min("path")).first()[0]
+    notes = search.lines_of(m.files()).where("line <> ''").select("path", F.col("line_no").alias("line"), F.lit("policy").alias("type"), F.col("line").alias("message"))
+    meta = notes.select("path", "type", F.col("message").alias("text"))
+    return stores.annotations_of(notes, meta, _blocks(m), path, "block0")
+
+
+@query(sql("files lines", "select path, line_no::int as line, 'block' || greatest(0, (line_no - 3) // 10) as symbol from lines where contains(line, '.')"))
+def j8_annotations_with_symbols(m: Model) -> DataFrame:
+    """All lines with a stop as annotations, with the first block that each stands in."""
+    from .registry import _blocks
+
+    notes = search.lines_of(m.files()).where(F.contains("line", F.lit("."))).select("path", F.col("line_no").alias("line"))
+    return intervals.with_symbol(notes, _blocks(m), "line").select("path", "line", "symbol")
 
 
 @query(sql("files lines", ", n as (select path, line_no, line from lines where contains(lower(line), 'license')), p as (select min(path) as p from n) select 'inline' as source, line_no as line, 'policy' as key, line as value from n where path = (select p from p) union all select 'meta', null, 'owner', 'team 1' from p union all select 'meta', null, 'note', 'plain' from p"))
@@ -648,10 +660,10 @@ def n9_dialects(m: Model) -> DataFrame:
     return m.table("part").select("p_partkey", F.array_join(words, ",").alias("words"), F.array_join(F.array_sort(T.keywords(text, T.STOP_WORDS_SHORT)), ",").alias("short"), F.array_join(F.array_sort(T.keywords(text)), ",").alias("long"))
 
 
-@query("select * from (values ('a.ts$run', 'symbol', 'symbol'), ('a/b', 'directory', 'file'), ('a/b/', 'directory', 'directory'), ('a/*.ts', 'file', 'directory'), ('a.b/c', 'directory', 'file'), ('a/c.ts', 'file', 'file')) t(target, label_type, member_type)")
+@query(sql("files", "select path || v as target, case v when '$run' then 'symbol' when '' then 'file' else 'directory' end as label_type, case v when '$run' then 'symbol' when '' then 'file' when '/' then 'directory' else 'file' end as member_type from files, (values (''), ('$run'), ('/'), ('/x')) t(v)"))
 def n17_target_types(m: Model) -> DataFrame:
-    rows = m.spark.createDataFrame([(t,) for t in ("a.ts$run", "a/b", "a/b/", "a/*.ts", "a.b/c", "a/c.ts")], "target string")
-    return rows.select("target", T.target_type(F.col("target")).alias("label_type"), T.member_type(F.col("target")).alias("member_type"))
+    forms = F.explode(F.array(*[F.concat("path", F.lit(v)) for v in ("", "$run", "/", "/x")]))
+    return m.files().select(forms.alias("target")).select("target", T.target_type(F.col("target")).alias("label_type"), T.member_type(F.col("target")).alias("member_type"))
 
 
 @query("select o_orderkey, case when s < 60 then s || 's' when s < 3600 then (s // 60) || 'm ' || (s % 60) || 's' else (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' end as text from (select o_orderkey, (o_totalprice::bigint % (case when o_orderkey % 2 = 0 then 90 else 20000 end)) as s from orders)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,25 +12,8 @@ from .sources import parsers
 log = logging.getLogger(__name__)
 
 
-# The names of the events, by what they are on.
-EVENTS = {
-    "scan": ("start", "file", "complete"),
-    "symbol": ("discovered",),
-    "element": ("discovered",),
-    "file": ("create", "update", "delete:before", "delete", "rename", "copy", "write:before", "write:after", "read"),
-    "search": ("executed", "result:before", "result:after"),
-    "read": ("result:before", "result:after"),
-    "group": ("add", "notate"),
-    "annotation": ("add", "add:source", "add:meta"),
-    "metadata": ("set", "get"),
-    "session": ("close:before", "close:after"),
-    "build": ("before", "after"),
-    "orient": ("contribute",),
-}
-
-
-def event_names() -> list[str]:
-    return [f"{on}:{what}" for on, whats in EVENTS.items() for what in whats]
+# The names of the events that a graph with a registry emits.
+EVENTS = ("search:executed", "read:result:after", "orient:contribute", "node:add", "file:change", "node:remove")
 
 
 class Events:
@@ -60,6 +44,16 @@ class Events:
             except Exception:
                 log.exception("handler of %s", event)
 
+    async def emit_async(self, event: str, payload=None) -> None:
+        """``emit`` for handlers that may be coroutines, each awaited before the next begins."""
+        for handler in [*self._handlers.get("*", []), *self._handlers.get(event, [])]:
+            try:
+                found = handler(payload)
+                if inspect.isawaitable(found):
+                    await found
+            except Exception:
+                log.exception("handler of %s", event)
+
 
 @dataclass
 class Registry:
@@ -70,16 +64,35 @@ class Registry:
     events: Events = field(default_factory=Events)
     parsers: dict[str, Callable] = field(default_factory=lambda: dict(parsers.PARSERS))
     contributions: list[tuple[int, str]] = field(default_factory=list)
+    _before: dict[str, dict] = field(default_factory=dict)
+    _added: dict[str, dict] = field(default_factory=dict)
 
     def add(self, plugin) -> None:
         """``plugin`` has a unique name and a method register(registry)."""
         if plugin.name in self.plugins:
             raise ValueError(f"plugin {plugin.name} is there already")
         self.plugins[plugin.name] = plugin
+        self._before[plugin.name] = self._state()
         plugin.register(self)
+        self._added[plugin.name] = {k: [x for x in now if x not in was] for (k, now), was in zip(self._state().items(), self._before[plugin.name].values(), strict=True)}
+
+    def _state(self) -> dict[str, list]:
+        return {"rules": list(self.rules), "hooks": list(self.hooks), "tools": list(self.tools.items()), "parsers": list(self.parsers.items()), "contributions": list(self.contributions)}
 
     def remove(self, name: str) -> None:
+        """Takes a plugin out with the rules, hooks, tools, parsers and lines that it added; parsers that it replaced are back."""
         self.plugins.pop(name)
+        added, before = self._added.pop(name), self._before.pop(name)
+        for own in ("rules", "hooks", "contributions"):
+            kept = getattr(self, own)
+            kept[:] = [x for x in kept if x not in added[own]]
+        for own in ("tools", "parsers"):
+            kept, was = getattr(self, own), dict(before[own])
+            for key, value in added[own]:
+                if kept.get(key) is value:
+                    del kept[key]
+                    if key in was:
+                        kept[key] = was[key]
 
     def add_parser(self, extension: str, parse: Callable[[str], list[tuple]]) -> None:
         """``parse``: a text to rows (name, kind, start line and column, end line and column, exported, owner).

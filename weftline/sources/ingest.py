@@ -45,6 +45,13 @@ def gitignore_patterns(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def gitignore_pattern(line: Column) -> Column:
+    """The pattern of one line of an ignore file, as gitignore_patterns has it; null of a blank or a comment."""
+    line = F.regexp_replace(line, r"^\s+|\s+$", "")
+    p = F.regexp_replace(line, "^/+|/+$", "")
+    return F.when((line != "") & ~line.startswith("#"), F.when(p.contains("*"), p).otherwise(F.concat(p, F.lit("/**"))))
+
+
 def hidden(path: Column) -> Column:
     folders = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
     return F.exists(folders, lambda d: d.startswith(".") | d.isin(*SKIPPED_DIRECTORIES))
