@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, categories, experience, fuzzy, hints, intervals, placement, rank, search, sessions, stores, views
+from ..operators import audit, categories, experience, fuzzy, hints, intervals, overlaps, placement, rank, search, sessions, stores, views
 from ..streaming import streams, tracking
 from .model import Model
 from .model import with_tables as sql
@@ -378,6 +378,19 @@ def a13_query_history(m: Model) -> DataFrame:
     return rounded(experience.query_history(phrases, "red widget"), "score")
 
 
+_SET = _keywords_sql("phrase", T.STOP_WORDS_SHORT)
+
+
+@query(f"""with p as (select distinct p_brand as path, p_partkey, p_name as phrase from part), s as (select path, {_SET} as words, count(*) as n from p group by all), ps as (select path, list_sort(words) as words, sum(n) as n from s group by all),
+q as (select distinct p_brand || ' ' || p_name || ' ' || p_type as request_id, p_name || ' ' || p_type as phrase from part), qs as (select distinct request_id, list_sort({_SET}) as words from q)
+select request_id, path, sum(n)::bigint as n, round(least(sum(n) / 5.0::double, 1.0), 6) as score from qs join ps on len(list_intersect(qs.words, ps.words)) >= 0.4 * greatest(len(qs.words), len(ps.words)) and len(list_intersect(qs.words, ps.words)) > 0 group by request_id, path""")
+def a13_histories_of_requests(m: Model) -> DataFrame:
+    """All requests for parts against all names of parts, by brand."""
+    part = m.table("part")
+    requests = part.select(F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("request_id"), F.concat_ws(" ", "p_name", "p_type").alias("query")).distinct()
+    return rounded(overlaps.query_history(requests, part.select(F.col("p_brand").alias("path"), F.col("p_name").alias("phrase")), 0.4), "score")
+
+
 @query("""with e as (select event_id, 's' || (user_id % 50) as session_id, event_type as tool, ts, case when event_id % 2 = 0 then 'start' else 'complete' end as phase from events),
 l as (select *, lag(ts) over w as s, lag(phase) over w as b from e window w as (partition by session_id, tool order by ts, event_id)) select session_id, tool, count(*) as n, sum(epoch_us(ts) // 1000 - epoch_us(s) // 1000)::bigint as total_ms from l where phase = 'complete' and b = 'start' group by all""")
 def t7_durations(m: Model) -> DataFrame:
