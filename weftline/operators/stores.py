@@ -279,3 +279,24 @@ def merge_metadata(metadata: DataFrame, plugin: str, more: DataFrame) -> DataFra
     new, old = F.coalesce("__new", none), F.coalesce("values", none)
     kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
     return both.select("path", "plugin", F.map_concat(kept, new).alias("values"))
+
+
+def merge_variants(metadata: DataFrame, plugin: str, more: DataFrame) -> DataFrame:
+    """(path, plugin, values): as ``merge_metadata`` with values of any type, each file's an object of type VARIANT.
+
+    New values of a key replace old ones whole; nested values keep their types. A null is no object: the other one stays.
+    """
+    kind = "map<string,variant>"
+    fresh = more.select("path", F.lit(plugin).alias("plugin"), F.col("values").cast(kind).alias("__new"))
+    both = metadata.select("path", "plugin", F.col("values").cast(kind).alias("__old")).join(fresh, ["path", "plugin"], "full")
+    kept = F.map_filter("__old", lambda k, _: ~F.map_contains_key("__new", k))
+    merged = F.when(F.col("__old").isNull(), F.col("__new")).when(F.col("__new").isNull(), F.col("__old")).otherwise(F.map_concat(kept, "__new"))
+    return both.withColumn("m", merged).select("path", "plugin", F.expr("to_variant_object(m)").alias("values"))
+
+
+def labels_by_name(labels: DataFrame, number: int, size: int, locale: str = "UNICODE_CI") -> DataFrame:
+    """A page of labels in the order of a locale's collation, with their rank: accents and case part only names that are equal otherwise. Ties go by the name's code points, then by id."""
+    from . import rank
+
+    order = [F.collate("name", locale), F.col("name"), F.col("id")]
+    return rank.page(labels.select("id", "name"), order, number, size).select("rank", "id", "name")

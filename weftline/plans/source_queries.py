@@ -6,6 +6,8 @@ the SQL knows what a parser must find in them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..functions import targets
 from ..functions import text as T
 from ..operators import edits, graph, lines, views
 from ..plugins import EVENTS, Registry
-from ..sources import catalog, documents, ingest, parsers
+from ..sources import catalog, documents, functions, ingest, parsers, walk
 from ..storage import shared_folder
 from ..streaming import streams
 from .model import Model
@@ -124,6 +126,13 @@ def p1_script_symbols(m: Model) -> DataFrame:
     return parsers.symbols(scripts(m)).select("path", "name", "kind", "start_line", "end_line", "exported")
 
 
+@query(f"with {_S} select path, letter || k as name, kind, a as start_line, b as end_line, exported from scripts, {_FOUND}")
+def e3_symbols_in_sql(m: Model) -> DataFrame:
+    """The symbols from a table function, in SQL."""
+    functions.register(m.spark)
+    return m.spark.sql("select f.path, s.name, s.kind, s.start_line, s.end_line, s.exported from {files} f, lateral source_symbols(f.path, f.content) s", files=scripts(m))
+
+
 @query(f"with {_S} select path, i as ord, spec from (select path, unnest([0, 1]) as i, unnest(['./p' || (k + 1), 'lib' || p_size]) as spec from scripts)")
 def p2_imports(m: Model) -> DataFrame:
     return parsers.imports(scripts(m))
@@ -211,6 +220,15 @@ def _tree(m: Model) -> str:
     return root
 
 
+@query("select 'r=' || n_regionkey || '/n=' || n_name as dir_path, octet_length(encode('/** About the nation ' || n_name || '. */' || chr(10) || 'nation ' || n_name || chr(10)))::bigint as size from nation where n_regionkey = 2")
+def s12_tree_source(m: Model) -> DataFrame:
+    """One folder of a tree, listed and read by the tasks of a data source."""
+    walk.register(m.spark)
+    root = re.sub("^[a-z]+:/*", "/", _tree(m))
+    tree = m.spark.read.format("source_tree").option("root", root).option("ignores", "*.crc\n**/_SUCCESS\n_SUCCESS").load()
+    return tree.where(F.col("path").startswith("r=2/")).select(T.directory(F.col("path")).alias("dir_path"), F.octet_length("content").cast("bigint").alias("size"))
+
+
 @query("select 'r=' || n_regionkey || '/n=' || n_name as dir_path, octet_length(encode('/** About the nation ' || n_name || '. */' || chr(10) || 'nation ' || n_name || chr(10)))::bigint as size from nation where n_regionkey <> 3")
 def s1_scan(m: Model) -> DataFrame:
     ignores = [*ingest.DEFAULT_IGNORES, *ingest.gitignore_patterns("# own\nr=9/\n\n/r=3\n"), "**/_SUCCESS", "_SUCCESS"]

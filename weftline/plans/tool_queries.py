@@ -555,6 +555,16 @@ def e9_plugin_metadata(m: Model) -> DataFrame:
     return got.select("path", F.array_join(F.sort_array(F.transform(F.map_entries("values"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("vals"))
 
 
+@query("""select doc_id, case when doc_id % 2 = 0 then doc_id + 0.5::double else doc_id::double end as score, source, [lang, 'x'] as tags, case when doc_id % 2 = 0 then true end as checked from documents""")
+def e9_variant_metadata(m: Model) -> DataFrame:
+    """What a plugin keeps on documents, of numbers, lists and objects; newer values for each second one."""
+    docs = m.table("documents")
+    old = docs.select(F.col("doc_id").alias("path"), F.lit("p").alias("plugin"), F.parse_json(F.to_json(F.struct(F.col("doc_id").alias("score"), F.struct("source").alias("from"), F.array("lang", F.lit("x")).alias("tags")))).alias("values"))
+    new = docs.where(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("path"), F.parse_json(F.to_json(F.struct((F.col("doc_id") + F.lit(0.5)).alias("score"), F.lit(True).alias("checked")))).alias("values"))
+    get = lambda path, kind: F.try_variant_get("values", path, kind)
+    return stores.merge_variants(old, "p", new).select(F.col("path").alias("doc_id"), get("$.score", "double").alias("score"), get("$.from.source", "string").alias("source"), get("$.tags", "array<string>").alias("tags"), get("$.checked", "boolean").alias("checked"))
+
+
 @query("select n_nationkey::varchar as item_id, row_number() over (order by case n_nationkey % 3 when 0 then 2 when 1 then 0 else 1 end, n_nationkey::varchar)::int as rank from nation where n_nationkey % 2 = 0")
 def f19_checklist(m: Model) -> DataFrame:
     k = F.col("n_nationkey")
