@@ -329,10 +329,9 @@ def test_message_passing_is_exact_on_a_tree():
 # -- similarity join -------------------------------------------------------------
 
 
-@pytest.mark.parametrize("in_one", [0, 1000])
-def test_connected_components(spark, monkeypatch, in_one):
-    monkeypatch.setattr(graph, "IN_ONE", in_one)
-    monkeypatch.setattr(storage, "FEW", in_one)
+@pytest.mark.parametrize("few", [0, 1000])
+def test_connected_components(spark, monkeypatch, few):
+    monkeypatch.setattr(storage, "FEW", few)
     rng = random.Random(5)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
     parent = {x: x for p in pairs for x in p}
@@ -389,7 +388,6 @@ def corpus(rng, n=60):
 @pytest.mark.parametrize("small", [False, True])
 def test_similarity_join_equals_brute_force(spark, monkeypatch, small):
     if small:  # deep paths, many blocks, shuffles in place of broadcasts
-        monkeypatch.setattr(graph, "IN_ONE", 0)
         monkeypatch.setattr(storage, "FEW", 0)
         monkeypatch.setattr(ngram_join, "OUTSIDE", 2)
         monkeypatch.setattr(ngram_join, "BUCKET", 3)

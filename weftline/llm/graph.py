@@ -2,51 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import discard, spread_join, stage
 
-#: Edges that one task may hold: 100 MB of keys and links.
-IN_ONE = 300_000
-
 
 def _undirected(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _in_one(edges: DataFrame) -> DataFrame:
-    kind = edges.schema["a"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        types = pa.string()
-        for b in batches:
-            types = b.schema.types[0]
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x, y = root(x), root(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-        nodes = list(parent)
-        for at in range(0, len(nodes), 10_000):
-            part = nodes[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, types), pa.array(list(map(root, part)), types)], ["node", "component"])
-
-    found = stage(edges.coalesce(1).mapInArrow(run, T.StructType([T.StructField("node", kind), T.StructField("component", kind)])), "components")
-    discard(edges)
-    return found
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node of each component.
 
