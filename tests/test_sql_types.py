@@ -4,8 +4,8 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from weftline.operators import stores
-from weftline.sources import functions, parsers
+from weftline.operators import search, stores
+from weftline.sources import catalog, functions, parsers
 
 FILES = [("a.ts", "export function a() { return b(); }\nclass C { m() {} }\n"), ("b.php", "<?php\nfunction q() { return 1; }\n"), ("none.txt", "function x() {}"), ("null.ts", None), ("noext", "function y() {}"), (None, "function z() {}")]
 
@@ -40,3 +40,20 @@ def test_pages_by_locale(spark):
     labels = spark.createDataFrame([(f"id{k}", n) for k, n in enumerate(names)], "id string, name string").repartition(3)
     pages = [[r["name"] for r in stores.labels_by_name(labels, k, 5).orderBy("rank").collect()] for k in (1, 2, 3)]
     assert pages == [["ångström", "Äpfel", "Apple", "apple", "banana"], ["Eclair", "eclair", "éclair", "oak", "Öl"], ["zebra", "Zulu"]]
+
+
+def test_tables_of_aligned_columns(spark):
+    df = spark.createDataFrame([("a", 10, True, "0"), ("long name", 0, False, ""), (None, None, None, "é")], "n string, number int, yes boolean, `x y` string")
+    assert [r["value"] for r in catalog.as_table(df).orderBy("line", F.desc("value")).collect()] == [
+        "n         | number | yes  | x y", "----------+--------+------+----", "long name |        |      |    ", "a         | 10     | true | 0  ", "          |        |      | é  ",
+    ]
+    assert [tuple(r) for r in catalog.as_table(df.limit(0)).collect()] == [(0, "No results")]
+
+
+def test_groups_of_hits(spark):
+    hits = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    members = spark.createDataFrame([("g2", "a"), ("g1", "a$f"), ("g1", "a"), ("g3", "b"), ("gone", "c"), ("g1", "z")], "name string, path string")
+    groups = spark.createDataFrame([("g1", "one"), ("g2", "two"), ("g3", None)], "name string, description string")
+    notations = spark.createDataFrame([("g1", 2, "later"), ("g1", 1, "first")], "name string, ord int, text string")
+    got = {r["path"]: r["groups"] and [tuple(g) for g in r["groups"]] for r in search.hits_with_group_details(hits, members, groups, notations).collect()}
+    assert got == {"a": [("g1", "one", "first"), ("g2", "two", "two")], "b": [("g3", None, None)], "c": None}

@@ -131,6 +131,19 @@ def hits_with_groups(hits: DataFrame, members: DataFrame) -> DataFrame:
     return _named(hits, members.select(F.substring_index("path", "$", 1).alias("path"), "name"), "groups")
 
 
+def hits_with_group_details(hits: DataFrame, members: DataFrame, groups: DataFrame, notations: DataFrame) -> DataFrame:
+    """``hits`` with ``groups``: name, description and first notation of each group of the file or of a symbol of it, by name.
+
+    ``members``: name, path (``file`` or ``file$symbol``); ``groups``: name, description; ``notations``: name, ord, text. A
+    group without a notation has its description in its place.
+    """
+    first = notations.groupBy("name").agg(F.min_by("text", "ord").alias("text"))
+    known = groups.join(first, "name", "left").select("name", "description", F.coalesce("text", "description").alias("first_notation"))
+    own = members.select(F.substring_index("path", "$", 1).alias("path"), "name").distinct().join(hits.select("path").distinct(), "path", "left_semi")
+    told = own.join(known, "name").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("name", "description", "first_notation"))).alias("groups"))
+    return hits.join(told, "path", "left")
+
+
 def hits_with_labels(hits: DataFrame, labels: DataFrame) -> DataFrame:
     return _named(hits, labels.select(F.col("target").alias("path"), F.col("label").alias("name")), "labels")
 

@@ -110,6 +110,16 @@ def r5_search_page(m: Model) -> DataFrame:
     return rounded(found, "relevance").select("rank", "path", "relevance", "total", "groups")
 
 
+@query(sql("files source_members", """select f.path, m.name, 'Source ' || f.source as description, coalesce((select min_by('first of ' || g.path, g.doc_id) from files g where g.source = f.source and g.lang = 'en' and g.source <> 'src2'), 'Source ' || f.source) as first_notation from files f join source_members m on m.path = f.path where contains(lower(f.path), 'en')"""))
+def j10_group_details(m: Model) -> DataFrame:
+    """Hits with what their groups are; one group has no notation."""
+    files = m.files()
+    groups = files.select(F.concat(F.lit("group "), "source").alias("name"), F.concat(F.lit("Source "), "source").alias("description")).distinct()
+    notations = files.where("lang = 'en' and source <> 'src2'").select(F.concat(F.lit("group "), "source").alias("name"), F.col("doc_id").alias("ord"), F.concat(F.lit("first of "), "path").alias("text"))
+    hits = files.where(F.contains(F.lower("path"), F.lit("en"))).select("path")
+    return search.hits_with_group_details(hits, m.source_members(), groups, notations).select("path", F.inline("groups"))
+
+
 @query(sql("files", "select path from files where regexp_full_match(path, '(?i)src1.*en/.*7[.]txt')"))
 def f5_find_by_name(m: Model) -> DataFrame:
     return search.find_by_name(m.files(), "SRC1*en/*7.txt")

@@ -295,6 +295,12 @@ def k4_formats(m: Model) -> DataFrame:
     return number(catalog.compact(part), "value").join(number(catalog.as_json(part), "json"), "i").drop("i")
 
 
+@query("""with t as (select rpad(p_name, (select greatest(6, max(length(p_name))) from part)::int, ' ') || ' | ' || rpad(case when p_size = 0 then '' else p_size::varchar end, (select greatest(6, max(length(p_size::varchar))) from part)::int, ' ') as value from part)
+select 0 as line, rpad('p_name', (select greatest(6, max(length(p_name))) from part)::int, ' ') || ' | p_size' as value union all select 1, repeat('-', (select greatest(6, max(length(p_name))) from part)::int) || '-+-------' union all select 2, value from t""")
+def k4_table_format(m: Model) -> DataFrame:
+    return catalog.as_table(m.table("part").select("p_name", "p_size"))
+
+
 @query(sql("files symbols edges nodes", "select 'files' as part, count(*) as n, min(path) as least from files union all select 'symbols', count(*), min(name) from symbols union all select 'imports', count(distinct src), min(src) from edges"))
 def k2_export(m: Model) -> DataFrame:
     parts = graph.export(m.files(), lines.directories(m.files()), m.symbols(), m.edges(), m.edges().select(F.col("src").alias("src_path"), F.lit("x").alias("src_sym"), F.col("dst").alias("dst_path"), F.lit("y").alias("dst_sym")))

@@ -115,6 +115,24 @@ def compact(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("value"))
 
 
+def as_table(df: DataFrame) -> DataFrame:
+    """Lines (line, value) of aligned columns: the names at line 0, a rule at 1, the rows at 2; ``No results`` without rows.
+
+    A column is as wide as its name or its longest value, found in one pass beforehand. Null, zero and false are blank.
+    """
+    kinds = dict(df.dtypes)
+    blank = lambda c: F.col(f"`{c}`").isNull() | (F.col(f"`{c}`").cast("string").isin("0", "0.0", "false") & F.lit(kinds[c] != "string"))
+    shown = {c: F.when(blank(c), "").otherwise(F.col(f"`{c}`").cast("string")) for c in df.columns}
+    rows = df.select(*[v.alias(f"c{k}") for k, v in enumerate(shown.values())])
+    found = rows.agg(F.count("*").alias("n"), *[F.max(F.length(f"c{k}")).alias(f"w{k}") for k in range(len(shown))]).first()  # one row
+    if not found["n"]:
+        return df.sparkSession.createDataFrame([(0, "No results")], "line int, value string")
+    widths = [max(len(c), found[f"w{k}"]) for k, c in enumerate(df.columns)]
+    head = [(0, " | ".join(c.ljust(w) for c, w in zip(df.columns, widths, strict=True))), (1, "-+-".join("-" * w for w in widths))]
+    lines = rows.select(F.lit(2).alias("line"), F.concat_ws(" | ", *[F.rpad(f"c{k}", w, " ") for k, w in enumerate(widths)]).alias("value"))
+    return df.sparkSession.createDataFrame(head, "line int, value string").unionByName(lines)
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
