@@ -501,3 +501,13 @@ def test_pipeline_of_empty_null_repeated_and_clashing_rows(spark, tmp_path):
         else:
             got = Counter(r["doc_id"] for r in docs.where("piece = 0").collect())
             assert got == Counter([*(i for i in range(12) if i != 5), None, 53])  # of doc 5 and its copy the one without an id stays
+
+
+def test_addresses_of_any_length_are_nodes():
+    local = ".".join(["part"] * 60)
+    for address, again in ((f"{local}@corp.com", f"{local} @ corp.com"), ("a.b@mail.corp.example.com", "a.b @ mail . corp . example . com"), ("ab@" + "x" * 300 + ".com", "ab  \n\n @ " + "x" * 300 + " .com"), ("a.b@corp.com", "a.b" + " " * 500 + "@ corp.com")):
+        text = f"write to {address} or, as said, {again}, but not to ab @ other.org @ or @ @ @"
+        base = [(0, 9, 9 + len(address))]
+        at = text.index(again)
+        assert [(a, b) for a, b, _ in pii._similar(text, base)] == [(at, at + len(again))], again
+    assert pii._similar("@ - " * 50_000 + "a.b@corp.com", [(0, 200_000, 200_012)]) == []

@@ -46,8 +46,6 @@ ROUNDS, DAMPING = 12, 0.5
 SURE = 0.9
 #: Least characters of letters and digits to be similar to another, and least last digits of a phone where they don't begin with a group of it.
 LEAST, SUFFIX = 4, 7
-#: Blank-parted pieces from the @ of an address.
-AFTER = 8
 
 # The characters of an address before the @, and the patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -59,6 +57,7 @@ _NODE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 
 _DIGITS = re.compile(r"[0-9]")
 _GROUP = re.compile(r"[0-9]+")
+_WORD = re.compile(r"[^\s<>()\[\]\"']+")
 
 
 def _luhn(digits: str) -> bool:
@@ -184,13 +183,19 @@ def _similar(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
                 k = j
             k += 1
     if mails:
-        # An address may stand with blanks around its marks: a word up to the @, and up to AFTER words from it.
+        # An address may stand with blanks around its marks: a word up to the @, and words from it. How far is looked is bounded by the longest base address alone.
+        longest, reach = max(map(len, mails)), max(b - a for k, a, b in base if KINDS[k] == "email")
         for m in re.finditer(r"@", text):
-            left = text[max(0, m.start() - 100) : m.start()].rstrip()
-            first = re.search(r"[^\s,;:<>()\[\]\"']*\Z", left)
-            start, best = max(0, m.start() - 100) + first.start(), None
-            for w in list(re.finditer(r"[^\s<>()\[\]\"']+", text[m.start() : m.start() + 200]))[:AFTER]:
-                end = m.start() + w.start() + len(w[0].rstrip(".,;:!?"))
+            before = m.start()
+            while before and text[before - 1].isspace():
+                before -= 1
+            left = text[max(0, before - reach - 1) : before]
+            start, best, letters = before - len(re.search(r"[^\s,;:<>()\[\]\"']*\Z", left)[0]), None, 0
+            for w in _WORD.finditer(text, m.start()):
+                letters += sum(c.isalnum() for c in w[0])
+                if letters > longest or w.start() > m.start() and "@" in w[0]:
+                    break
+                end = w.start() + len(w[0].rstrip(".,;:!?"))
                 norm = mails.get(_norm(text[start:end]))
                 best = (start, end, norm) if norm else best
             if best:
