@@ -392,6 +392,7 @@ def test_similarity_join_equals_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(ngram_join, "OUTSIDE", 2)
         monkeypatch.setattr(ngram_join, "BUCKET", 3)
         monkeypatch.setattr(ngram_join, "BLOCK", 4)
+        monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 100)
         monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", 0)
     rows = corpus(random.Random(7))
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, key string")
@@ -413,6 +414,31 @@ def test_one_large_group_of_near_copies(spark, monkeypatch):
     assert ngram_join.keep_one_of_each(df).count() == 1
 
 
+def test_sizes_of_similar_sets_are_in_neighbouring_classes(spark):
+    sizes = spark.range(1, 4000).select("id", ngram_join._size_class(F.col("id"), 0.8).alias("k")).collect()
+    of = {r["id"]: r["k"] for r in sizes}
+    assert all(of[b] - of[-(-4 * b // 5)] in (0, 1) for b in of) and of[3999] > 30
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_a_chain_of_growing_texts_in_one_group(spark, monkeypatch, few):
+    """Each text links with those of near sizes only, while all are one group of many classes of sizes."""
+    monkeypatch.setattr(storage, "FEW", few)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 2000)
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(100_000)}" for _ in range(3000)]
+    rows, n = [], 40
+    while n < 3000:
+        rows.append((len(rows), " ".join(words[:n])))
+        n += max(1, n // 20)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = ngram_join.similar_documents(df).collect()
+    assert {r["class_id"] for r in got} == {0} and len(got) > 80
+    assert Counter(map(tuple, got)) == naive_join(rows)
+
+
 def test_keep_one_keeps_columns_and_the_rest(spark):
     rows = [(5, "a b c d e f g", "x"), (3, "a b c d e f g", "x"), (7, "other words that are not alike at all", "x"), (8, None, "x"), (9, None, "x"), (None, "a b c d e f g", "x"), (3, "a b c d e f g", "y")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, key string")

@@ -16,8 +16,10 @@ its main group has those compared with all its sets, block by block; only
 others are split, and of their paths only those go on that join several groups.
 
 Sets that are equal count as one, with the number of their documents. Groups of
-any size are compared block by block, so that no task holds a whole one, and
-rows of very frequent buckets and groups are joined by broadcast of those few.
+any size are compared block by block, so that no task holds a whole one; blocks
+hold sets of like sizes, bounded in sets and in tokens, and only those of the
+same or neighbouring sizes meet, as others can't be similar. Rows of very
+frequent buckets and groups are joined by broadcast of those few.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HOT, digest_of, discard, packed, spread_join, stage, unpacked
@@ -40,6 +42,8 @@ from .graph import connected_components
 WORDS, SIMILAR, RECALL = 5, 0.8, 0.999
 #: Sets in a bucket that is compared rather than split; sets outside its main group that are compared with a larger one; sets in a block.
 BUCKET, OUTSIDE, BLOCK = 256, 512, 512
+#: Tokens in a block of whole sets, on average (4 MB); a larger set is a block of its own or with few others.
+BLOCK_TOKENS = 1 << 19
 #: Picks that a pair at the threshold shares on average at each level after the first, and the most levels.
 PICKS, DEPTH = 1.5, 8
 #: Least hashes kept of a set, and the share of them that similar sets have in common, at least, but for a chance of under 1 in 1000.
@@ -137,9 +141,9 @@ def next_picks(sketch: np.ndarray, bucket: int, similar: float = SIMILAR, picks:
 
 
 def _scan(docs: DataFrame, text: str, doc_id: str, runs: int, words: int, similar: float) -> DataFrame:
-    """A row for each document: doc_id, hash of its text, key (null without words), sketch and first picks."""
+    """A row for each document: doc_id, hash of its text, key (null without words), size of its set, sketch and first picks."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias("text"))
-    names = ["doc_id", "hash", "key", "sketch", "picks"]
+    names = ["doc_id", "hash", "key", "size", "sketch", "picks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
@@ -148,11 +152,11 @@ def _scan(docs: DataFrame, text: str, doc_id: str, runs: int, words: int, simila
                 part, found = b.slice(at, 500), []
                 for t in part.column(2).to_pylist():
                     tokens = shingles(t)
-                    found.append((key_of(tokens), sketch_of(tokens).tobytes(), first_picks(tokens, runs, similar).view(np.int64)) if len(tokens) else (None, None, []))
-                kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                    found.append((key_of(tokens), len(tokens), sketch_of(tokens).tobytes(), first_picks(tokens, runs, similar).view(np.int64)) if len(tokens) else (None, 0, None, []))
+                kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array([f[j] for f in found], k) for j, k in enumerate(kinds)]], names)
 
-    schema = rows.select("doc_id", "hash").withColumns({"key": F.lit(None).cast("binary"), "sketch": F.lit(None).cast("binary"), "picks": F.array().cast("array<bigint>")}).schema
+    schema = rows.select("doc_id", "hash").withColumns({"key": F.lit(None).cast("binary"), "size": F.lit(None).cast("bigint"), "sketch": F.lit(None).cast("binary"), "picks": F.array().cast("array<bigint>")}).schema
     return rows.mapInArrow(run, schema)
 
 
@@ -274,6 +278,32 @@ def _blocked(rows: DataFrame, group: str, block: int) -> DataFrame:
     return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "n")
 
 
+def _size_class(size: Column, similar: float) -> Column:
+    """Sets at the threshold have sizes in the same or neighbouring classes, as the smaller has at least ``similar`` of the larger's tokens."""
+    return F.floor(F.log(size) / (math.log(1 / similar) + 1e-6))
+
+
+def _size_blocks(rows: DataFrame) -> DataFrame:
+    """(component, blocks, often) of rows (component, class, size): the number
+    of blocks of each class of sizes, of at most BLOCK sets and BLOCK_TOKENS
+    tokens on average. A component has as many classes as sizes differ in
+    powers of 1 / similar, so their map is small."""
+    cells = rows.groupBy("component", "class").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    return cells.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("class", blocks))).alias("blocks"), F.sum("n").alias("often"))
+
+
+def _blocked_by_size(rows: DataFrame) -> DataFrame:
+    """``rows`` (component, class, blocks, key, ...) dealt to pairs of blocks as
+    by ``_blocked``, but only of the same or neighbouring classes of sizes."""
+    name = lambda k, b: F.shiftleft(k, 32) + b
+    count = lambda k: F.coalesce(F.element_at("blocks", k), F.lit(0))
+    of = lambda k: F.when(count(k) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), count(k) - 1), lambda b: name(k, b))).otherwise(F.array().cast("array<bigint>"))
+    k = F.col("class")
+    dealt = rows.withColumn("own", name(k, F.pmod(F.xxhash64("key"), count(k)))).withColumn("other", F.explode(F.concat(of(k - 1), of(k), of(k + 1))))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+
+
 def _by_group(rows: DataFrame, keys: list[str], columns: list[str], f: Callable[[list[tuple]], list[tuple]], schema: str, kinds: list, names: list[str]) -> DataFrame:
     """f over the rows of each group, each without the first of ``keys``, streamed from sorted partitions."""
 
@@ -312,7 +342,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(code, kind="stable")
     code, row = code[order], row[order]
     _, code = np.unique(code, return_inverse=True)
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)))
     width = 4096
     for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
         a, b = np.searchsorted(code, [at, at + width])
@@ -369,7 +399,7 @@ def _exact(similar: float):
         if not left or not right:
             return []
         a, b = ([np.frombuffer(r[4], np.uint64) for r in side] for side in (left, right))
-        common = _common(a, b).astype(np.float64)
+        common = _common(a, b)
         union = np.add.outer([len(x) for x in a], [len(x) for x in b]) - common
         linked = common >= similar * union - 1e-9
         if left is right:
@@ -399,20 +429,20 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     other columns are ignored.
     """
     whole = stage(_scan(docs, text, doc_id, runs_for(recall), words, similar), "scanned")
-    sets = whole.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.min("hash").alias("hash"), F.first("sketch").alias("sketch"), F.first("picks").alias("picks"))
+    sets = whole.where("key is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.min("hash").alias("hash"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("picks").alias("picks"))
     sets, ids = stage(sets, "sets"), stage(whole.select("doc_id", "key"), "ids")
     discard(whole)
     groups = _groups(sets, similar)
 
-    sizes = stage(groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("often", F.col("n")), "sizes")
-    members = spread_join(groups, sizes, "component", "often", groups.count()).withColumnRenamed("node", "key").join(sets.select("key", "weight", "hash"), "key")
-    members = stage(members, "members")
-    discard(groups, sizes)
+    members = groups.withColumnRenamed("node", "key").join(sets.select("key", "weight", "hash", "size"), "key")
+    members = stage(members.withColumn("class", _size_class(F.col("size"), similar)), "members")
+    sizes = stage(_size_blocks(members), "sizes")
+    discard(groups)
     tokens = _tokens_of(docs, text, words, members.select("hash"))
-    rows = members.drop("hash").join(tokens, "key")
-    compared = _by_group(_blocked(rows, "component", BLOCK), ["component", "i", "j"], ["own", "key", "tokens", "weight"], _exact(similar), "key binary, n bigint, other binary", [pa.binary(), pa.int64(), pa.binary()], ["key", "n", "other"])
+    rows = spread_join(members.drop("hash", "size"), sizes, "component", "often", members.count()).join(tokens, "key")
+    compared = _by_group(_blocked_by_size(rows), ["component", "i", "j"], ["own", "key", "tokens", "weight"], _exact(similar), "key binary, n bigint, other binary", [pa.binary(), pa.int64(), pa.binary()], ["key", "n", "other"])
     compared = stage(compared, "compared")
-    discard(members)
+    discard(members, sizes)
 
     counts = compared.groupBy("key").agg(F.sum("n").alias("n"))
     classes = connected_components(compared.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
