@@ -52,6 +52,26 @@ def test_language_id_without_labels(spark, spoken):
     assert [tuple(r)[1:] for r in langid.identify(spoken.where("doc_id = 1"), model).collect()] == [("und", 0.0)]
 
 
+def test_codes_of_languages_differ():
+    for n, classes in ((1, 4), (4, 4), (5, 4), (17, 4), (70_000, 256)):
+        codes = langid.codes_of(n, classes)
+        assert len({tuple(c) for c in codes.tolist()}) == n and 0 <= codes.min() and codes.max() < classes
+    assert langid.codes_of(256, 256).shape[1] == 1 and langid.codes_of(70_000, 256).shape[1] == 6
+
+
+def test_more_languages_than_classes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CLASSES", 4)
+    rng = random.Random(12)
+    letters = {k: [chr(rng.randrange(97, 123)) + chr(rng.randrange(97, 123)) + chr(rng.randrange(97, 123)) for _ in range(12)] for k in range(24)}
+    rows = [(i, " ".join(rng.choice(letters[i % 24]) for _ in range(40)), f"l{i % 24:02}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs.where("doc_id < 960"), F.lit(True))
+    assert len(model.languages) == 24 and len(model.weights) == 6 and max(w.shape[1] for w in model.weights) <= 4
+    got = langid.identify(docs.where("doc_id >= 960"), model).select("row.lang", "lang_pred", "score").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.95 and all(0 <= r["score"] <= 1 for r in got)
+    assert abs(np.mean([r["score"] for r in got]) - np.mean([r["lang"] == r["lang_pred"] for r in got])) < 0.15
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     z = rng.normal(size=(4000, 3))

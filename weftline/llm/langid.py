@@ -6,6 +6,12 @@ on rows kept from the training calibrates the probabilities. Document
 frequencies are counted over all labelled rows; the weights are fitted on a
 bounded sample of PER_LANGUAGE distinct texts a language, chosen by a hash of
 the text, which also parts the rows for the temperature and orders the steps.
+
+Any number of languages can be learned: up to CLASSES are the classes of one
+regression. More are written as codes: a regression for each place of the code
+tells its CLASSES values apart, two languages differ in one place at least, and
+the language whose values have the best mean log-probability is predicted. So
+weights and the state of the fit grow with the logarithm of the languages.
 """
 
 from __future__ import annotations
@@ -24,8 +30,8 @@ from .common import packed
 
 DIMS = 1 << 15
 ORDERS = 3
-#: Distinct texts a language for the fit, and texts in all; the languages that can be learned, the most frequent ones.
-PER_LANGUAGE, IN_ALL, LANGUAGES = 300, 12_000, 1000
+#: Distinct texts a language for the fit, and texts in all, but at least about one a language; classes of one regression.
+PER_LANGUAGE, IN_ALL, CLASSES = 300, 12_000, 256
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 UNKNOWN = "und"
@@ -64,16 +70,36 @@ def _vector(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, x / max(math.sqrt(float(x @ x)), 1e-12)
 
 
+def codes_of(languages: int, classes: int) -> np.ndarray:
+    """A code of classes for each language, one column a regression: the number
+    itself if it is a class, else its digits to the base ``classes`` and as
+    many hashes of it, which make a wrong digit weigh less."""
+    number = np.arange(languages, dtype=np.uint64)
+    if languages <= classes:
+        return number.astype(np.int64)[:, None]
+    digits, rest = [], number
+    while not digits or rest.any():
+        digits.append(rest % classes)
+        rest = rest // classes
+    hashes = [((number + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * i + 3) >> np.uint64(33)) % classes for i in range(len(digits))]
+    return np.stack(digits + hashes, axis=1).astype(np.int64)
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # DIMS x languages, mostly zero
-    bias: np.ndarray
+    codes: np.ndarray  # languages x regressions: their classes
+    weights: list[np.ndarray]  # of each regression: DIMS x classes, mostly zero
+    bias: list[np.ndarray]
     temperature: float = 1.0
 
     def logits(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights[at] + self.bias
+        """A score of each language: its logit, or the mean log-probability of its code's classes."""
+        found = [x @ w[at] + b for w, b in zip(self.weights, self.bias, strict=True)]
+        if len(found) == 1:
+            return found[0][self.codes[:, 0]]
+        return sum(np.log(np.maximum(_softmax(z), 1e-30))[self.codes[:, i]] for i, z in enumerate(found)) / len(found)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         a, any_letter = _codes(text or "")
@@ -110,8 +136,8 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: int, epo
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - sigma * w
             n[at] += g * g
-    w = weights(np.arange(DIMS + 1))
-    return w[:-1].astype(np.float32), w[-1].astype(np.float32)
+    w = np.concatenate([weights(np.arange(i, min(i + 1024, DIMS + 1))).astype(np.float32) for i in range(0, DIMS + 1, 1024)])
+    return w[:-1], w[-1]
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -122,7 +148,7 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
         z = z - z.max(axis=1, keepdims=True)
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), labels]).mean())
 
-    a, b, r = math.log(0.05), math.log(20), (math.sqrt(5) - 1) / 2
+    a, b, r = math.log(0.01), math.log(20), (math.sqrt(5) - 1) / 2
     for _ in range(40):
         c, d = b - r * (b - a), a + r * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)
@@ -144,14 +170,16 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
 
     Only text and lang are learned from; repeated rows count as often as they
     come in the document frequencies and once in the fit. Without such rows
-    the model knows no language. Other columns are ignored.
+    the model knows no language. Very long texts are learned from whole, with
+    two short windows. Other columns are ignored. The driver holds the names of
+    the languages, the sample, one regression's state (134 MB at most) and the weights of all.
     """
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.coalesce(may_learn, F.lit(False)).alias("may")).where("may and text is not null and lang is not null")
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts")).collect()
     count = {r["lang"]: max(1, r["texts"]) for r in found}
     languages = sorted(count)
     if not languages:
-        return Model([], np.ones(DIMS), np.zeros((DIMS, 0)), np.zeros(0))
+        return Model([], np.ones(DIMS), codes_of(0, CLASSES), [np.zeros((DIMS, 0))], [np.zeros(0)])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(DIMS, np.int64)
@@ -170,8 +198,8 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
     each = max(1, min(PER_LANGUAGE, IN_ALL // len(languages)))
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, each / count[k])))])
-    chosen = rows.where(F.pmod("hash", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)).select("text", "lang", "hash").distinct()
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": pa.array(languages, pa.string()), "share": pa.array([min(1.0, each / count[k]) for k in languages])}))
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod("hash", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("text", "lang", "hash").distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,8 +221,9 @@ def train(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
         at, n = at.values.to_numpy(), n.values.to_numpy()
         x = (1 + np.log(n)) * idf[at]
         (kept if h % 5 == 1 else fit).append((at, x / np.linalg.norm(x), number[k]))
-    weights, bias = fit_ftrl(fit or kept, len(languages))
-    model = Model(languages, idf.astype(np.float32), weights, bias)
+    codes = codes_of(len(languages), CLASSES)
+    fits = [fit_ftrl([(at, x, int(code[y])) for at, x, y in fit or kept], int(code.max()) + 1) for code in codes.T]
+    model = Model(languages, idf.astype(np.float32), codes, [w for w, _ in fits], [b for _, b in fits])
     if kept:
         model.temperature = fit_temperature(np.array([model.logits(at, x) for at, x, _ in kept]), np.array([y for _, _, y in kept]))
     return model
@@ -212,7 +241,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
         rows = docs.select(F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"), F.col(f"`{text}`").alias("text"))
     else:
         rows = rows.withColumn("text", F.col(f"row.`{text}`"))
-    model = docs.sparkSession.sparkContext.broadcast(model)  # at most DIMS weights a language
+    model = docs.sparkSession.sparkContext.broadcast(model)  # DIMS * CLASSES weights a regression at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
