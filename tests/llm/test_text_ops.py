@@ -9,6 +9,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -192,6 +193,25 @@ def test_top_k_of_large_components(spark, size):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
+@pytest.mark.parametrize("size", [1.0, 1e9])
+def test_pairs_under_the_cutoff_drop_out_before_all_lists_are_multiplied(size):
+    rng = np.random.default_rng(3)
+    q, c = np.floor(rng.normal(size=(20, 16)) * 4096) * size, np.floor(rng.normal(size=(400, 16)) * 4096) * size
+    c[100:] /= 4096
+    c[100:] = np.floor(c[100:])
+    table = lambda **names: pa.table({**{k: pa.array(v) for k, v in names.items()}})
+    lists = lambda m: [[float(x) / topk.UNIT for x in r] for r in m]
+    cut = np.sort(q @ c.T, axis=1)[:, -5]
+    block = topk._Block(table(qrid=np.arange(20), query_id=np.arange(20), qv=lists(q), cutoff=cut), table(rid=np.arange(400), vec_id=np.arange(400), v=lists(c)), 4)
+    assert block.exact == (size == 1.0)
+    scaled = cut if block.exact else np.ldexp(cut / topk.UNIT**2, -block.exponent)
+    i, j, total, may = block.reaching(scaled)
+    assert len(i) == 20 and len(j) < 100 and total.shape == may.shape == (20, len(j))  # the small ones went
+    want = {(a, b) for a, b in zip(*np.nonzero(q @ c.T >= cut[:, None]))}
+    got = {(i[a], j[b]) for a, b in zip(*np.nonzero(may))}
+    assert want <= got and len(got) < 300
+
+
 def test_url_filters(spark):
     rules = [url_filter.host_path_rule("block", "com", "/en/"), url_filter.host_path_rule("allow", "example.com", "/en/7"), url_filter.pattern_rule("pills", "block", r"^[^/]*\bcheap-pills\b", "cheap", "pills")]
     cases = [

@@ -5,14 +5,18 @@ pair is the sum of its entries in the lists. (1) One block of candidates, a
 random share of them, gathers the top k of each list and resolves those pairs;
 the k-th best is a safe cutoff of a query. (2) The cutoff goes to all blocks,
 which collect the pairs with an entry of at least cutoff / lists, as only they
-can reach it, less those whose upper bound stays under it. (3) Scores of the
-remaining pairs are resolved exactly, and the best k leave the block.
+can reach it. The lists are multiplied one after the other: what a pair can
+still get in the lists to come is bounded by the norms of both, and rows and
+columns of which no pair can reach the cutoff drop out before the next list.
+(3) Scores of the remaining pairs are resolved exactly, and the best k leave
+the block.
 
 Entries are 64-bit floats while they are exact; where components are too large
 for that, entries have error bounds, and what may be among the best is resolved
-in whole numbers. Queries and candidates meet in blocks of bounded size, keyed
-by the numbers of both blocks; nothing is broadcast and no group grows with
-the input.
+in whole numbers. Queries and candidates meet in groups of bounded size, keyed
+by the numbers of both; nothing is broadcast and no group grows with the input.
+A candidate is sent once for many blocks of queries, which a task takes one by
+one.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from .common import stage
 
 LISTS = 4
 QUERIES_IN_BLOCK = 512
+#: Blocks of queries that go to a task together.
+BLOCKS_AT_ONCE = 16
 CANDIDATES_IN_BLOCK = 16384
 #: Components are whole multiples of 1 / UNIT.
 UNIT = 256
@@ -79,21 +85,44 @@ class _Block:
         else:
             (x, a), (y, b) = _scaled(self.q), _scaled(self.c)
             self.exponent = a + b
-            # Rounding of the products and their sums, and of products that are too small.
-            self.error = (np.abs(x) @ np.abs(y).T) * (dims + 2) * 2.0**-51 + 2.0**-1000
+            # Rounding of the products and their sums, by norms, and of products and squares that are too small.
+            self.error = np.outer(np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))) * (dims + 4) * 2.0**-51 + (dims + 4) * 2.0**-500
         edges = np.linspace(0, dims, max(1, min(lists, dims)) + 1).astype(int)
-        self.entries = [x[:, a:b] @ y[:, a:b].T for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        self.lists = [(x[:, a:b], y[:, a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def entries(self) -> list[np.ndarray]:
+        return [x @ y.T for x, y in self.lists]
+
+    def reaching(self, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers of queries and candidates, their scores, and which of
+        them may reach ``cut``, a cutoff of each query.
+
+        A pair goes once its entries so far and the norms of the rest stay
+        under the cutoff, so one with each entry under cutoff / lists goes.
+        """
+        norms = [(np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))) for x, y in self.lists]
+        i, j = np.arange(len(self.qrid)), np.arange(len(self.rid))
+        total, slack = np.zeros((len(i), len(j))), 2.0**-40
+        for k, (x, y) in enumerate(self.lists):
+            total += x[i] @ y[j].T
+            bound = total + (0.0 if self.exact else self.error[np.ix_(i, j)])
+            for a, b in norms[k + 1 :]:
+                bound += np.outer(a[i] * (1 + slack), b[j])
+            with np.errstate(invalid="ignore"):  # no pair of these blocks reaches a cutoff of infinity
+                may = bound >= (cut[i] - np.abs(cut[i]) * slack)[:, None]
+            if not may.all():
+                rows, columns = may.any(axis=1), may.any(axis=0)
+                i, j, total, may = i[rows], j[columns], total[np.ix_(rows, columns)], may[np.ix_(rows, columns)]
+        return i, j, total, may
 
     def whole(self, m: np.ndarray, i: int) -> list[int]:
         return [int(x) * UNIT if abs(x) >= 2.0**45 else int(x * UNIT) for x in m[i].tolist()]
 
-    def best(self, i: int, at: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, vec_id) of the best k among the candidates ``at`` of query ``i``, ties to the smaller vec_id."""
+    def best(self, i: int, at: np.ndarray, total: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(score, vec_id) of the best k among the candidates ``at`` of query ``i`` with these scores, ties to the smaller vec_id."""
         if self.exact:
-            total = sum(e[i, at] for e in self.entries)
             order = np.lexsort((self.vec_id[at], -total))[:k]
             return [(int(total[j]), int(self.vec_id[at[j]])) for j in order]
-        total = sum(e[i, at] for e in self.entries)
         low, high = total - self.error[i, at], total + self.error[i, at]
         if len(at) > k:
             may = high >= np.partition(low, len(low) - k)[len(low) - k]
@@ -113,6 +142,15 @@ class _Block:
 _CUT = pa.schema([("qrid", pa.int64()), ("cutoff", pa.float64())])
 
 
+def _each(f, size: int):
+    """``f`` for a group of queries, ``size`` of them at once."""
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        return pa.concat_tables([f(q.slice(at, size), c) for at in range(0, max(1, q.num_rows), size)])
+
+    return run
+
+
 def _gather(k: int, lists: int):
     """Phase 1: a cutoff that at least k candidates of the block reach."""
 
@@ -120,13 +158,14 @@ def _gather(k: int, lists: int):
         if not q.num_rows or not c.num_rows:
             return _CUT.empty_table()
         b = _Block(q, c, lists)
+        entries = b.entries()
         take = min(k + 1, len(b.rid))  # one more, as the query's own row may be among them
-        tops = np.concatenate([np.argpartition(-e, take - 1, axis=1)[:, :take] for e in b.entries], axis=1)
+        tops = np.concatenate([np.argpartition(-e, take - 1, axis=1)[:, :take] for e in entries], axis=1)
         rows = []
         for i in range(len(b.qrid)):
             seen = b.others(i, np.unique(tops[i]))
             if len(seen) >= k:
-                low = sum(e[i, seen] for e in b.entries) - (0 if b.exact else b.error[i, seen])
+                low = sum(e[i, seen] for e in entries) - (0 if b.exact else b.error[i, seen])
                 with np.errstate(over="ignore"):
                     rows.append((int(b.qrid[i]), float(np.ldexp(np.sort(low)[-k], b.exponent) * (1 if b.exact else UNIT * UNIT))))
         # Not finite: beyond the doubles, so no cutoff.
@@ -144,18 +183,12 @@ def _resolve(k: int, lists: int, width: int):
         if not q.num_rows or not c.num_rows:
             return out.empty_table()
         b, rows = _Block(q, c, lists), []
-        for i in range(len(b.qrid)):
-            entries, cut = np.stack([e[i] for e in b.entries]), b.cutoff[i]
-            if not b.exact:
-                cut = np.ldexp(cut / (UNIT * UNIT), -b.exponent)
-            slack = 0.0 if b.exact else b.error[i]
-            uniform = cut / len(b.entries)
-            left = np.arange(len(b.rid))
-            if np.isfinite(cut):
-                collected = entries + slack >= uniform
-                bound = np.where(collected, entries + slack, uniform).sum(axis=0)
-                left = np.nonzero(collected.any(axis=0) & (bound + abs(cut) * 2.0**-50 >= cut))[0]
-            rows += [(int(b.qrid[i]), int(b.query_id[i]), v, (s + (1 << (8 * width - 1))).to_bytes(width, "big")) for s, v in b.best(i, b.others(i, left), k)]
+        cut = b.cutoff if b.exact else np.ldexp(b.cutoff / (UNIT * UNIT), -b.exponent)
+        queries, columns, total, may = b.reaching(cut)
+        for row, i in enumerate(queries.tolist()):
+            left = may[row] & (b.rid[columns] != b.qrid[i])
+            found = b.best(i, columns[left], total[row, left], k)
+            rows += [(int(b.qrid[i]), int(b.query_id[i]), v, (s + (1 << (8 * width - 1))).to_bytes(width, "big")) for s, v in found]
         return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate(out.types)], schema=out)
 
     return second
@@ -189,7 +222,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, qu
     n = rows.agg(F.count_if(is_query).alias("q"), F.count("*").alias("c"), most.alias("most"), F.max(F.size("v")).alias("dims")).first()
     largest = int(n["most"] or 0) * UNIT + UNIT
     width = ((largest * largest * ((n["dims"] or 0) + 1)).bit_length() + 9) // 8
-    q_blocks, c_blocks = max(1, math.ceil(n["q"] / queries_in_block)), max(1, math.ceil(n["c"] / candidates_in_block))
+    q_blocks, c_blocks = max(1, math.ceil(n["q"] / (queries_in_block * BLOCKS_AT_ONCE))), max(1, math.ceil(n["c"] / candidates_in_block))
     block = lambda count: F.pmod(F.xxhash64("rid"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     queries = rows.where(is_query).select(F.col("rid").alias("qrid"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.size("v").alias("dims"), block(q_blocks).alias("qb"))
@@ -199,9 +232,9 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, lists: int = LISTS, qu
     def meet(queries: DataFrame, candidates: DataFrame, f, schema: str) -> DataFrame:
         return queries.groupBy(*keys).cogroup(candidates.select("*", every(q_blocks).alias("qb")).groupBy(*keys)).applyInArrow(f, schema)
 
-    share = meet(queries.withColumn("cb", F.lit(0)), candidates.where("cb = 0"), _gather(k, lists), "qrid bigint, cutoff double")
+    share = meet(queries.withColumn("cb", F.lit(0)), candidates.where("cb = 0"), _each(_gather(k, lists), queries_in_block), "qrid bigint, cutoff double")
     cutoffs = stage(share, "cutoffs")
     bounded = queries.join(cutoffs, "qrid", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(float("-inf"))))
-    found = meet(bounded.select("*", every(c_blocks).alias("cb")), candidates, _resolve(k, lists, width), "qrid bigint, query_id bigint, vec_id bigint, score binary")
+    found = meet(bounded.select("*", every(c_blocks).alias("cb")), candidates, _each(_resolve(k, lists, width), queries_in_block), "qrid bigint, query_id bigint, vec_id bigint, score binary")
     order = Window.partitionBy("qrid").orderBy(F.desc("score"), "vec_id")
     return _as_numbers(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), width)
