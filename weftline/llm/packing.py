@@ -38,9 +38,11 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int =
 
     Null texts count as empty: a lone ``end``. Strings of added tokens become
     their ids, as the library has it unless told otherwise. Repeated rows are
-    documents of their own; texts of any length are read whole. ``local``
-    numbers the pieces of one length within the task ``part`` that made them;
-    keep the result in a table before use.
+    documents of their own; texts of any length are read whole. doc_id must be
+    null or castable to bigint. Other columns are ignored, also those named as
+    one of the result; an empty table gives none. ``local`` numbers the pieces
+    of one length within the task ``part`` that made them; keep the result in a
+    table before use.
     """
     last = ("ids_crc32", pa.int64(), zlib.crc32) if digest else ("ids", pa.binary(), bytes)
     names = ["doc_id", "piece", "start", "length", last[0], "part", "local"]
@@ -224,7 +226,13 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """The pieces of all rows with their ids (unsigned 32-bit, little-endian),
-    sequence_id and offset."""
+    sequence_id and offset.
+
+    Rows are read as by cut_pieces: null, empty and very long texts, repeated
+    rows, empty tables and clashing columns are as there. Pieces of one length
+    are alike to the packing: which of them goes where follows the tasks that
+    cut them.
+    """
     return place_pieces(stage(cut_pieces(docs, path, capacity, end), "pieces", "zstd"), capacity)
 
 

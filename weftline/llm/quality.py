@@ -131,8 +131,9 @@ def score_quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame
 
     Words are maximal runs of other characters than SEPARATORS. A null text
     has none, as an empty one; both fail the base test (under 10 words, or
-    over a fifth of the words in repeated 5-word windows). Repeated rows are
-    judged each for itself; an empty table gives an empty table; other columns
+    over a fifth of the words in repeated 5-word windows). Texts of any length
+    are judged whole, each within its row. Repeated rows are judged each for
+    itself; an empty table gives an empty table; other columns
     stay inside ``row`` whatever their names.
     """
     df = _features(packed(docs, "row"), text_of("row", text))
