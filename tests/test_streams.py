@@ -71,6 +71,19 @@ def test_graph_after_changes_equals_a_fresh_one(spark):
     assert more.edges.count() == 2 and more.symbols.count() == graph.symbols.count()
 
 
+def test_many_changes_are_not_broadcast(spark, monkeypatch):
+    files = spark.createDataFrame(FILES, "path string, content string")
+    graph, at = CodeGraph(streams.parse_files()(files)["files"]), F.lit("2026-01-01").cast("timestamp")
+    changes = edits.write(graph.files, "src/c.ts", F.lit("import './a';\n"), at)
+    made = lambda: streams.apply_changes(graph.tables(), changes, streams.parse_files())
+    few = made()
+    monkeypatch.setattr(storage, "FEW", 0)
+    many = made()
+    for name in ("files", "symbols", "imports", "edges", "calls"):
+        assert rows(many[name], *sorted(many[name].columns)) == rows(few[name], *sorted(few[name].columns)), name
+        assert "BroadcastHashJoin" not in many[name]._jdf.queryExecution().executedPlan().toString(), name
+
+
 def test_streams_of_events(spark, tmp_path):
     events = [{"id": i // 2, "tool": "t", "ts": f"2026-01-01T00:{i:02}:00", "success": i % 3 > 0, "duration_ms": i} for i in range(40)]
     (tmp_path / "events.json").write_text("\n".join(map(json.dumps, events)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import stage
+from ..storage import stage, unbroadcast
 
 # The extensions in the order in which they are tried.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".vue", ".mjs", ".cjs")
@@ -46,7 +46,7 @@ def import_candidates(imports: DataFrame) -> DataFrame:
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct edges from imports (path, spec): the first of their candidates that is a file."""
-    found = import_candidates(imports).join(files.select(F.col("path").alias("dst")), "dst", "left_semi")
+    found = import_candidates(imports).join(unbroadcast(files.select(F.col("path").alias("dst"))), "dst", "left_semi")
     return found.groupBy("src", "spec").agg(F.min_by("dst", "prio").alias("dst")).select("src", "dst").distinct()
 
 
@@ -82,11 +82,11 @@ def resolve_calls(raw: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataF
     """Calls (path, sym, callee) to symbols of that name in imported files; all matching files, no self edge.
 
     The names that each file's imports offer are found first, so a call only
-    meets those of its own name.
+    meets those of its own name. No side is broadcast: all grow with the files.
     """
     named = symbols.select(F.col("path").alias("dst"), F.col("name").alias("callee")).distinct()
-    offered = edges.select(F.col("src").alias("path"), "dst").distinct().join(named, "dst")
-    found = raw.select("path", "sym", "callee").join(offered, ["path", "callee"]).where((F.col("path") != F.col("dst")) | (F.col("sym") != F.col("callee")))
+    offered = edges.select(F.col("src").alias("path"), "dst").distinct().join(unbroadcast(named), "dst")
+    found = raw.select("path", "sym", "callee").join(unbroadcast(offered), ["path", "callee"]).where((F.col("path") != F.col("dst")) | (F.col("sym") != F.col("callee")))
     return found.select(F.col("path").alias("src_path"), F.col("sym").alias("src_sym"), F.col("dst").alias("dst_path"), F.col("callee").alias("dst_sym")).distinct()
 
 

@@ -364,10 +364,14 @@ def _changes(m: Model) -> DataFrame:
     return out.unionByName(row(of(7).select(F.concat(F.lit("src/new"), k.cast("string"), F.lit(".ts")).alias("path"), "k"), "create", F.concat(F.lit("import { f } from './p"), (k + 1).cast("string"), F.lit("';\n"))))
 
 
-def _graph_tables(m: Model) -> dict[str, DataFrame]:
-    files = scripts(m).select("path", "content")
+def _graph_tables(m: Model, called: bool = False) -> dict[str, DataFrame]:
+    """``called``: whether the calls are read, for which the symbols are read twice."""
+    # Written where read several times, as a stored graph is; the texts by many tasks, as they are made of short rows.
+    files = graph.written(scripts(m).select("path", "content").repartition(4 * m.spark.sparkContext.defaultParallelism, "path"))
     parsed = streams.parse_files(TAG)(files)
-    edges = graph.resolve_imports(parsed["imports"], files)
+    if called:
+        parsed["symbols"] = graph.written(parsed["symbols"])
+    edges = graph.written(graph.resolve_imports(parsed["imports"], files))
     calls = graph.resolve_calls(parsed["raw_calls"], edges, parsed["symbols"])
     return {n: parsed[n] for n in ("files", "symbols", "imports", "annotations")} | {"edges": edges, "calls": calls}
 
@@ -386,7 +390,7 @@ def t3_edges_after_changes(m: Model) -> DataFrame:
 @query(f"""{_AFTER}, e as (select l.src, l.dst, l.k from linked l join after a on a.path = l.dst and a.whole)
 select src as src_path, 'f' || k as src_sym, dst as dst_path, 'f' || (k + 1) as dst_sym from e where k is not null""")
 def t3_calls_after_changes(m: Model) -> DataFrame:
-    return streams.apply_changes(_graph_tables(m), _changes(m), streams.parse_files(TAG))["calls"]
+    return streams.apply_changes(_graph_tables(m, called=True), _changes(m), streams.parse_files(TAG))["calls"]
 
 
 @query(f"""{_AFTER}, n as (select path, case when whole then 7 else 1 end as symbols, case when whole then 3 else 0 end as annotations, case when whole then 2 else 0 end as imports from after union all select 'src/new' || k || '.ts', 0, 0, 1 from scripts where k % 10 = 7)

@@ -92,6 +92,20 @@ def _quietly_remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted rather than broadcast, whatever size Spark expects.
+
+    That size is of compressed files, and of a parser's rows it is a guess: a
+    table of paths may be twenty times as large in the driver's memory.
+    """
+    return df.hint("merge")
+
+
+def by_count(lookup: DataFrame) -> DataFrame:
+    """``lookup``, a table, as a side of a join: broadcast if it has at most FEW rows, else sorted."""
+    return F.broadcast(lookup) if lookup.count() <= FEW else unbroadcast(lookup)
+
+
 def spread_join(rows: DataFrame, lookup: DataFrame, on: str, often: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``lookup``, which is unique in ``on`` and whose column
     ``often`` (dropped) is at least the number of rows that have the key.

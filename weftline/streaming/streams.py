@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import graph
 from ..operators.graph import written
 from ..sources import parsers
+from ..storage import by_count
 
 
 def first_seen(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -65,21 +66,22 @@ def apply_changes(tables: dict[str, DataFrame], changes: DataFrame, parse: Calla
     ``imports``, ``annotations`` and any other table with a path. ``edges`` and
     ``calls`` are made anew for the files that changed and for those that may
     import a changed one, from the new imports, and from the calls that
-    ``parse`` finds in the contents; those of all other files stay.
+    ``parse`` finds in the contents; those of all other files stay. Changed
+    paths are broadcast only if they are few by count.
     """
     last = written(_last_changes(changes))
+    changed = by_count(last.select("path"))
     fresh = parse(last.where("op <> 'delete'").select("path", "content"))
     out = {}
     for name, df in tables.items():
         if name not in ("edges", "calls"):
-            kept = df.join(last.select("path"), "path", "left_anti")
+            kept = df.join(changed, "path", "left_anti")
             out[name] = kept.unionByName(fresh[name], allowMissingColumns=True).select(*df.columns) if name in fresh else kept
     if "edges" not in tables or "imports" not in out:
         return out | {n: tables[n] for n in ("edges", "calls") if n in tables}
-    changed = last.select("path")
     near = graph.import_candidates(out["imports"]).join(changed.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path"))
     old = tables["edges"].join(changed.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path"))
-    touched = written(near.union(old).union(changed).distinct())
+    touched = by_count(written(near.union(old).union(last.select("path")).distinct()))
     new = graph.resolve_imports(out["imports"].join(touched, "path", "left_semi"), out["files"])
     out["edges"] = written(tables["edges"].join(touched.withColumnRenamed("path", "src"), "src", "left_anti").unionByName(new))
     if "calls" in tables:
