@@ -498,6 +498,24 @@ def test_expected_recall_at_the_threshold():
 # -- pipeline ----------------------------------------------------------------------
 
 
+def test_what_a_bucket_has_in_common_splits_nothing_and_loses_no_pair():
+    rng, n = np.random.default_rng(5), 50
+    sketches = lambda k: rng.integers(0, 2**32, k, dtype=np.uint32)
+    for part in (0, 8, 20, 36, 40, 44):  # hashes that all sets of the bucket share
+        common = sketches(part)
+        met = plain = 0
+        for bucket in range(400):
+            both, a, b = sketches(44 - part), sketches(5), sketches(5)  # 44 shared of 49: a similarity of 0.81
+            x, y = (np.sort(np.concatenate([common, both, z])) for z in (a, b))
+            met += len(np.intersect1d(*(ngram_join.next_picks(z, bucket, common=common) for z in (x, y)))) > 0
+            plain += len(np.intersect1d(*(ngram_join.next_picks(z, bucket) for z in (x, y)))) > 0
+        assert met >= plain - 25, (part, met, plain)
+    passage = sketches(8)
+    sets = [np.sort(np.concatenate([passage, sketches(n)])) for _ in range(500)]
+    most = lambda **how: max(Counter(p for x in sets for p in ngram_join.next_picks(x, bucket, **how).tolist()).most_common(1)[0][1] for bucket in range(20))
+    assert most() == 500 and most(common=passage) == 1
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -14,6 +14,8 @@ compared with the bucket's least one, and the groups that all links so far form
 are looked up: a bucket of one group ends there; one where few sets lie outside
 its main group has those compared with all its sets, block by block; only
 others are split, and of their paths only those go on that join several groups.
+What most sets of a bucket share, such as a frequent passage, splits nothing:
+paths go on by the other n-grams, picked as much more often as are left out.
 
 Sets that are equal count as one, with the number of their documents. Groups of
 any size are compared block by block, so that no task holds a whole one; blocks
@@ -46,6 +48,8 @@ BUCKET, OUTSIDE, BLOCK = 256, 512, 512
 BLOCK_TOKENS = 1 << 19
 #: Picks that a pair at the threshold shares on average at each level after the first, and the most levels.
 PICKS, DEPTH = 1.5, 8
+#: Sets of different groups in which the common hashes of a bucket are looked for; the least share of a sketch left at the threshold without picking common ones too.
+SEEN, LEFT = 8, 0.2
 #: Least hashes kept of a set, and the share of them that similar sets have in common, at least, but for a chance of under 1 in 1000.
 SKETCH, SHARED = 64, 0.6
 #: Keys that are broadcast at once (under 100 MB); more are joined by a shuffle.
@@ -132,11 +136,23 @@ def first_picks(tokens: np.ndarray, runs: int, similar: float = SIMILAR) -> np.n
     return np.unique(_mix(tokens[h <= _limit(runs / similar, len(tokens))] + _FIRST))
 
 
-def next_picks(sketch: np.ndarray, bucket: int, similar: float = SIMILAR, picks: float = PICKS) -> np.ndarray:
-    """The buckets that a set picks within ``bucket``, from its sketch, which similar sets share as they do the whole."""
+def next_picks(sketch: np.ndarray, bucket: int, similar: float = SIMILAR, picks: float = PICKS, common: np.ndarray | None = None) -> np.ndarray:
+    """The buckets that a set picks within ``bucket``, from its sketch, which similar sets share as they do the whole.
+
+    Hashes that are ``common`` in the bucket are passed over. Sets at the
+    threshold share ``similar`` of the larger one's, so of the others still that
+    less the common ones of either; picked with a chance of ``picks`` to that
+    number, they meet as often, whatever is common. A set of which too little is
+    left picks among all hashes besides, to meet others like it.
+    """
     parent = np.uint64(bucket & _MASK)
     h = _mix(_mix(sketch.astype(np.uint64) + parent) ^ parent)
     chosen = h <= _limit(picks / similar, len(sketch))
+    if common is not None and len(common):
+        held = np.isin(sketch, common)
+        left = similar * len(sketch) - held.sum()
+        others = ~held & (h <= _limit(picks, max(left, picks)))
+        chosen = others if left >= LEFT * len(sketch) else others | chosen
     return np.unique(_mix(h[chosen] + parent))
 
 
@@ -176,17 +192,30 @@ def _meet_least(rows: DataFrame) -> DataFrame:
     return rows.select("bucket", "key", "sketch", "n", "least", "least_sketch").mapInArrow(run, "bucket bigint, key binary, sketch binary, n bigint, least binary, linked boolean")
 
 
+def _common_of(rows: DataFrame) -> DataFrame:
+    """(bucket, common, often): the hashes that two or more of SEEN sets of different groups have in a bucket; any choice is right."""
+    one = rows.groupBy("bucket", "component").agg(F.min_by("sketch", "key").alias("sketch"), F.first("n").alias("n"))
+    seen = one.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by("sketch", F.xxhash64("component", F.lit(i))) for i in range(SEEN)])).alias("seen"), F.first("n").alias("often"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in sketches]), return_counts=True) for sketches in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h[n > 1].tobytes() for h, n in found], pa.binary()), b.column(2)], ["bucket", "common", "often"])
+
+    return seen.mapInArrow(run, "bucket bigint, common binary, often bigint")
+
+
 def _children(rows: DataFrame, similar: float) -> DataFrame:
-    """(bucket, key, component) of the next level, from (bucket, key, sketch, component)."""
+    """(bucket, key, component) of the next level, from (bucket, key, sketch, component, common)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            picks = [next_picks(np.frombuffer(s, np.uint32), p, similar) for p, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            picks = [next_picks(np.frombuffer(s, np.uint32), p, similar, common=np.frombuffer(c, np.uint32)) for p, s, c in zip(*(b.column(i).to_pylist() for i in (0, 2, 4)), strict=True)]
             at = pa.array(np.repeat(np.arange(len(picks)), [len(p) for p in picks]))
             flat = np.concatenate(picks).view(np.int64) if picks else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), b.column(1).take(at), b.column(3).take(at)], ["bucket", "key", "component"])
 
-    return rows.select("bucket", "key", "sketch", "component").mapInArrow(run, "bucket bigint, key binary, component binary")
+    return rows.select("bucket", "key", "sketch", "component", "common").mapInArrow(run, "bucket bigint, key binary, component binary")
 
 
 def _groups(sets: DataFrame, similar: float) -> DataFrame:
@@ -245,8 +274,10 @@ def _groups(sets: DataFrame, similar: float) -> DataFrame:
             discard(mixed)
             return groups
         waiting.append(stage(_outside(mixed.where(F.col("outside") <= OUTSIDE)), "outside"))  # added with the next links
-        level = stage(_children(mixed.where(F.col("outside") > OUTSIDE), similar), "level")
-        discard(mixed)
+        split = mixed.where(F.col("outside") > OUTSIDE).select("bucket", "key", "sketch", "n", "component")
+        common = stage(_common_of(split), "common")
+        level = stage(_children(spread_join(split, common, "bucket", "often", rows), similar), "level")
+        discard(mixed, common)
     return groups
 
 
